@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import licenses, mixing, packing, secrets, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_secrets": secrets.op2_secrets,
+    "op4_licenses": licenses.op4_licenses,
+    "op6_packing": packing.op6_packing,
     "op9_simhash": simhash.op9_simhash,
 }
 
