@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, secrets, simhash
+from . import language_model, licenses, mixing, packing, secrets, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secrets": secrets.op2_secrets,
     "op4_licenses": licenses.op4_licenses,
     "op6_packing": packing.op6_packing,
+    "op7_language_model": language_model.op7_language_model,
     "op9_simhash": simhash.op9_simhash,
 }
 
