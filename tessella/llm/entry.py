@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import language_model, licenses, mixing, packing, secrets, simhash
+from . import embedding_dedup, language_model, licenses, mixing, packing, secrets, simhash, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secrets": secrets.op2_secrets,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_licenses": licenses.op4_licenses,
     "op6_packing": packing.op6_packing,
     "op7_language_model": language_model.op7_language_model,
     "op9_simhash": simhash.op9_simhash,
+    "op10_topk": topk.op10_topk,
 }
 
-SQL = {"op1_mixing": mixing.OP1_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op3_embedding_dedup": embedding_dedup.OP3_SQL, "op10_topk": topk.OP10_SQL}

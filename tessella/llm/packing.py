@@ -36,7 +36,7 @@ CAPACITY, END, GROUPS, PIVOTS = 4096, 1, 64, 250
 #: A length is large above such a part of the capacity; each is tried, the shorter plan is kept.
 LARGE = (3, 2)
 #: Ranks of one length are counted in buckets of about so many rows.
-BUCKET_ROWS = 500
+BUCKET_ROWS = 100
 #: Chunks whose ids a Python worker remembers; it starts anew beyond that.
 REMEMBERED = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
