@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_model, licenses, mixing, packing, secrets, simhash, topk
+from . import embedding_dedup, language_model, licenses, mixing, packing, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_licenses": licenses.op4_licenses,
     "op6_packing": packing.op6_packing,
     "op7_language_model": language_model.op7_language_model,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_topk": topk.op10_topk,
 }
