@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     """Cuts a batch so that the text column of each part has about `most` bytes (one row at least)."""
     if not batch.num_rows:
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
@@ -60,7 +61,7 @@ LOWER[65:91] += 32
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) and the offsets of its rows in them."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column, "").cast(pa.large_binary())
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
     return data, off - off[0]

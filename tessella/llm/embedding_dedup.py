@@ -19,6 +19,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,7 +46,7 @@ def sums(batches):
 
 def matrices(b):
     v = b.column("v")
-    dims = np.array(pa.compute.list_value_length(v))
+    dims = np.array(pc.list_value_length(v))
     for dim in np.unique(dims):
         x = v.filter(pa.array(dims == dim)).flatten().to_numpy().reshape(-1, dim)
         yield int(dim), x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -132,7 +133,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def project(batches):
         for b in batches:
-            dims = np.array(pa.compute.list_value_length(b.column("v")))
+            dims = np.array(pc.list_value_length(b.column("v")))
             for dim, unit in matrices(b):
                 own = b.filter(pa.array(dims == dim))
                 yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("copies"), own.column("dim"), own.column("v"), pa.array(unit @ turn[dim][:, 0])], ["rep", "copies", "dim", "v", "lead"])

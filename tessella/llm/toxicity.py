@@ -4,7 +4,7 @@ Learning looks at a bounded sample of labelled rows (TRAIN_ROWS, drawn by a hash
 word beginnings the documents of either label are counted, and those that stand out with toxic ones
 form the lexicon (LEXICON entries at most, beside a few fixed words). The lexicon is a trie. A word's
 Levenshtein automaton is run along the trie, a row of edit distances per node, and branches that no
-accepting state can follow are left; entries of five characters and more tolerate one edit. Distinct words
+accepting state can follow are left; whole words of five characters and more tolerate one edit. Distinct words
 are looked up once per slice, behind a filter that keeps every word which holds one half of an entry intact
 (an edit can only touch the other half).
 
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import LOWER, materialise, slices, split_words, text_bytes
 
 FOLDS, HELD = 5, 0
-TRAIN_ROWS, LEXICON, LEAST_DOCS, LEAST_ODDS = 20_000, 400, 3, 3.0
+TRAIN_ROWS, LEXICON, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 20_000, 200, 3, 0.02, 3.0
 #: Parts that the sample is dealt to, as its rows cost far more to read than their bytes tell.
 SAMPLE_PARTS = 48
 STEMS, FUZZY_LENGTH, WINDOW, SPAN = range(4, 9), 5, 5, 40
@@ -103,7 +103,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
     # Stems in enough toxic rows: few, as the sample is bounded. Clean rows count for these alone.
     n_toxic = rows.where("toxic > 0").count()
-    held = counted("toxic > 0", None, max(LEAST_DOCS, int(0.005 * n_toxic)))
+    held = counted("toxic > 0", None, max(LEAST_DOCS, int(LEAST_SHARE * n_toxic)))
     held.pop("", None)
     clean = counted("toxic <= 0", frozenset(held))
     n_clean = clean.pop("", 0)
@@ -127,22 +127,26 @@ class Trie:
     def __init__(self, entries):
         self.root: dict = {}
         self.memory: dict[str, tuple[str, int] | None] = {}
-        forms = set()
+        heads, tails, forms = set(), set(), set()
         for e in entries:
             term, whole = e.rstrip("$"), e.endswith("$")
-            edits = 1 if len(term) >= (FUZZY_LENGTH if whole else FUZZY_LENGTH + 3) else 0
+            edits = 1 if whole and len(term) >= FUZZY_LENGTH else 0
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node.setdefault(None, []).append((e, edits, whole))
-            half, end = len(term) // 2, "$" if whole else ""
+            half, end = len(term) // 2 if edits else len(term), "$" if whole else ""
             head, tail = re.escape(term[:half]), re.escape(term[half:])
+            heads.add(head)
             if edits:
+                tails.add(tail)
                 rest = len(term) - half
                 forms |= {f"{head}.{{{rest - 1},{rest + 1}}}{end}", f".{{{half - 1},{half + 1}}}{tail}{end}"}
             else:
-                forms.add(head + tail + end)
-        self.filter = "^(?:" + "|".join(sorted(forms)) + ")" if forms else "^$."
+                forms.add(head + end)
+        # Two steps: a cheap look at either end of a word, then the lengths.
+        self.ends = "|".join(f for f in ("^(?:" + "|".join(sorted(heads)) + ")" if heads else "", "(?:" + "|".join(sorted(tails)) + ")$" if tails else "") if f) or "^$."
+        self.forms = "^(?:" + "|".join(sorted(forms)) + ")" if forms else "^$."
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The entry that the word spells with the fewest edits, and how many."""
@@ -178,9 +182,11 @@ def features(texts: pa.Array, trie: Trie, odds: dict[str, float]) -> np.ndarray:
         return x
     coded = words.dictionary_encode()
     names = coded.dictionary.cast(pa.large_string())
-    near = np.flatnonzero(pc.match_substring_regex(names, trie.filter).to_numpy(zero_copy_only=False))
+    near = np.flatnonzero(pc.match_substring_regex(names, trie.ends).to_numpy(zero_copy_only=False))
+    close = names.take(pa.array(near))
+    fits = pc.match_substring_regex(close, trie.forms)
     hit: dict[int, tuple[str, int]] = {}
-    for i, w in zip(near.tolist(), names.take(pa.array(near)).to_pylist()):
+    for i, w in zip(near[fits.to_numpy(zero_copy_only=False)].tolist(), close.filter(fits).to_pylist()):
         if m := trie.match(w):
             hit[i] = m
     if not hit:
