@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_model, licenses, mixing, packing, secrets, simhash, topk, toxicity
+from . import embedding_dedup, language_model, licenses, mixing, packing, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secrets": secrets.op2_secrets,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_licenses": licenses.op4_licenses,
+    "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
     "op7_language_model": language_model.op7_language_model,
     "op8_toxicity": toxicity.op8_toxicity,

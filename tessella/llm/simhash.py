@@ -82,9 +82,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their component: the columns of docs, one row per component."""
+    """One row per component, the one that gives it its id: the columns of docs. Rows without doc_id pass
+    through, as nothing can tell them apart later."""
     found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

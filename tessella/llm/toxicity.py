@@ -236,8 +236,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with a column `toxicity` (0 to 1)."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with a column `__toxicity` (0 to 1)."""
     rows = materialise(sample(docs, labels), "sample")
     odds = learn_lexicon(rows)
 
@@ -256,18 +256,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             for part in slices(b, "__text"):
                 z = features(part.column("__text"), trie, odds) @ weights
-                yield pa.RecordBatch.from_arrays([*(c for n, c in zip(part.schema.names, part.columns) if n != "__text"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*(n for n in part.schema.names if n != "__text"), "toxicity"])
+                yield pa.RecordBatch.from_arrays([*(c for n, c in zip(part.schema.names, part.columns) if n != "__text"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*(n for n in part.schema.names if n != "__text"), "__toxicity"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())])
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with a column `toxicity`, which replaces one of that name."""
+    return scored(docs, labels).withColumn("toxicity", F.col("__toxicity")).drop("__toxicity")
+
+
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score below one half."""
-    return score(docs, labels).where("toxicity < 0.5").drop("toxicity")
+    return scored(docs, labels).where("__toxicity < 0.5").drop("__toxicity")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score(docs, labels).select("doc_id", (~training(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, labels).select("doc_id", (~training(F.col("doc_id"))).alias("held_out"), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
