@@ -21,7 +21,7 @@ Catalog = dict[str, DataFrame]
 @dataclass
 class QueryResult:
     rows: DataFrame
-    funnel: DataFrame | None = None
+    funnel: DataFrame | None = None  # per table and filter: rows before and after, from one pass over each table
 
 
 def declared(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -85,8 +85,9 @@ def linked_to_all(df: DataFrame, field: str, values: list[str], keys: list[str])
     return hit.join(full, keys, "left_semi")
 
 
-def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_of=(), operators=None, before: Callable | None = None, after: Callable | None = None, guard: bool = False) -> QueryResult:
-    """Hooks: before(filters) may change the filters, after(rows) the result."""
+def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_of=(), operators=None, before: Callable | None = None, after: Callable | None = None, on_empty: Callable | None = None, guard: bool = False) -> QueryResult:
+    """Hooks: before(filters) may change the filters, after(rows) the result; on_empty(filters) gives the filters
+    of a second attempt if the first finds nothing (which then has to be run to be known)."""
     filters = before(filters) if before else filters
     how = {"kinds": kinds, "any_of": any_of, "operators": operators}
     guard_filters(filters, {c for t in plan.parents for c in catalog[t].columns})
@@ -112,4 +113,8 @@ def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_o
         return QueryResult(rows.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in plan.outputs]))
     rows = rows.select(*columns).distinct()
     rows = after(rows) if after else rows
-    return QueryResult(rows.orderBy(*ordering([r for r in ranked if r[0] in rows.columns], rows.columns)))
+    rows = rows.orderBy(*ordering([r for r in ranked if r[0] in rows.columns], rows.columns))
+    if on_empty and rows.isEmpty():
+        return run(catalog, plan, on_empty(filters), kinds=kinds, any_of=any_of, operators=operators, after=after, guard=guard)
+    steps = [predicates.funnel(catalog[t], filters, **how).withColumn("table", F.lit(t)) for t in plan.parents if predicates.table_predicates(catalog[t], filters, **how)]
+    return QueryResult(rows, reduce(DataFrame.unionByName, steps) if steps else None)

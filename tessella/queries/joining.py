@@ -29,7 +29,7 @@ def flagship(t):
         rank=(("absent", True), ("l_extendedprice", True)),
         tie_breakers=("l_quantity",),
     )
-    return star.run(catalog, plan, {"n_name": ["nation_1", "NATION_2"], "c_mktsegment": ["Household"], "p_name": "requested"}).rows
+    return star.run(catalog, plan, {"n_name": ["nation_1", "NATION_2"], "c_mktsegment": ["Household"], "p_name": "requested"})
 
 
 STAR = """select distinct p_name, n_name, s_name, o_orderpriority, c_mktsegment, l_extendedprice
@@ -40,7 +40,22 @@ STAR = """select distinct p_name, n_name, s_name, o_orderpriority, c_mktsegment,
 
 @query("star_join", STAR)
 def _(t):
-    return flagship(t)
+    return flagship(t).rows
+
+
+@query(
+    "star_funnel",
+    """select 1 as step, 'n_name' as "column", 'nation' as "table", count(*) as rows_before, count(*) filter (where n_name in ('NATION_1', 'NATION_2')) as rows_after, round(100.0 * count(*) filter (where n_name not in ('NATION_1', 'NATION_2')) / count(*), 4) as reduction_pct from nation
+    union all select 1, 'c_mktsegment', 'customer', count(*), count(*) filter (where c_mktsegment = 'HOUSEHOLD'), round(100.0 * count(*) filter (where c_mktsegment <> 'HOUSEHOLD') / count(*), 4) from customer""",
+)
+def _(t):
+    return flagship(t).funnel
+
+
+@query("star_retry", "select distinct n_name, r_name from nation join region on n_regionkey = r_regionkey where lower(r_name) = 'asia'")
+def _(t):
+    plan = StarPlan(parents={"nation": None, "region": "nation"}, joins=(JoinEdge("nation", "region", ("n_regionkey",), ("r_regionkey",)),), outputs=("n_name", "r_name"))
+    return star.run({"nation": t.nation, "region": t.region}, plan, {"r_name": ["Atlantis"]}, on_empty=lambda f: {"r_name": ["Asia"]}).rows
 
 
 @query("star_decorated", "select distinct d.doc_id, lang, source, quality from documents d left join labels l on d.doc_id = l.doc_id where lower(lang) in ('en')")
@@ -88,16 +103,16 @@ def _(t):
 def _(t):
     a = t.part.select(F.lit("").alias("gene_id"), F.col("p_partkey").cast("string").alias("drug_id"), F.col("p_name").alias("drug_name"))
     k, confidence = K.detect_key(a, a.where("drug_id < '5'"))
-    return t.region.limit(1).select(F.lit(k).alias("k"), F.lit(confidence).alias("confidence"))
+    return t.spark.createDataFrame([(k, confidence)], "k string, confidence string")
 
 
 SIDES = """a as (select p_name as drug_name, max(p_retailprice) as association_score, min(p_type) as note from part where p_size <= 25 group by 1),
-b as (select upper(p_name) as drug_name, min(case when p_size > 45 then null else p_retailprice end) as association_score, null as note, max(p_brand) as brand from part where p_size > 20 and p_partkey % 50 < 8 group by 1)"""
+b as (select upper(p_name) as drug_name, min(case when p_size > 45 then null else p_retailprice end) as association_score, null as note, max(p_brand) as brand from part where p_size > 20 and p_brand in ('Brand#1', 'Brand#2') group by 1)"""
 
 
 def sides(t):
     a = t.part.where("p_size <= 25").groupBy(F.col("p_name").alias("drug_name")).agg(F.max("p_retailprice").alias("association_score"), F.min("p_type").alias("note"))
-    b = t.part.where("p_size > 20 and p_partkey % 50 < 8").groupBy(F.upper("p_name").alias("drug_name")).agg(F.min(F.when(F.col("p_size") <= 45, F.col("p_retailprice"))).alias("association_score"), F.lit(None).cast("string").alias("note"), F.max("p_brand").alias("brand"))
+    b = t.part.where("p_size > 20 and p_brand in ('Brand#1', 'Brand#2')").groupBy(F.upper("p_name").alias("drug_name")).agg(F.min(F.when(F.col("p_size") <= 45, F.col("p_retailprice"))).alias("association_score"), F.lit(None).cast("string").alias("note"), F.max("p_brand").alias("brand"))
     return a, b
 
 

@@ -9,24 +9,17 @@ from tessella.operators import quality as Q
 
 from .registry import query
 
-# A sparse graph of parts, so that two hops stay small: pairs within twenty ids of each other.
-NEAR = "near as (select a, b, case when score > 1 then 'often' else 'once' end as kind from pairs where b - a <= 20)"
-
-
-def near(t):
-    return t.pairs.where("b - a <= 20").select("a", "b", F.when(F.col("score") > 1, "often").otherwise("once").alias("kind"))
-
-
 @query(
     "bfs",
-    f"""with {NEAR}, e as (select a, b, kind from near union all select b, a, kind from near),
-    h1 as (select s.root, e.b as node, min(kind) as kind from (select p_partkey as root from part where p_partkey % 20 = 0) s join e on e.a = s.root group by all),
-    h2 as (select root, e.b as node, min(e.kind) as kind from h1 join e on e.a = h1.node where e.b <> root and (root, e.b) not in (select (root, node) from h1) group by all)
+    """with e as (select parent_id as a, child_id as b, left(parent_id, 1) as kind from hier union all select child_id, parent_id, left(parent_id, 1) from hier),
+    h1 as (select s.root, e.b as node, min(kind) as kind from (select distinct parent_id as root from hier) s join e on e.a = s.root group by all),
+    h2 as (select h1.root, e.b as node, min(e.kind) as kind from h1 join e on e.a = h1.node left join h1 seen on seen.root = h1.root and seen.node = e.b where e.b <> h1.root and seen.node is null group by all)
     select root, node, 1 as hop, kind from h1 union all select root, node, 2, kind from h2""",
-    "pairs",
+    "hier",
 )
 def _(t):
-    return G.neighbours(near(t), t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("root")), 2)
+    edges = t.hier.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b"), F.substring("parent_id", 1, 1).alias("kind"))
+    return G.neighbours(edges, edges.select(F.col("a").alias("root")).distinct(), 2)
 
 
 @query("typed_edges", "with r as (select 'n' || n_nationkey as node, 'nation' as tab, n_regionkey as k from nation union all select 'r' || r_regionkey, 'region', r_regionkey from region) select distinct x.node as a, y.node as b, x.k as kind from r x join r y on x.k = y.k and x.tab <> y.tab and x.node < y.node")

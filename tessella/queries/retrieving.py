@@ -9,11 +9,11 @@ from tessella.operators import retrieval as V
 
 from .registry import query
 
-SIMS = "s as (select q.vec_id as qid, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score, q.label as ql, v.label as vl from embeddings q, embeddings v where q.vec_id % 50 = 0)"
+SIMS = "s as (select q.vec_id as qid, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score, q.label as ql, v.label as vl from embeddings q, embeddings v where q.vec_id % 20 = 0)"
 
 
 def queries(t):
-    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
 
 
 def vectors(t):
@@ -54,16 +54,19 @@ def _(t):
     return V.knee_cut(hits(t, 40), fallback="median")
 
 
-BLEND = """e as (select vec_id as a, vec_id + 1 as b from embeddings where vec_id % 3 = 0 and vec_id + 1 in (select vec_id from embeddings)),
-n as (select a as root, b as node from e union all select b, a from e),
-m as (select v.vec_id as id, list_transform(list_zip(v.embedding::double[], w.embedding::double[]), lambda x: 0.9 * x[1] + 0.1 * x[2]) as b from embeddings v join n on v.vec_id = n.root join embeddings w on w.vec_id = n.node
-  union all select vec_id, embedding::double[] from embeddings where vec_id not in (select root from n))"""
-
-
-@query("blend", f"with {BLEND} select id, round(b[1] / sqrt(list_inner_product(b, b)), 5) as x1, round(b[64] / sqrt(list_inner_product(b, b)), 5) as x64 from m")
+@query(
+    "blend",
+    """with x as (select vec_id as id, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings),
+    n as (select a.vec_id as root, b.vec_id as node from embeddings a join embeddings b on abs(a.vec_id - b.vec_id) = 1),
+    m as (select root as id, i, avg(x) as m from n join x on x.id = n.node group by all),
+    b as (select x.id, x.i, 0.9 * x + 0.1 * m as b from x join m using (id, i)),
+    l as (select id, sqrt(sum(b * b)) as len from b group by 1)
+    select id, round(max(b) filter (where i = 1) / max(len), 5) as x1, round(max(b) filter (where i = 64) / max(len), 5) as x64 from b join l using (id) group by 1""",
+)
 def _(t):
-    e = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.lit("0").alias("kind")).join(t.embeddings.select(F.col("vec_id").alias("b")), "b", "left_semi")
-    near = G.neighbours(e, t.embeddings.select(F.col("vec_id").alias("root")), 1)
+    ids = t.embeddings.select(F.col("vec_id").alias("a"))
+    e = ids.select("a", (F.col("a") + 1).alias("b"), F.lit("0").alias("kind")).join(ids.toDF("b"), "b", "left_semi")
+    near = G.neighbours(e, ids.toDF("root"), 1)
     out = V.blend(vectors(t).drop("label"), near)
     return out.select("id", F.round(F.element_at("v", 1), 5).alias("x1"), F.round(F.element_at("v", 64), 5).alias("x64"))
 
@@ -75,16 +78,16 @@ def _(t):
 
 @query(
     "pinned",
-    f"with {SIMS}, h as (select qid, id, score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 20) select qid, id, p as pinned, score from (select h.*, id % 10 = 0 as p, row_number() over (partition by qid order by (id % 10 = 0) desc, score desc, 't' || (id % 7), id) as rn from h) where p or rn <= 5",
+    f"with {SIMS}, h as (select qid, id, score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 20) select qid, id, p as pinned, score from (select h.*, label = 0 as p, row_number() over (partition by qid order by (label = 0) desc, score desc, 't' || (id % 7), id) as rn from h join embeddings on id = vec_id) where p or rn <= 5",
 )
 def _(t):
-    bank = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), F.col("vec_id") % 7).alias("text"), (F.col("vec_id") % 10 == 0).alias("pinned"))
+    bank = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), F.col("vec_id") % 7).alias("text"), (F.col("label") == 0).alias("pinned"))
     return V.pinned_first(hits(t, 20), bank, 5)
 
 
-@query("hit_tables", f"with {SIMS}, h as (select qid, id from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 3), n as (select qid, id from h union select qid, id + 1 from h where id % 2 = 0 union select qid, id - 1 from h where id % 2 = 1) select distinct qid, label as tab from n join embeddings on id = vec_id")
+@query("hit_tables", f"with {SIMS}, h as (select qid, id from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 3), n as (select qid, id from h union select qid, id + 1 from h union select qid, id - 1 from h) select distinct qid, label as tab from n join embeddings on id = vec_id")
 def _(t):
-    edges = t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    edges = t.embeddings.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
     return V.tables_of(hits(t, 3), edges, t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("tab")))
 
 
