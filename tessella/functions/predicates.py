@@ -1,4 +1,7 @@
-"""Predicates of a filter specification: {column: [values] or "requested"}, applied by name to any table."""
+"""Predicates of a filter specification: {column: [values] or "requested"}, applied by name to any table.
+
+A null cell makes a predicate null, which a filter treats as false; they stay bare, so that comparisons reach
+the scan."""
 
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ def values_of(filters: Filters, name: str) -> list:
 
 def member(name: str, values: list) -> Column:
     """Membership without regard to case."""
-    return F.coalesce(F.lower(F.col(name)).isin([str(v).lower() for v in values]), F.lit(False))
+    return F.lower(F.col(name)).isin([str(v).lower() for v in values])
 
 
 def variants(term: str) -> list[str]:
@@ -45,18 +48,18 @@ def quoted(term: str) -> str:
 def whole_word(name: str, terms: list[str]) -> Column:
     """Any variant of any term as whole words in the text, accents counted as letters."""
     alternatives = "|".join(quoted(v) for t in terms for v in variants(t))
-    return F.coalesce(F.lower(F.col(name)).rlike(f"(^|[^{LETTER}])({alternatives})($|[^{LETTER}])"), F.lit(False))
+    return F.lower(F.col(name)).rlike(f"(^|[^{LETTER}])({alternatives})($|[^{LETTER}])")
 
 
 def holds_text(name: str, terms: list[str]) -> Column:
     """A plain part of the text, for names with coded prefixes."""
-    return F.coalesce(reduce(or_, [F.lower(F.col(name)).contains(t.lower()) for t in terms]), F.lit(False))
+    return reduce(or_, [F.lower(F.col(name)).contains(t.lower()) for t in terms])
 
 
 def component(name: str, values: list[str]) -> Column:
     """One of the parts between / ; and , equals a value."""
     wanted = [v.strip().lower() for v in values]
-    return F.coalesce(F.exists(F.split(F.trim(F.lower(F.col(name))), r"\s*[/;,]\s*"), lambda x: x.isin(wanted)), F.lit(False))
+    return F.exists(F.split(F.trim(F.lower(F.col(name))), r"\s*[/;,]\s*"), lambda x: x.isin(wanted))
 
 
 def protein_pattern(term: str) -> str | None:
@@ -69,7 +72,7 @@ def protein_pattern(term: str) -> str | None:
 
 def notation(name: str, terms: list[str]) -> Column:
     found = [p for p in map(protein_pattern, terms) if p]
-    return F.coalesce(F.lower(F.col(name)).rlike("|".join(found)), F.lit(False)) if found else F.lit(False)
+    return F.lower(F.col(name)).rlike("|".join(found)) if found else F.lit(False)
 
 
 OPERATORS = {
@@ -85,7 +88,7 @@ def threshold(name: str, values: list, operator: str | None = None) -> Column |
             limit = float(v)
         except (TypeError, ValueError):
             continue
-        return F.coalesce(OPERATORS.get(str(operator or "<=").strip(), Column.__le__)(F.col(name), F.lit(limit)), F.lit(False))
+        return OPERATORS.get(str(operator or "<=").strip(), Column.__le__)(F.col(name), F.lit(limit))
     return None
 
 
