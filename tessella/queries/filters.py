@@ -47,9 +47,9 @@ def _(t):
     return t.part.withColumn("v", v).where(P.notation("v", ["V10E", "p.V1", "rs123"])).select("p_partkey")
 
 
-@query("threshold", "select p_partkey from part where p_size <= 10 and p_retailprice > 1000")
+@query("threshold", "select p_partkey from part where p_size <= 10 and p_retailprice > 950")
 def _(t):
-    filters = {"p_size": ["x", "10"], "p_retailprice": [1000], "op": [">"]}
+    filters = {"p_size": ["x", "10"], "p_retailprice": [950], "op": [">"]}
     return P.filter_table(t.part, filters, kinds={"p_size": "number", "p_retailprice": "number"}, operators={"p_retailprice": "op"}).select("p_partkey")
 
 
