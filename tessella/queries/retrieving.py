@@ -34,9 +34,9 @@ def _(t):
     return V.cosine_top_k(queries(t), vectors(t), 10, payload="label", least=0.1)
 
 
-@query("max_merge", f"with {SIMS}, a as (select qid, id, score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 5), b as (select qid, id, round(score * 0.5 + 0.4, 6) as score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 8) select qid, id, max(score) as score from (select * from a union all select * from b) group by all")
+@query("max_merge", f"with {SIMS}, a as (select qid, id, score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 5), b as (select qid, id, score * 0.5 + 0.4 as score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 8) select qid, id, max(score) as score from (select * from a union all select * from b) group by all")
 def _(t):
-    return V.merged(hits(t, 5), hits(t, 8).withColumn("score", F.round(F.col("score") * 0.5 + 0.4, 6)))
+    return V.merged(hits(t, 5), hits(t, 8).withColumn("score", F.col("score") * 0.5 + 0.4))
 
 
 @query("share_cut", f"with {SIMS}, h as (select qid, id, score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 20), l as (select qid, min(score) as low from (select *, row_number() over (partition by qid order by score desc, id) as rn from h) where rn <= 4 group by 1) select h.* from h join l using (qid) where score >= low")
