@@ -240,3 +240,27 @@ def test_stream_equals_batch(spark, sf_dir):
     stream = L.drained(L.session_trust(L.votes(L.source(spark, f"{sf_dir}/events.parquet*", schema))))
     batch = L.session_trust(L.votes(spark.read.parquet(f"{sf_dir}/events.parquet")))
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """An hour that the watermark has closed takes no more rows."""
+    import os
+
+    for k, ts in enumerate(["2024-01-01 12:00:00", "2024-01-02 12:00:00", "2024-01-02 13:00:00", "2024-01-01 12:30:00", "2024-01-03 12:00:00", "2024-01-03 13:00:00"]):
+        rows = spark.range(1).select(F.lit(1).alias("session"), F.to_timestamp(F.lit(ts)).alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+        for f in (tmp_path / f"in{k}").glob("*.parquet"):
+            os.makedirs(tmp_path / "all", exist_ok=True)
+            os.rename(f, tmp_path / "all" / f"{k}.parquet")
+            os.utime(tmp_path / "all" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("session int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    got = {str(r.hour): r.n for r in L.drained(L.hourly(stream), "append").collect()}
+    assert got == {"2024-01-01 12:00:00": 1, "2024-01-02 12:00:00": 1, "2024-01-02 13:00:00": 1}
+
+
+def test_funnel_and_retry(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "n string, i int")
+    plan = spec.StarPlan({"t": None}, outputs=("i",))
+    got = star.run({"t": df}, plan, {"n": ["z"]}, on_empty=lambda f: {"n": ["B"]})
+    assert [tuple(r) for r in got.rows.collect()] == [(2, "b")]
+    assert got.funnel.first()["rows_before"] == 3 and got.funnel.first()["rows_after"] == 1
