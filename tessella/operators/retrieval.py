@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.text import cosine
+from tessella.functions.text import cosine, dot, norm
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, payload: str | None = None, least: float = -1.0) -> DataFrame:
     """(qid, id, score): the k nearest vectors of each query, of its own payload if one is named. queries:
     (qid, q[, payload]); vectors: (id, v[, payload]). With a payload the two meet in an equi-join; without one,
     the stated queries are the small side and Spark chooses how they are sent."""
+    queries, vectors = queries.withColumn("qn", norm(F.col("q"))), vectors.withColumn("vn", norm(F.col("v")))  # once per vector
     pairs = queries.join(vectors, payload) if payload else queries.crossJoin(vectors)
-    scored = pairs.select("qid", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).where(F.col("score") >= least)
+    score = F.when((F.col("qn") > 0) & (F.col("vn") > 0), dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")))
+    scored = pairs.select("qid", "id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
