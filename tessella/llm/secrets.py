@@ -31,8 +31,9 @@ THRESHOLD = {"entropy_hex": 3.1, "entropy_alnum": 3.6, "entropy_base64": 3.8}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CLASSES = (("entropy_hex", re.compile(r"[0-9A-Fa-f]+")), ("entropy_alnum", re.compile(r"[A-Za-z0-9]+")))
 #: Candidates that are let go: words, numbers, identifiers of words, paths, UUIDs, placeholders.
+#: Possessive, as a run of separators could else be cut in as many ways as it has subsets.
 ALLOW = re.compile(
-    r"[A-Za-z]+|[0-9]+|[A-Za-z]*[0-9]{0,4}(?:[_/=+-]+[A-Za-z]*[0-9]{0,4})*|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*(?:EXAMPLE|example|placeholder|xxxxxx|XXXXXX|0123456789|abcdefgh).*"
+    r"[A-Za-z]+|[0-9]+|[A-Za-z]*+[0-9]{0,4}+(?:[_/=+-]++[A-Za-z]*+[0-9]{0,4}+)*+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*(?:EXAMPLE|example|placeholder|xxxxxx|XXXXXX|0123456789|abcdefgh).*"
 )
 COST = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 

@@ -5,8 +5,11 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 
@@ -152,6 +155,13 @@ def test_entropy_windows():
     assert secrets.scan("thequickbrownfoxjumpsoverthelazydog 123e4567-e89b-12d3-a456-426614174000") == []
 
 
+def test_rules_before_numbers():
+    """In a process of its own, which a scan without end would outlive."""
+    code = "from tessella.llm import secrets; print(secrets.scan('-' * 40 + '1' * 20), secrets.scan('=' * 4000 + '12345'))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, timeout=60)
+    assert out.stdout.strip() == "[] []"
+
+
 # 3 and 10
 
 
