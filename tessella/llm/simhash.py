@@ -9,7 +9,9 @@ has at most 2,080 others within two bits, which bounds the links.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; a row without
 doc_id takes the smallest id of its component, null if there is none; repeated ids are one node; an
-empty table gives an empty result. Extra columns are ignored."""
+empty table gives an empty result. Extra columns are ignored.
+
+`keep_one`, the pipeline's stage, goes by the similarity of shingles instead (`shingles`)."""
 
 from __future__ import annotations
 
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import connected_components, materialise
 
 SEED, WORDS, REACH = 42, 3, 2
@@ -68,8 +71,8 @@ def links(fps: DataFrame) -> DataFrame:
     return found.select(F.col("rep1").alias("a"), F.col("rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+def near_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs, by op9's contract."""
     fps = materialise(fingerprints(docs), "fingerprints")
     # The smallest id that has a fingerprint stands for it.
     reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "representatives")
@@ -81,14 +84,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, least: float = shingles.LEAST) -> DataFrame:
+    """(doc_id, same, component_id) for each row of docs, by the similarity of their shingles."""
+    return shingles.near_copies(docs, words, least)
+
+
+def keep_one(docs: DataFrame, words: int = shingles.WORDS, least: float = shingles.LEAST) -> DataFrame:
     """One row per component, the one that gives it its id: the columns of docs. Rows without doc_id pass
     through, as nothing can tell them apart later."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    found = near_duplicates(docs, words, least).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_fingerprints(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
