@@ -110,4 +110,4 @@ def _(t):
 
 @query("approx_topk")
 def _(t):
-    return V.approximate_top_k(queries(t).drop("label"), vectors(t).drop("label"), 10)
+    return V.approximate_top_k(queries(t).drop("label"), vectors(t).drop("label"), 10, planes=3, tables=16)  # tests/test_edges.py measures this query

@@ -225,6 +225,14 @@ def test_approximate_recall(spark, sf_dir):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_approximate_query_recall(spark, sf_dir):
+    """The registered query as it is, against the exact one."""
+    from __spark_entry__ import QUERIES
+
+    exact, found = ({(r.qid, r.id) for r in QUERIES[n](spark, sf_dir).collect()} for n in ("cosine_topk", "approx_topk"))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_trust(spark):
     df = spark.createDataFrame([(1, 5), (20, 20), (0, 0), (None, None)], "c int, n int")
     assert [round(r[0], 6) for r in df.select(L.trust(F.col("c"), F.col("n"))).collect()] == [0.1, 1.0, 0.3, 0.3]
