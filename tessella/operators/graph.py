@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.keyed import norm_key
+from tessella.operators.lineage import checkpointed
 from tessella.operators.ordering import score_value, top_ids, total
 from tessella.sources.curate import first_per_key
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut off from its lineage in the folder of spark.checkpoint.dir; one of our own only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def neighbours(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(root, node, hop, kind) within depth hops of (root): each node once, with the least type among the edges
     that reach it first. edges: (a, b, kind), walked both ways."""

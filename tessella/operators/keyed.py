@@ -128,7 +128,3 @@ def combine(edges: DataFrame, anchor: str, other: str, a: str, b: str, op: str,
     """What is linked to anchor a, and / or / but not to anchor b."""
     left, right = (edges.where(norm_key(F.col(anchor)) == v.strip().lower()).drop(anchor) for v in (a, b))
     return {"intersect": lambda: intersect(left, right, other, score), "difference": lambda: difference(left, right, other), "union": lambda: union(left, right, other, best=True, score=score)}[op]()
-
-
-def numbered(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import number, phase_ordinal
+from tessella.operators.lineage import checkpointed
 from tessella.sources.curate import first_per_key
 
 
@@ -68,8 +69,24 @@ def preview(df: DataFrame, n: int, longest: int = 200) -> DataFrame:
     return df.limit(n).withColumns(cells)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], most: int = 1 << 17) -> DataFrame:
+    """df with, under each name, the sum over the rows before it in a total order. Rows are dealt by ranges of
+    the order, about `most` to a range; the sums of the ranges, a row for each, say where each one begins."""
+    ranges = -(-df.count() // most)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if ranges <= 1:
+        return df.withColumns({n: F.coalesce(F.sum(c).over(before(Window.orderBy(*order))), F.lit(0)) for n, c in sums.items()})
+    dealt = checkpointed(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    begin = dealt.groupBy("__range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    begin = begin.select("__range", *[F.coalesce(F.sum(n).over(before(Window.orderBy("__range"))), F.lit(0)).alias(f"__{n}") for n in sums])
+    own = before(Window.partitionBy("__range").orderBy(*order))
+    dealt = dealt.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).join(begin, "__range")
+    return dealt.select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+
+
 def handles(df: DataFrame, db: str, order: list[Column]) -> DataFrame:
-    return df.withColumn("handle", F.concat(F.lit(f"{db}:"), F.row_number().over(Window.orderBy(*order)).cast("string")))
+    rows = running(df, order, {"handle": F.lit(1)})
+    return rows.withColumn("handle", F.concat(F.lit(f"{db}:"), (F.col("handle") + 1).cast("string")))
 
 
 def within_budget(df: DataFrame, order: list[Column], n: int, budget: int) -> DataFrame:

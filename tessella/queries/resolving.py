@@ -169,7 +169,6 @@ def _(t):
 
 @query("canonical_hit", "select p_size as query, arg_min(p_name, [length(p_name), pos]) as name, case when p_size <= 64 then 0 end as tier from (select p_size, p_name, row_number() over (partition by p_size order by p_partkey) as pos from part) where pos = 1 group by p_size")
 def _(t):
-    from tessella.operators.keyed import numbered  # noqa: F401
     from pyspark.sql.window import Window
 
     pos = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
