@@ -31,15 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again, so that lost executors cost no
-    recomputation of what led to it and later steps see its true size."""
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder (a folder for each value of `by`) and reads it again, so
+    that lost executors cost no recomputation of what led to it and later steps see its true size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the text column of each part has about `most` bytes (one row at least)."""
     if not batch.num_rows:
@@ -77,11 +85,10 @@ def split_words(data: np.ndarray, off: np.ndarray, kinds: np.ndarray = WHITE) ->
         cut[1:-1] = (a != b) & ((a == 0) | (b == 0) | ((a != 3) & (b != 3)))
         cut[off[(off > 0) & (off < len(k))]] = True
     solid = k > 0
-    start = cut[:-1] & solid
-    where = np.flatnonzero(start)
-    place = np.cumsum(solid) - solid  # place of each byte once separators are taken out
-    ends = np.append(place[where], int(solid.sum()))
-    words = pa.Array.from_buffers(pa.large_binary(), len(where), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[solid]))])
+    where = np.flatnonzero(cut[:-1] & solid)
+    size = np.flatnonzero(cut[1:] & solid) + 1 - where
+    ends = np.append(0, np.cumsum(size))
+    words = pa.Array.from_buffers(pa.large_binary(), len(where), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[solid]))])
     return words, np.diff(np.searchsorted(where, off))
 
 
