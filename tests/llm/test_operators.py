@@ -107,11 +107,24 @@ def test_mixing_targets(spark):
     assert targets({}) == {}
 
 
-def test_mixing_comes_near(spark, sf_dir):
-    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "y").alias("source"))
-    rows = mixing.copies(docs).groupBy("source").agg(F.sum(F.col("__size") * F.col("__n")).alias("taken"), F.first("__target").alias("target")).collect()
-    assert all(abs(r.taken - r.target) < 0.03 * r.target for r in rows)
-    assert mixing.mix(docs).count() == sum(r.taken for r in rows) / 3
+@pytest.mark.parametrize("ids, text", [("id", "'a b c'"), ("null", "concat('a b ', id)"), ("null", "'a b c'"), ("7", "'a b c'")])
+def test_mixing_comes_near(spark, ids, text):
+    """With ids, with null ids, and with rows that all repeat."""
+    docs = spark.range(40_000, numPartitions=7).selectExpr(f"cast({ids} as long) as doc_id", f"{text} as text", "case id % 3 when 0 then 'x' when 1 then 'y' end as source", "1 as n", "id as number", "'k' as row")
+    rows = mixing.copies(docs).groupBy("source_size", "target", F.col("row.source")).agg(F.sum(F.col("size") * F.col("n")).alias("taken")).collect()
+    assert len(rows) == 3 and all(abs(r.taken - r.target) < 0.03 * r.target for r in rows)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.taken for r in rows) / 3
+    assert mixed.where("n = 1 and row = 'k'").count() == mixed.count()
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """Running sums over many ranges of sources give what one range gives."""
+    sizes = spark.range(500).selectExpr("concat('s', id) as source", "(id * 7919) % 101 as source_size")
+    want = {tuple(r) for r in mixing.targets(sizes).collect()}
+    plain = mixing.running
+    monkeypatch.setattr(mixing, "running", lambda df, order, sums: plain(df, order, sums, 40))
+    assert {tuple(r) for r in mixing.targets(sizes).collect()} == want
 
 
 # 2
@@ -364,66 +377,68 @@ def test_language_model(spark, folder, sf_dir):
         assert all(r.score < 0 for r in rows)
 
 
-def test_context_tree(spark):
-    """Against a plain recursive context tree on a tiny corpus."""
-    words = {b"aa": 3, b"ab": 2, b"abc": 1, b"b": 0}
-    depth, keys = language_model.DEPTH, collections.Counter()
-    seen = []
-    for w, n in words.items():
-        s = b"\0" * (depth - 1) + b" " + w + b" "
-        for i in range(depth, len(s)):
-            key = int.from_bytes(s[i - depth : i + 1], "big")
-            keys[key] += n
-            seen.append((w, key))
-
-    def counts(context, prefix, bits):
-        z = o = 0
-        for key, n in keys.items():
-            k, b = key.to_bytes(depth + 1, "big")[:-1], key & 255
-            if k.endswith(context) and (1 << bits | b >> (8 - bits) if bits else 1) == prefix:
-                if b >> (7 - bits) & 1:
-                    o += n
-                else:
-                    z += n
-        return z, o
+def context_tree(training, depth):
+    """Plain recursive context trees: the log10 probability of a text's bytes and end, one function call a decision."""
+    counts, below, weights = {}, collections.defaultdict(set), {}
+
+    def steps(text):
+        s = bytes([255]) * depth + text + bytes([255])
+        return [(s[i - depth : i], s[i] >> (8 - j) | 1 << j, s[i] >> (7 - j) & 1) for i in range(depth, len(s)) for j in range(8)]
+
+    for text in training:
+        for context, decision, bit in steps(text):
+            for d in range(depth + 1):
+                node = context[depth - d :], decision
+                counts.setdefault(node, [0, 0])[bit] += 1
+                if d < depth:
+                    below[node].add((context[depth - d - 1 :], decision))
 
     def kt(z, o):
         return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
 
-    def below(context):
-        return {k.to_bytes(depth + 1, "big")[depth - 1 - len(context) : depth] for k in keys if k.to_bytes(depth + 1, "big")[:-1].endswith(context)}
-
-    def weighted(context, prefix, bits):
-        own = kt(*counts(context, prefix, bits))
-        if len(context) == depth:
-            return own
-        return np.logaddexp(own, sum(weighted(c, prefix, bits) for c in below(context) if any(counts(c, prefix, bits)))) - math.log(2)
+    def weighted(node):
+        if node not in weights:
+            own = kt(*counts[node])
+            weights[node] = own if len(node[0]) == depth else np.logaddexp(own, sum(map(weighted, below[node]))) - math.log(2)
+        return weights[node]
 
-    def predicted(full, prefix, bits, bit, context=b""):
-        z, o = counts(context, prefix, bits)
-        own = ((o if bit else z) + 0.5) / (z + o + 1)
-        if len(context) == depth:
+    def predicted(context, decision, bit, d=0):
+        node = context[depth - d :], decision
+        own = (counts[node][bit] + 0.5) / (sum(counts[node]) + 1)
+        if d == depth or (context[depth - d - 1 :], decision) not in counts:
             return own
-        share = math.exp(kt(z, o) - math.log(2) - weighted(context, prefix, bits))
-        return share * own + (1 - share) * predicted(full, prefix, bits, bit, full[depth - 1 - len(context) :])
-
-    k = np.array(sorted(keys))
-    n = np.array([keys[x] for x in k])
-    tails = (k >> 8) & 0xFFFF
-    import pyarrow as pa
-
-    tables = [pa.table({"key": k[tails == t], "n": n[tails == t]}) for t in np.unique(tails)]
-    tops = [r for t in tables for r in language_model.roots(t).to_pylist()]
-    summed = collections.defaultdict(lambda: dict(zeros=0.0, ones=0.0, log_w=0.0))
-    for r in tops:
-        for c in ("zeros", "ones", "log_w"):
-            summed[r["last"], r["decision"]][c] += r[c]
-    upper = language_model.upper_levels([{"last": a, "decision": b, **v} for (a, b), v in summed.items()])
-    for t in tables:
-        for key, logp in zip(*language_model.predictions(upper)(t).to_pydict().values()):
-            full, b = key.to_bytes(depth + 1, "big")[:-1], key & 255
-            want = sum(math.log10(predicted(full, (1 << j | b >> (8 - j)) if j else 1, j, b >> (7 - j) & 1)) for j in range(8))
-            assert logp == pytest.approx(want, abs=1e-9)
+        share = math.exp(kt(*counts[node]) - math.log(2) - weighted(node))
+        return share * own + (1 - share) * predicted(context, decision, bit, d + 1)
+
+    return lambda text: sum(math.log10(predicted(*s) if (b"", s[1]) in counts else 0.5) for s in steps(text))
+
+
+@pytest.mark.parametrize("unit, fan", [(16 << 20, 64), (200, 2)])
+def test_context_tree(spark, monkeypatch, unit, fan):
+    """Against plain recursive trees, in one unit and in a tree of merges several steps high."""
+    rng = random.Random(3)
+    texts = [PROSE, "", None, "Éa é\x00 b", "aa ab abc", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "zq"] + [" ".join(rng.choices(PROSE.upper().split(), k=rng.randint(1, 12))) for _ in range(40)] + ["abc" * 200]
+    monkeypatch.setattr(language_model, "UNIT_BYTES", unit)
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 4 * unit)
+    monkeypatch.setattr(language_model, "FAN", fan)
+    rows = language_model.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    plain = [(t or "").encode().lower() for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    tree = context_tree([t for t, h in zip(plain, held) if not h], language_model.DEPTH)
+    assert len(rows) == len(texts) and any(held)
+    for r in rows:
+        assert r.score == pytest.approx(tree(plain[r.doc_id]), rel=1e-6)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len(plain[r.doc_id]) + 1))
+
+
+def test_language_model_held_out(spark, sf_dir):
+    """Held-out texts take far fewer bits than their bytes' frequencies would."""
+    rows, texts = language_model.op7_language_model(spark, sf_dir).collect(), dict(documents(spark, sf_dir))
+    share = collections.Counter(b for t in texts.values() for b in t.encode().lower())
+    n = sum(share.values())
+    plain = -sum(c / n * math.log2(c / n) for c in share.values())
+    held = [r.bits_per_byte for r in rows if r.held_out]
+    assert held and sum(held) / len(held) < 0.75 * plain
 
 
 # 8

@@ -23,7 +23,7 @@ def test_pipeline(spark, sf_dir):
     private = stages["personal_data"](spark, single, sf_dir)
     assert private.count() == single.count() and not any(personal(r.text) for r in private.collect())
     mixed = stages["mixing"](spark, private, sf_dir)
-    taken = {r.doc_id: r["__n"] for r in mixing.copies(private).collect()}
+    taken = {r.row.doc_id: r.n for r in mixing.copies(private).collect()}
     assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({i: n for i, n in taken.items() if n})
     for df in (clean, single, private, mixed):
         assert df.columns == docs.columns
