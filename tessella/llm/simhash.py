@@ -11,7 +11,9 @@ Edge cases: null and empty texts have fingerprint zero and are linked like any o
 doc_id takes the smallest id of its component, null if there is none; repeated ids are one node; an
 empty table gives an empty result. Extra columns are ignored.
 
-`keep_one`, the pipeline's stage, goes by the similarity of shingles instead (`shingles`)."""
+`keep_one`, the pipeline's stage, takes five-word shingles. Its tables link fingerprints at up to STAGE_REACH
+bits, which the balls of radius one still reach; texts further apart that are near copies by the
+similarity of their shingles are linked by `shingles`."""
 
 from __future__ import annotations
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import connected_components, materialise
 
-SEED, WORDS, REACH = 42, 3, 2
+SEED, WORDS, REACH, STAGE_REACH = 42, 3, 2, 3
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -60,13 +62,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) for all pairs of different fingerprints at REACH bits or fewer, from (fp, rep), one row each."""
+def links(fps: DataFrame, reach: int = REACH) -> DataFrame:
+    """(a, b) for all pairs of different fingerprints at `reach` bits or fewer (three at most: then one segment
+    differs in one bit or none), from (fp, rep), one row each."""
+    if reach > 3:
+        raise ValueError("two segments with balls of radius one reach three bits")
     segments = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.shiftrightunsigned("fp", 32).alias("value")), F.struct(F.lit(1).alias("part"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("value"))))
     rows = fps.select("fp", "rep", segments.alias("s")).select("fp", "rep", "s.part", "s.value")
     ball = F.expr("filter(transform(sequence(0, 32), i -> if(i = 32, value, value | shiftleft(1L, i))), (x, i) -> i = 32 or x <> value)")
     probes = rows.select(F.col("fp").alias("fp1"), F.col("rep").alias("rep1"), "part", F.col("value").alias("own"), F.explode(ball).alias("value"))
-    near = F.expr("bit_count(fp1 ^ fp)") <= REACH
+    near = F.expr("bit_count(fp1 ^ fp)") <= reach
     found = probes.join(rows, ["part", "value"]).where(near & ((F.col("own") != F.col("value")) | (F.col("fp1") < F.col("fp"))))
     return found.select(F.col("rep1").alias("a"), F.col("rep").alias("b"))
 
@@ -85,15 +90,20 @@ def near_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, least: float = shingles.LEAST) -> DataFrame:
-    """(doc_id, same, component_id) for each row of docs, by the similarity of their shingles."""
-    return shingles.near_copies(docs, words, least)
+    """(doc_id, same, component_id) for each row of docs, by fingerprints and the similarity of their shingles."""
+    return shingles.near_copies(docs, lambda fps: links(fps, STAGE_REACH), words, least)
 
 
 def keep_one(docs: DataFrame, words: int = shingles.WORDS, least: float = shingles.LEAST) -> DataFrame:
     """One row per component, the one that gives it its id: the columns of docs. Rows without doc_id pass
     through, as nothing can tell them apart later."""
     found = near_duplicates(docs, words, least).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    several = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
+    if not several.isEmpty():  # of the rows under one id, the one with the smallest hash, so that reruns agree
+        own = [F.col(f"`{c}`") for c in docs.columns]
+        one = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*own), F.xxhash64(F.to_json(F.struct(*own)))).alias("row"))
+        kept = kept.join(several, "doc_id", "left_anti").select(*own).unionByName(one.select("row.*"))
     return kept.unionByName(docs.where("doc_id is null"))
 
 
