@@ -63,16 +63,18 @@ def component(name: str, values: list[str]) -> Column:
 
 
 def protein_pattern(term: str) -> str | None:
-    """V600E, p.C634 or R213* as the three-letter text to search, None for other shapes."""
-    m = re.fullmatch(r"(?:p\.)?([A-Za-z])(\d+)([A-Za-z*]?)", term.strip())
+    """V600E, p.C634 or R213* as the three-letter text to search as a whole word, None for other shapes."""
+    m = re.fullmatch(r"(?:p\.?\s*)?([a-z])(\d+)([a-z*]?)", term.strip().lower())
     if not m or m[1].upper() not in AMINO or (m[3] and m[3].upper() not in AMINO):
         return None
-    return AMINO[m[1].upper()] + m[2] + (AMINO[m[3].upper()] if m[3] else "[a-z]{3}")
+    return rf"\b{AMINO[m[1].upper()]}{m[2]}{AMINO[m[3].upper()] if m[3] else '[a-z]{3}'}\b"
 
 
 def notation(name: str, terms: list[str]) -> Column:
+    """Any term as whole words, or a change of a protein in its three-letter notation."""
     found = [p for p in map(protein_pattern, terms) if p]
-    return F.lower(F.col(name)).rlike("|".join(found)) if found else F.lit(False)
+    words = whole_word(name, terms)
+    return words | F.lower(F.col(name)).rlike("|".join(found)) if found else words
 
 
 OPERATORS = {
@@ -150,3 +152,86 @@ def keep_if_any(df: DataFrame, p: Column) -> DataFrame:
     """Rows that meet p; all rows if none does. The test is one aggregate, not a pass that is collected."""
     some = df.agg(F.coalesce(F.bool_or(p), F.lit(False)).alias("__some"))
     return df.crossJoin(F.broadcast(some)).where(~F.col("__some") | F.coalesce(p, F.lit(False))).drop("__some")  # one row
+
+
+# Filters that depend on what there is.
+
+
+def relaxed(term: str, names: DataFrame, name: str, most: float = 0.02) -> DataFrame:
+    """(term, n): the longest end of the term, word by word, that names hold as words in some rows and in a share of
+    `most` at most; no row if there is none. All ends are counted in one job, over distinct names."""
+    words = term.lower().split()
+    ends = names.sparkSession.createDataFrame([(" ".join(words[k:]), k) for k in range(len(words))], "term string, k int")
+    rows = names.groupBy(F.lower(name).alias("name")).agg(F.count("*").alias("m"))
+    by_word = rows.withColumn("w", F.explode(F.array_distinct(F.split("name", " "))))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    hit = ends.withColumn("w", F.split("term", " ")[0]).join(by_word, "w").where(padded("name").contains(padded("term")))
+    total = names.agg(F.count("*").alias("total"))
+    counts = hit.groupBy("term", "k").agg(F.sum("m").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return counts.where((F.col("n") > 0) & (F.col("n") <= most * F.col("total"))).agg(F.min(F.struct("k", "term", "n")).alias("x")).where("x is not null").select("x.term", "x.n")
+
+
+def vocabulary(rows: DataFrame, name: str) -> DataFrame:
+    """(v): the distinct values of a column of comma-separated `id|some_value`, in lower case with spaces."""
+    raw = rows.select(F.explode(F.split(name, ",")).alias("v"))
+    plain = F.lower(F.translate(F.trim(F.regexp_replace("v", r"^[^|]*\|", "")), "_", " "))
+    return raw.select(plain.alias("v")).where("v <> ''").distinct()
+
+
+def in_vocabulary(vocab: DataFrame, terms: list[str]) -> DataFrame:
+    """(v): what the terms mean in a vocabulary: values that hold a term or its singular, or are held by it. Empty: drop the filter."""
+    forms = sorted({f for t in terms for f in (t.strip().lower(), t.strip().lower().removesuffix("s")) if f})
+    if not forms:
+        return vocab.limit(0)
+    return vocab.where(F.exists(F.array(*[F.lit(f) for f in forms]), lambda x: F.col("v").contains(x) | x.contains(F.col("v"))))
+
+
+def injected(filters: Filters, column: str, value: str | None, *, entities: tuple[str, ...], tables: set[str], table: str) -> Filters:
+    """filters with column = value, if the table is in the plan, some entity is asked for, and the column is not filtered yet."""
+    if value is None or table not in tables or values_of(filters, column) or not any(values_of(filters, e) for e in entities):
+        return filters
+    return filters | {column: [value]}
+
+
+def buckets_of(groups: Column, modality: str | None = None) -> Column:
+    """The true buckets `group:label` of map<group, map<label, boolean>>, of one group if it is named; sorted."""
+    entries = F.map_entries(groups)
+    chosen = F.filter(entries, lambda e: F.upper(e.key) == modality.upper()) if modality else entries
+    labels = F.transform(chosen, lambda e: F.transform(F.filter(F.map_entries(e.value), lambda b: F.coalesce(b.value, F.lit(False))), lambda b: F.concat(e.key, F.lit(":"), b.key)))
+    return F.array_sort(F.coalesce(F.flatten(labels), F.array().cast("array<string>")))
+
+
+def with_buckets(df: DataFrame, name: str, any_of: list[str] | None = None, *, modality: str | None = None, negated: bool = False) -> DataFrame:
+    """Rows with some true bucket (one of any_of, if given), or with none if negated; `buckets` lists them."""
+    found = buckets_of(F.col(name), modality)
+    if any_of:
+        wanted = [w.lower() for w in any_of]
+        found = F.filter(found, lambda x: F.lower(F.substring_index(x, ":", -1)).isin(wanted))
+    rows = df.withColumn("buckets", found)
+    rows = rows.where((F.size("buckets") == 0) if negated else (F.size("buckets") > 0))
+    return rows.withColumn("buckets", F.array_join("buckets", "; "))
+
+
+def between(edges: DataFrame, a: str, b: str, named: DataFrame, known: int | None = None) -> DataFrame:
+    """Edges with both ends among the named (a column of the name `key`); if fewer than two of them are known, those
+    with either end there."""
+    keys = named.select("key").distinct()
+    if known is not None and known < 2:
+        first = edges.join(keys.toDF(a), a, "left_semi")
+        return first.unionByName(edges.join(keys.toDF(a), a, "left_anti").join(keys.toDF(b), b, "left_semi").select(edges.columns))
+    return edges.join(keys.toDF(a), a, "left_semi").join(keys.toDF(b), b, "left_semi").select(edges.columns)
+
+
+def pruned(df: DataFrame, owners: dict[str, str], present: set[str]) -> DataFrame:
+    """df without the columns whose entity (owners: column -> entity) is not asked about."""
+    return df.drop(*[c for c, entity in owners.items() if entity not in present])
+
+
+def prefix_in(text: str, prefixes: list[tuple[str, str]]) -> str | None:
+    """The name prefix of the first phrase that the text holds as words; the list goes from specific to general."""
+    words = f" {' '.join(re.findall(r'[a-z0-9]+', text.lower()))} "
+    return next((p for phrase, p in prefixes if f" {phrase} " in words), None)
+
+
+def starts_with_any(name: str, prefixes: list[str]) -> Column:
+    return reduce(or_, [F.lower(F.col(name)).startswith(p.lower()) for p in prefixes])

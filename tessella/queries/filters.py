@@ -41,9 +41,14 @@ def _(t):
     return t.links.withColumn("flags", F.replace("flags", F.lit("|"), F.lit(" / "))).where(P.component("flags", ["A"])).select("l_partkey", "l_suppkey")
 
 
-@query("notation", "select p_partkey from (select p_partkey, 'x (p.val' || p_size || case when p_partkey % 2 = 0 then 'glu' else 'lys' end || ')' as v from part) where regexp_matches(v, 'val10glu|val1[a-z]{3}')")
+@query(
+    "notation",
+    r"""select p_partkey from (select p_partkey, case p_partkey % 5 when 0 then 'x (p.val' || p_size || 'glu)' when 1 then 'p.Val' || p_size || 'GlufsTer12' when 2 then 'c.5g, p.Val' || p_size || 'Lys' when 3 then 'RS12' || p_size || ' x' else 'V' || p_size || 'E here' end as v from part)
+    where regexp_matches(lower(v), '\bval10glu\b|\bval1[a-z]{3}\b') or regexp_matches(lower(v), '(^|[^a-z0-9_])(v10e|p\.v1|rs123)s?($|[^a-z0-9_])')""",
+)
 def _(t):
-    v = F.concat(F.lit("x (p.Val"), "p_size", F.when(F.col("p_partkey") % 2 == 0, "Glu").otherwise("Lys"), F.lit(")"))
+    kinds = [F.concat(F.lit("x (p.val"), "p_size", F.lit("glu)")), F.concat(F.lit("p.Val"), "p_size", F.lit("GlufsTer12")), F.concat(F.lit("c.5g, p.Val"), "p_size", F.lit("Lys")), F.concat(F.lit("RS12"), "p_size", F.lit(" x")), F.concat(F.lit("V"), "p_size", F.lit("E here"))]
+    v = F.element_at(F.array(*kinds), (F.col("p_partkey") % 5 + 1).cast("int"))
     return t.part.withColumn("v", v).where(P.notation("v", ["V10E", "p.V1", "rs123"])).select("p_partkey")
 
 
@@ -109,29 +114,19 @@ def _(t):
     select cand as term, n from n where n > 0 and n <= 0.02 * (select count(*) from part) order by k limit 1""",
 )
 def _(t):
-    words = "pediatric shiny red widget".split()
-    cands = t.spark.createDataFrame([(" ".join(words[k:]), k) for k in range(len(words))], "term string, k int")
-    names = t.part.groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("m"))
-    by_word = names.withColumn("w", F.explode(F.array_distinct(F.split("name", " "))))
-    hit = cands.withColumn("w", F.split("term", " ")[0]).join(by_word, "w").where(F.concat(F.lit(" "), "name", F.lit(" ")).contains(F.concat(F.lit(" "), "term", F.lit(" "))))
-    counts = hit.groupBy("term", "k").agg(F.sum("m").alias("n")).crossJoin(F.broadcast(t.part.agg(F.count("*").alias("total"))))  # one row
-    return counts.where("n > 0 and n <= 0.02 * total").agg(F.min(F.struct("k", "term", "n")).alias("x")).where("x is not null").select("x.term", "x.n")
+    return P.relaxed("Pediatric shiny red widget", t.part, "p_name")
 
 
-@query("vocab_norm", "select distinct v from (select lower(replace(unnest(string_split(p_type, ',')), '_', ' ')) as v from part) where contains(v, 'econom') or contains('small parts', v)")
+@query("vocab_norm", "select distinct v from (select lower(replace(unnest(string_split(p_type, ',')), '_', ' ')) as v from part) where contains(v, 'econom') or contains('small parts', v) or contains('small part', v)")
 def _(t):
-    raw = t.part.select(F.explode(F.split("p_type", ",")).alias("v"))
-    vocab = raw.select(F.lower(F.translate(F.regexp_replace("v", r"^[^|]*\|", ""), "_", " ")).alias("v")).distinct()
-    terms = F.array(F.lit("econom"), F.lit("small parts"))
-    return vocab.where(F.exists(terms, lambda x: F.col("v").contains(x) | x.contains(F.col("v"))))
+    return P.in_vocabulary(P.vocabulary(t.part, "p_type"), ["Econom", "small parts"])
 
 
 @query("inject_filter", "select p_partkey from part where lower(p_brand) = 'brand#3' and lower(p_type) = 'economy'")
 def _(t):
-    def with_evidence(filters, intent):
-        return filters if "p_type" in filters or "p_brand" not in filters else filters | {"p_type": [{"cheap": "economy", "tiny": "small"}[intent]]}
-
-    return P.filter_table(t.part, with_evidence({"p_brand": ["Brand#3"]}, "cheap")).select("p_partkey")
+    intents = {"cheap": "economy", "tiny": "small"}
+    filters = P.injected({"p_brand": ["Brand#3"]}, "p_type", intents["cheap"], entities=("p_brand",), tables={"part"}, table="part")
+    return P.filter_table(t.part, filters).select("p_partkey")
 
 
 @query("two_hop_filter", "select c_custkey from customer where 'n' || c_nationkey in (select child_id from hier where lower(parent_name) = 'asia')", "hier")
@@ -140,23 +135,41 @@ def _(t):
     return t.customer.withColumn("k", F.concat(F.lit("n"), "c_nationkey")).join(below, "k", "left_semi").select("c_custkey")
 
 
-@query("map_bucket", "select l_partkey, l_suppkey, array_to_string(list_transform(list_sort(string_split(flags, '|')), lambda x: 'flag:' || x), '; ') as buckets from links where contains(flags, 'R')", "links")
+def flagged(t):
+    """links with a map of maps: its flags in one group, the size of its price in another."""
+    flags = F.map_from_entries(F.transform(F.split("flags", r"\|"), lambda x: F.struct(x, F.lit(True))))
+    return t.links.withColumn("m", F.create_map(F.lit("FL"), flags, F.lit("PR"), F.create_map(F.lit("dear"), F.col("price") > 50_000, F.lit("cheap"), F.col("price") < 2_000)))
+
+
+@query("map_bucket", "select l_partkey, l_suppkey, array_to_string(list_transform(list_sort(string_split(flags, '|')), lambda x: 'FL:' || x) || case when price > 50000 then ['PR:dear'] when price < 2000 then ['PR:cheap'] else []::varchar[] end, '; ') as buckets from links", "links")
+def _(t):
+    return P.with_buckets(flagged(t), "m").select("l_partkey", "l_suppkey", "buckets")
+
+
+@query("map_bucket_any", "select l_partkey, l_suppkey, array_to_string(list_transform(list_filter(list_sort(string_split(flags, '|')), lambda x: x in ('A', 'N')), lambda x: 'FL:' || x), '; ') as buckets from links where contains(flags, 'A') or contains(flags, 'N')", "links")
+def _(t):
+    return P.with_buckets(flagged(t), "m", ["a", "N"], modality="fl").select("l_partkey", "l_suppkey", "buckets")
+
+
+@query("map_bucket_none", "select l_partkey, l_suppkey, '' as buckets from links where price between 2000 and 50000", "links")
 def _(t):
-    m = F.map_from_entries(F.transform(F.split("flags", r"\|"), lambda x: F.struct(x, F.lit(True))))
-    rows = t.links.withColumn("m", F.map_filter(m, lambda k, v: v)).where(F.coalesce(F.try_element_at("m", F.lit("R")), F.lit(False)))
-    return rows.select("l_partkey", "l_suppkey", F.array_join(F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat(F.lit("flag:"), k)), "; ").alias("buckets"))
+    return P.with_buckets(flagged(t), "m", modality="PR", negated=True).select("l_partkey", "l_suppkey", "buckets")
 
 
 @query("edge_cross", "select a, b, score from pairs where a in (select p_partkey from part where p_brand = 'Brand#1') and b in (select p_partkey from part where p_brand = 'Brand#1')", "pairs")
 def _(t):
-    named = t.part.where("p_brand = 'Brand#1'").select("p_partkey")
-    return t.pairs.join(named.toDF("a"), "a", "left_semi").join(named.toDF("b"), "b", "left_semi").select("a", "b", "score")
+    return P.between(t.pairs, "a", "b", t.part.where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("key")))
+
+
+@query("edge_anchor", "select a, b, score from pairs where a = 7 or b = 7", "pairs")
+def _(t):
+    return P.between(t.pairs, "a", "b", t.part.where("p_partkey = 7").select(F.col("p_partkey").alias("key")), known=1)
 
 
-@query("prune_columns", "select p_partkey, p_name from part")
+@query("prune_columns", "select p_partkey, p_name, p_size from part")
 def _(t):
-    present = {"drug"}
-    return t.part.select("p_partkey", "p_name", F.lit("x").alias("disease_note")).drop(*[c for e, c in (("disease", "disease_note"), ("drug", "absent")) if e not in present])
+    owners = {"disease_note": "disease", "p_size": "drug", "p_brand": "gene", "p_type": "gene", "p_retailprice": "disease"}
+    return P.pruned(t.part.withColumn("disease_note", F.col("p_type")), owners, {"drug"})
 
 
 @query("literal_floor", "select p_partkey from part where lower(p_name) = 'red widget'")
@@ -164,12 +177,10 @@ def _(t):
     return P.filter_table(t.part, spec.literal_floor({"p_name": []}, {"p_name": [" Red Widget "], "p_brand": "requested"})).select("p_partkey")
 
 
-@query("prefix_inject", "select distinct n_name from nation where starts_with(lower(n_name), 'nation_1')")
+@query("prefix_inject", "select n_name from nation where starts_with(lower(n_name), 'nation_1')")
 def _(t):
-    tokens = t.spark.createDataFrame([("first", "NATION_1"), ("second", "NATION_2")], "word string, prefix string")
-    words = t.spark.createDataFrame([(w, i) for i, w in enumerate("the first nations".split())], "word string, i int")
-    prefix = words.join(tokens, "word").agg(F.min(F.struct("i", "prefix")).alias("x")).select(F.lower("x.prefix").alias("prefix"))
-    return t.nation.crossJoin(F.broadcast(prefix)).where(F.lower("n_name").startswith(F.col("prefix"))).select("n_name").distinct()  # one row
+    prefix = P.prefix_in("Sets of the first nations, first and second", [("first nations", "NATION_1"), ("second", "NATION_2"), ("nations", "NATION_")])
+    return t.nation.where(P.starts_with_any("n_name", [prefix])).select("n_name")
 
 
 @query("phrase_rewrite", "select p_partkey, case when contains(p_name, 'crimson') then p_name else replace(p_name, 'red', 'crimson') end as name from part")
