@@ -31,18 +31,19 @@ def typed_edges(records: DataFrame, by: str, table: str, node: str) -> DataFrame
     return a.join(b, by).where((F.col("ta") != F.col("tb")) & (F.col("a") < F.col("b"))).select("a", "b", F.col(by).alias("kind")).distinct()
 
 
-def descendants(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
-    """(root, node, depth): the closure below each root, itself at depth 0; cycles end where a node was seen."""
+def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(root, node, depth): the whole closure below each root, itself at depth 0; cycles end where a node was seen."""
     seen = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     last, d = seen, 0
-    while d < most:
+    while True:
         d += 1
         below = last.select("root", "node").join(edges.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node")).distinct()
         last = checkpointed(below.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if last.isEmpty():
-            break
+            return seen
         seen = seen.union(last)
-    return seen
+        if d % 10 == 0:  # a deep closure is one table again, not a union of each depth
+            seen = checkpointed(seen)
 
 
 def children(edges: DataFrame, names: list[str], *, end: str = "parent") -> DataFrame:
@@ -58,13 +59,34 @@ def expand(source: DataFrame, edges: DataFrame, from_key: str, to_key: str, *, s
     return rows.orderBy(*total(rows, F.desc(score_value(rows, edge_score)))).limit(most)
 
 
-def traverse(start: DataFrame, hops: list[tuple[DataFrame, str, str]], *, score: str, top_k: int = 25) -> DataFrame:
-    """From start ids over one or two hops (edges, from, to); one row per final id, the best."""
+class Edges:
+    """Edge tables by the types of their ends: (from, to) -> (table, from key, to key)."""
+
+    def __init__(self, tables: dict[tuple[str, str], tuple[DataFrame, str, str]]):
+        self.tables = tables
+
+    def of(self, a: str, b: str) -> tuple[DataFrame, str, str]:
+        if (a, b) in self.tables:
+            return self.tables[a, b]
+        if (b, a) in self.tables:
+            table, from_key, to_key = self.tables[b, a]
+            return table, to_key, from_key
+        raise KeyError(f"no edges from {a} to {b}; there are {sorted(self.tables)}")
+
+    def path(self, *types: str) -> list[tuple[DataFrame, str, str]]:
+        return [self.of(a, b) for a, b in zip(types, types[1:])]
+
+
+def traverse(start: DataFrame, hops: list[tuple[DataFrame, str, str]], *, score: str, top_k: int = 25, name: str | None = None) -> DataFrame:
+    """From start ids over one or two hops (edges, from, to); one row per final id, the best. Rows without an id
+    are told apart by name, if one is given; rows with neither go."""
     rows = start
     for edges, a, b in hops:
         rows = expand(rows, edges, a, b, source_score=score, edge_score=score, top_k=top_k)
-    key = hops[-1][2]
-    kept = rows.where(norm_key(F.col(key)).isNotNull()).withColumn("__k", norm_key(F.col(key)))
+    key = norm_key(F.col(hops[-1][2]))
+    if name and name in rows.columns:
+        key = F.coalesce(F.concat(F.lit("id:"), key), F.concat(F.lit("name:"), norm_key(F.col(name))))
+    kept = rows.where(key.isNotNull()).withColumn("__k", key)
     return first_per_key(kept, ["__k"], total(rows, F.desc(score_value(rows, score)))).drop("__k")
 
 

@@ -65,6 +65,23 @@ def _(t):
     return G.expand(source, edges, "l_suppkey", "l_suppkey", source_score="s_acctbal", edge_score="price", top_k=5, most=40)
 
 
+@query(
+    "traverse_typed",
+    """with h1 as (select l_partkey, max(price) as price from links where l_suppkey = 3 group by 1), top as (select l_partkey from h1 order by price desc, l_partkey::varchar limit 5),
+    h2 as (select case when l_suppkey % 2 = 0 then l_suppkey end as l_suppkey, case when l_suppkey % 3 = 0 then 'S' || l_suppkey end as name, price from links where l_partkey in (select l_partkey from top))
+    select l_suppkey, case when l_suppkey is null then name end as name, max(price) as price from h2 where l_suppkey is not null or name is not null group by all""",
+    "links",
+)
+def _(t):
+    edges = t.links.select("l_partkey", "l_suppkey", "price")
+    odd = F.col("l_suppkey") % 2 == 1
+    named = edges.withColumn("name", F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("S"), "l_suppkey"))).withColumn("l_suppkey", F.when(~odd, F.col("l_suppkey")))
+    registry = G.Edges({("supplier", "part"): (edges, "l_suppkey", "l_partkey"), ("part", "vendor"): (named, "l_partkey", "l_suppkey")})
+    start = edges.where("l_suppkey = 3").groupBy("l_partkey").agg(F.max("price").alias("price"))
+    out = G.traverse(start, registry.path("part", "vendor"), score="price", top_k=5, name="name")
+    return out.select("l_suppkey", F.when(F.col("l_suppkey").isNull(), F.col("name")).alias("name"), "price")
+
+
 @query(
     "traverse",
     """with h1 as (select l_partkey, max(price) as s from links where l_suppkey = 3 group by 1), top as (select l_partkey from h1 order by s desc, l_partkey::varchar limit 5)
