@@ -47,6 +47,7 @@ class StarPlan:
     rank: tuple[tuple[str, bool], ...] = ()  # (column, descending), the first present one ranks
     tie_breakers: tuple[str, ...] = ()
     strict: bool = True
+    rewrites: dict[str, dict[str, str]] = field(default_factory=dict)  # column -> value in lower case -> what the table has
 
     def edge(self, a: str, b: str) -> JoinEdge | None:
         for e in self.joins:

@@ -22,6 +22,7 @@ Catalog = dict[str, DataFrame]
 class QueryResult:
     rows: DataFrame
     funnel: DataFrame | None = None  # per table and filter: rows before and after, from one pass over each table
+    joins: DataFrame | None = None  # per join: the table, rows before and after, from the histograms of its keys
 
 
 def declared(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -59,7 +60,16 @@ def estimated_rows(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]
     return one.crossJoin(F.broadcast(both))  # one row each
 
 
-def guard_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], most_factor: float = 100_000, most_rows: int = 10_000_000_000) -> None:
+def join_step(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str) -> DataFrame:
+    """(rows_before, rows_after) of a join, counted without joining rows."""
+    ls, rs = [l for l, _ in keys], [r for _, r in keys]
+    a, b = left.groupBy(*ls).agg(F.count("*").alias("__nl")), right.groupBy(*rs).agg(F.count("*").alias("__nr"))
+    both = attach(a, b, keys, "left")
+    after = F.col("__nl") * F.coalesce("__nr", F.lit(1 if how == "left" else 0))
+    return both.agg(F.coalesce(F.sum("__nl"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum(after), F.lit(0)).alias("rows_after"))
+
+
+def guard_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], most_factor: float = 100_000, most_rows: int = 10_000_000) -> None:
     n = estimated_rows(left, right, keys).first()
     if n["join_rows"] > most_rows or n["join_rows"] > most_factor * max(1, n["left_rows"]):
         raise ExplosionError(f"{n['left_rows']} rows would become {n['join_rows']}")
@@ -89,11 +99,12 @@ def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_o
     """Hooks: before(filters) may change the filters, after(rows) the result; on_empty(filters) gives the filters
     of a second attempt if the first finds nothing (which then has to be run to be known)."""
     filters = before(filters) if before else filters
+    filters = {k: [plan.rewrites.get(k, {}).get(str(x).strip().lower(), x) for x in v] if isinstance(v, list) else v for k, v in filters.items()}
     how = {"kinds": kinds, "any_of": any_of, "operators": operators}
     guard_filters(filters, {c for t in plan.parents for c in catalog[t].columns})
     tables = {t: predicates.filter_table(catalog[t], filters, **how) for t in plan.parents}
     root = next(t for t, p in plan.parents.items() if p is None and t not in plan.decorations)
-    done, rows = {root}, tables[root]
+    done, rows, joins = {root}, tables[root], []
     while len(done) < len(plan.parents):
         child = next((t for t, p in plan.parents.items() if t not in done and p in done), None)
         if child is None:
@@ -101,7 +112,9 @@ def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_o
         keys = join_keys(plan, plan.parents[child], child, set(rows.columns), tables[child])
         if guard:
             guard_join(rows, tables[child], keys)
-        rows = attach(rows, tables[child], keys, "left" if child in plan.decorations else "inner")
+        how_joined = "left" if child in plan.decorations else "inner"
+        joins.append(join_step(rows, tables[child], keys, how_joined).select(F.lit(len(joins) + 1).alias("step"), F.lit(child).alias("table"), "rows_before", "rows_after"))
+        rows = attach(rows, tables[child], keys, how_joined)
         done.add(child)
     for field, values in plan.require_all.items():
         entity = [c for c in plan.outputs if c in rows.columns and c != field]
@@ -117,4 +130,4 @@ def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_o
     if on_empty and rows.isEmpty():
         return run(catalog, plan, on_empty(filters), kinds=kinds, any_of=any_of, operators=operators, after=after, guard=guard)
     steps = [predicates.funnel(catalog[t], filters, **how).withColumn("table", F.lit(t)) for t in plan.parents if predicates.table_predicates(catalog[t], filters, **how)]
-    return QueryResult(rows, reduce(DataFrame.unionByName, steps) if steps else None)
+    return QueryResult(rows, reduce(DataFrame.unionByName, steps) if steps else None, reduce(DataFrame.unionByName, joins) if joins else None)

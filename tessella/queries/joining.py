@@ -52,6 +52,24 @@ def _(t):
     return flagship(t).funnel
 
 
+@query(
+    "star_joins",
+    """with n as (select n_nationkey from nation where n_name in ('NATION_18', 'NATION_19')),
+    s1 as (select l.* from lineitem l join supplier on l_suppkey = s_suppkey), s2 as (select s1.* from s1 join supplier on l_suppkey = s_suppkey join n on s_nationkey = n_nationkey),
+    s3 as (select s2.* from s2 join part on l_partkey = p_partkey), s4 as (select s3.*, o_custkey from s3 join orders on l_orderkey = o_orderkey), s5 as (select s4.* from s4 join customer on o_custkey = c_custkey where c_mktsegment = 'HOUSEHOLD')
+    select 1 as step, 'supplier' as "table", (select count(*) from lineitem) as rows_before, (select count(*) from s1) as rows_after union all select 2, 'nation', (select count(*) from s1), (select count(*) from s2)
+    union all select 3, 'part', (select count(*) from s2), (select count(*) from s3) union all select 4, 'orders', (select count(*) from s3), (select count(*) from s4) union all select 5, 'customer', (select count(*) from s4), (select count(*) from s5)""",
+)
+def _(t):
+    return flagship(t).joins
+
+
+@query("star_rewritten", "select distinct r_name, n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'")
+def _(t):
+    plan = StarPlan(parents={"nation": None, "region": "nation"}, joins=(JoinEdge("nation", "region", ("n_regionkey",), ("r_regionkey",)),), outputs=("n_name", "r_name"), rewrites={"r_name": {"far east": "Asia"}})
+    return star.run({"nation": t.nation, "region": t.region}, plan, {"r_name": ["Far East"]}).rows
+
+
 @query("star_retry", "select distinct n_name, r_name from nation join region on n_regionkey = r_regionkey where lower(r_name) = 'asia'")
 def _(t):
     plan = StarPlan(parents={"nation": None, "region": "nation"}, joins=(JoinEdge("nation", "region", ("n_regionkey",), ("r_regionkey",)),), outputs=("n_name", "r_name"))
@@ -99,7 +117,13 @@ def _(t):
     return t.part.join(scores, "p_partkey", "left").select("p_partkey", "p_name", "s")
 
 
-@query("detect_key", "select 'drug_id' as k, 'id' as confidence")
+@query(
+    "detect_key",
+    """with a as (select '' as gene_id, p_partkey::varchar as drug_id, p_name as drug_name from part), b as (select * from a where drug_id < '5'),
+    n as (select 'gene_id' as k, 1 as o, (select count(*) from a where trim(gene_id) <> '') as l, (select count(*) from b where trim(gene_id) <> '') as r union all select 'drug_id', 2, (select count(*) from a where trim(drug_id) <> ''), (select count(*) from b where trim(drug_id) <> '')
+      union all select 'drug_name', 3, (select count(*) from a where trim(drug_name) <> ''), (select count(*) from b where trim(drug_name) <> ''))
+    select k, case when k like '%_id' then 'id' else 'name' end as confidence from n where l > 0 and r > 0 order by o limit 1""",
+)
 def _(t):
     a = t.part.select(F.lit("").alias("gene_id"), F.col("p_partkey").cast("string").alias("drug_id"), F.col("p_name").alias("drug_name"))
     k, confidence = K.detect_key(a, a.where("drug_id < '5'"))
