@@ -7,10 +7,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessella.operators.retrieval import cosine_top_k
 
 LIMIT, WINDOW, LATE = 20, "1 hour", "2 hours"
+#: How long first votes and judged votes are remembered after the last one.
+FIRST_LIFE, TRUST_LIFE = "8 days", "90 days"
 
 
 def source(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -37,8 +43,34 @@ def hourly(rows: DataFrame, key: str = "session", limit: int = LIMIT) -> DataFra
     return out.select(key, F.col("window.start").alias("hour"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("rejected"))
 
 
-def first_seen(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("db", "query").agg(F.min("ts").alias("first_ts"))
+def admitted(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Each session's first votes of an hour, up to the limit; the rest are rejected. On a stream the count of an hour is
+    state, given up once the watermark has passed it, and votes of one batch are taken in order of time."""
+    order = ["ts", *[c for c in rows.columns if c != "ts"]]
+    if not rows.isStreaming:
+        w = Window.partitionBy("session", F.date_trunc("hour", "ts")).orderBy(*order)
+        return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+
+    def first(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        taken = state.get[0] if state.exists else 0
+        votes = pd.concat(list(batches)).sort_values(order, kind="stable")[columns].head(max(0, limit - taken))
+        state.update((taken + len(votes),))
+        state.setTimeoutTimestamp(max(int(key[1].timestamp() * 1000) + 3_600_000, state.getCurrentWatermarkMs() + 1))
+        yield votes
+
+    columns = rows.columns
+    dealt = rows.withWatermark("ts", LATE).withColumn("__hour", F.date_trunc("hour", "ts"))
+    return dealt.groupBy("session", "__hour").applyInPandasWithState(first, rows.schema, "taken long", "append", "EventTimeTimeout")
+
+
+def first_seen(rows: DataFrame, life: str = FIRST_LIFE) -> DataFrame:
+    """(db, query, first_ts, last_ts): the first vote, forgotten once `life` has gone by without another; a row for each time."""
+    rows = rows.withWatermark("ts", LATE) if rows.isStreaming else rows
+    lives = rows.groupBy("db", "query", F.session_window("ts", life)).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return lives.select("db", "query", "first_ts", "last_ts")
 
 
 def trust(correct: Column, total: Column) -> Column:
@@ -48,17 +80,34 @@ def trust(correct: Column, total: Column) -> Column:
     return F.when((n >= 5) & (r < 0.3), 0.1).when(n >= 20, F.least(F.lit(1.0), 0.3 + 0.7 * r)).otherwise(0.3 + 0.4 * r)
 
 
-def session_trust(rows: DataFrame) -> DataFrame:
-    sums = rows.groupBy("session").agg(F.count_if(F.col("verdict") == "up").alias("correct"), F.count("*").alias("total"))
-    return sums.withColumn("trust", F.round(trust(F.col("correct"), F.col("total")), 6))
+def session_trust(judged: DataFrame, now=None, life: str = TRUST_LIFE) -> DataFrame:
+    """(session, correct, total, trust) from judged votes (session, correct boolean, ts): whether a judge confirmed them,
+    whatever they said. What is older than a gap of `life` without a judged vote is forgotten, all of it by `now` if the
+    last one is."""
+    rows = judged.withWatermark("ts", LATE) if judged.isStreaming else judged
+    lives = rows.groupBy("session", F.session_window("ts", life).alias("w")).agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"))
+    lives = lives.where(F.col("w.end") > F.lit(now).cast("timestamp")) if now is not None else lives
+    last = lives.groupBy("session").agg(F.max(F.struct("w.end", "correct", "total")).alias("x")) if not judged.isStreaming else lives.select("session", F.struct("w.end", "correct", "total").alias("x"))
+    return last.select("session", "x.correct", "x.total", F.round(trust(F.col("x.correct"), F.col("x.total")), 6).alias("trust"))
+
+
+def promoted(rows: DataFrame, trusts: DataFrame, now, *, sessions: int = 3, least_trust: float = 2.0, hours: int = 48, near: DataFrame | None = None, life: str = FIRST_LIFE) -> DataFrame:
+    """(db, query) with votes up from enough sessions, enough trust together (sessions that nobody judged have that of none),
+    long enough since the first vote that is remembered, and not among the near duplicates of what is in the bank (db, query)."""
+    up = rows.where("verdict = 'up'").groupBy("db", "query", "session").agg(F.min("ts").alias("ts")).join(trusts.select("session", "trust"), "session", "left")
+    weight = F.coalesce("trust", F.round(trust(F.lit(0), F.lit(1)), 6))
+    sums = up.groupBy("db", "query").agg(F.count("*").alias("sessions"), F.sum(weight).alias("trust"))
+    first = first_seen(rows, life).groupBy("db", "query").agg(F.max("first_ts").alias("first_ts"))
+    old = F.col("first_ts") <= F.lit(now).cast("timestamp") - F.expr(f"interval {hours} hours")
+    out = sums.join(first, ["db", "query"]).where((F.col("sessions") >= sessions) & (F.round("trust", 6) >= least_trust) & old).withColumn("trust", F.round("trust", 4))
+    return out.join(near.select("db", "query").distinct(), ["db", "query"], "left_anti") if near is not None else out
 
 
-def promoted(rows: DataFrame, trusts: DataFrame, now, *, sessions: int = 3, least_trust: float = 2.0, hours: int = 48) -> DataFrame:
-    """(db, query) with votes up from enough sessions, enough trust together, and long enough since the first."""
-    up = rows.where("verdict = 'up'").groupBy("db", "query", "session").agg(F.min("ts").alias("ts")).join(trusts.select("session", "trust"), "session")
-    sums = up.groupBy("db", "query").agg(F.count("*").alias("sessions"), F.sum("trust").alias("trust"), F.min("ts").alias("first_ts"))
-    old = F.col("first_ts") <= F.lit(now).cast("timestamp") - F.expr(f"interval {hours} hours")
-    return sums.where((F.col("sessions") >= sessions) & (F.round("trust", 6) >= least_trust) & old).withColumn("trust", F.round("trust", 4))
+def near_bank(candidates: DataFrame, bank: DataFrame, least: float = 0.92) -> DataFrame:
+    """(db, query) of the candidates (db, query, v) that come as near as that to a vector of the bank (id, v)."""
+    asked = candidates.select(F.concat_ws("\x1f", "db", "query").alias("qid"), F.col("v").alias("q"), "db", "query")
+    hit = cosine_top_k(asked.select("qid", "q"), bank, 1, least=least)
+    return asked.join(hit.select("qid"), "qid", "left_semi").select("db", "query")
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
