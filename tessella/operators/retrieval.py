@@ -10,17 +10,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.text import cosine, dot, norm
+from tessella.functions.text import cosine
+
+
+#: Vectors that a task multiplies with its queries at a time, and queries of such a block.
+BLOCK_ROWS, QUERY_ROWS = 16384, 4096
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, payload: str | None = None, least: float = -1.0) -> DataFrame:
-    """(qid, id, score): the k nearest vectors of each query, of its own payload if one is named. queries:
-    (qid, q[, payload]); vectors: (id, v[, payload]). With a payload the two meet in an equi-join; without one,
-    the stated queries are the small side and Spark chooses how they are sent."""
-    queries, vectors = queries.withColumn("qn", norm(F.col("q"))), vectors.withColumn("vn", norm(F.col("v")))  # once per vector
-    pairs = queries.join(vectors, payload) if payload else queries.crossJoin(vectors)
-    score = F.when((F.col("qn") > 0) & (F.col("vn") > 0), dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")))
-    scored = pairs.select("qid", "id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+    """(qid, id, score): the k nearest vectors of each query, of its own payload if one is named, by cosine rounded to 6, then id. queries:
+    (qid, q[, payload]); vectors: (id, v[, payload]). Both are dealt to blocks, and a task has the matrix of products of a
+    pair of blocks; a query goes once to each block of vectors, a vector to each block of queries."""
+    sizes = [-(-df.count() // n) or 1 for df, n in ((queries, QUERY_ROWS), (vectors, BLOCK_ROWS))]
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = F.col(payload) if payload else F.lit(0)
+    left = queries.select("qid", F.col("q").cast("array<double>").alias("q"), group.alias("g"), number("qid", sizes[0]).alias("a"), each(sizes[1]).alias("b"))
+    right = vectors.select("id", F.col("v").cast("array<double>").alias("v"), group.alias("g"), number("id", sizes[1]).alias("b"), each(sizes[0]).alias("a"))
+    out = f"qid {dict(queries.dtypes)['qid']}, id {dict(vectors.dtypes)['id']}, score double"
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.array(column.to_list(), float)
+        length = np.sqrt((x * x).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(length[:, None] > 0, x / length[:, None], np.nan)
+
+    def best(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or near.empty:
+            return pd.DataFrame({"qid": own["qid"][:0], "id": near["id"][:0], "score": np.zeros(0)})
+        q, v, ids, found = unit(own["q"]), unit(near["v"]), near["id"].to_numpy(), []
+        for n in range(0, len(q), 256):
+            scores = np.nan_to_num(q[n : n + 256] @ v.T, nan=-np.inf)
+            low = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+            i, j = np.nonzero((scores >= low[:, None] - 2e-6) & np.isfinite(scores))  # ties once rounded are left to the order by id
+            found.append(pd.DataFrame({"qid": own["qid"].to_numpy()[n + i], "id": ids[j], "score": scores[i, j]}))
+        return pd.concat(found)
+
+    pairs = left.groupBy("g", "a", "b").cogroup(right.groupBy("g", "a", "b")).applyInPandas(best, out)
+    scored = pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 

@@ -61,14 +61,14 @@ def _(t):
     m as (select root as id, i, avg(x) as m from n join x on x.id = n.node group by all),
     b as (select x.id, x.i, 0.9 * x + 0.1 * m as b from x join m using (id, i)),
     l as (select id, sqrt(sum(b * b)) as len from b group by 1)
-    select id, round(max(b) filter (where i = 1) / max(len), 5) as x1, round(max(b) filter (where i = 64) / max(len), 5) as x64 from b join l using (id) group by 1""",
+    select id, i, round(b / len, 5) as x from b join l using (id)""",
 )
 def _(t):
     ids = t.embeddings.select(F.col("vec_id").alias("a"))
     e = ids.select("a", (F.col("a") + 1).alias("b"), F.lit("0").alias("kind")).join(ids.toDF("b"), "b", "left_semi")
     near = G.neighbours(e, ids.toDF("root"), 1)
     out = V.blend(vectors(t).drop("label"), near)
-    return out.select("id", F.round(F.element_at("v", 1), 5).alias("x1"), F.round(F.element_at("v", 64), 5).alias("x64"))
+    return out.select("id", F.posexplode("v").alias("i", "x")).select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
 @query("relevance", "select vec_id, label, round(embedding[1]::double / sqrt(list_inner_product(embedding::double[], embedding::double[])), 4) as relevance_score from embeddings")
