@@ -24,6 +24,14 @@ def _(t):
     return s.select("l_returnflag", F.round("avg", 4).alias("avg"), F.round("sum", 2).alias("sum"), "min", "max", F.round("median", 4).alias("median"))
 
 
+@query("stats_approximate", "select l_returnflag, count(*) as n, true as near from lineitem group by 1")
+def _(t):
+    """The approximate median lies between the values at 49 and 51 % of the rows."""
+    s = S.statistics(t.lineitem, "l_extendedprice", ["l_returnflag"], approximate=True).select("l_returnflag", "median")
+    x = t.lineitem.join(s, "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_extendedprice") <= F.col("median")).alias("low"))
+    return x.select("l_returnflag", "n", (F.abs(F.col("low") / F.col("n") - 0.5) <= 0.01 + 1 / F.col("n")).alias("near"))
+
+
 @query("share", "select l_returnflag, round(count(*) filter (where l_discount > 0.05) / count(*), 6) as share from lineitem group by 1")
 def _(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(S.share(F.col("l_discount") > 0.05), 6).alias("share"))
@@ -178,7 +186,12 @@ def _(t):
     return O.preview(t.documents.select("doc_id", "text").orderBy("doc_id"), 50)
 
 
-@query("budget", "select p_partkey, p_name from part order by p_partkey limit 16")
+@query(
+    "budget",
+    """with r as (select p_partkey, p_name, row_number() over (order by p_partkey) as i, sum(length(to_json({'p_partkey': p_partkey, 'p_name': p_name})::varchar)) over (order by p_partkey) as size from part),
+    h as (select unnest([64, 32, 16, 8, 4, 2, 1]) as h), n as (select max(h) as n from h where (select max(size) from r where i <= h) <= 720)
+    select p_partkey, p_name from r where i <= (select coalesce(n, 1) from n)""",
+)
 def _(t):
     return O.within_budget(t.part.select("p_partkey", "p_name"), [F.asc("p_partkey")], 64, 720)
 

@@ -95,6 +95,13 @@ def _(t):
     return C.auto_partner_attributes(t.pairs, t.part, master_key="p_partkey", partner_fk="b")
 
 
+@query("partner_found", "select l.l_partkey, l_suppkey, partner_id, p_name as partner_p_name, p_type as partner_p_type, p_size as partner_p_size, p_retailprice as partner_p_retailprice from (select l_partkey, l_suppkey, l_partkey % 7 + 1 as partner_id, 'x' as p_brand from links) l left join part on partner_id = p_partkey", "links")
+def _(t):
+    fact = t.links.select("l_partkey", "l_suppkey", (F.col("l_partkey") % 7 + 1).alias("partner_id"), F.lit("x").alias("p_brand"))
+    references = [("fact", "l_partkey", "part", "p_partkey"), ("fact", "partner_id", "part", "p_partkey"), ("fact", "l_suppkey", "supplier", "s_suppkey")]
+    return C.with_partners({"fact": fact, "part": t.part, "supplier": t.supplier}, references)["fact"].drop("p_brand")
+
+
 @query("hierarchy_names", "select a as parent, b as child, p.p_name as parent_name, c.p_name as child_name from pairs left join (select * from part where p_size <= 40) p on a = p.p_partkey left join (select * from part where p_size <= 40) c on b = c.p_partkey", "pairs")
 def _(t):
     return C.name_both_ends(t.pairs.select(F.col("a").alias("parent"), F.col("b").alias("child")), t.part.where("p_size <= 40"), "parent", "child", "p_partkey", "p_name")
@@ -155,6 +162,18 @@ def _(t):
     return out.select("page_id", F.coalesce("title", F.lit("")).alias("title"))
 
 
+@query(
+    "xml_synonyms",
+    """with s as (select p_brand as canonical, lower(unnest([p_type || ' ' || p_brand, p_name])) as synonym from part),
+    u as (select synonym, min(canonical) as canonical from s group by 1 having count(distinct canonical) = 1) select synonym, canonical from u where synonym not in (select lower(p_brand) from part)""",
+)
+def _(t):
+    record = F.struct(F.col("p_brand").alias("Name"), F.struct(F.array(F.concat_ws(" ", "p_type", "p_brand"), F.col("p_name")).alias("Synonym")).alias("SynonymList"))
+    texts = t.part.select(F.to_xml(record, {"rowTag": "Disorder"}).alias("xml"))
+    rows = C.xml_records(texts, "xml", "Name string, SynonymList struct<Synonym:array<string>>")
+    return C.synonym_map(rows.select("Name", "SynonymList.Synonym"), "Name", "Synonym")
+
+
 def _items(t):
     return X.parsed(t.nested, "doc", NESTED).select("l_orderkey", "r.items")
 

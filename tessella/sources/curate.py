@@ -136,6 +136,24 @@ def auto_partner_attributes(fact: DataFrame, master: DataFrame, *, master_key: s
     return partner_attributes(fact, master, partner_fk=partner_fk, master_key=master_key, attrs=scalar_attributes(master, master_key, fact.columns))
 
 
+def partner_keys(references: list[tuple[str, str, str, str]], mark: str = "partner") -> list[tuple[str, str, str, str]]:
+    """Of references (fact, its key, master, master's key), those of facts that have two or more into one master and name
+    one of them as the partner's."""
+    ends: dict[tuple[str, str], list] = {}
+    for r in references:
+        ends.setdefault((r[0], r[2]), []).append(r)
+    return [r for several in ends.values() if len({k for _, k, _, _ in several}) >= 2 for r in several if mark in r[1].lower()]
+
+
+def with_partners(tables: dict[str, DataFrame], references: list[tuple[str, str, str, str]], mark: str = "partner") -> dict[str, DataFrame]:
+    """The tables, those with partners extended by the partner's short attributes."""
+    out = dict(tables)
+    for fact, key, master, master_key in partner_keys(references, mark):
+        if fact in out and master in out:
+            out[fact] = auto_partner_attributes(out[fact], out[master], master_key=master_key, partner_fk=key)
+    return out
+
+
 def name_both_ends(edges: DataFrame, master: DataFrame, parent: str, child: str, key: str, name: str) -> DataFrame:
     p = master.select(F.col(key).alias(parent), F.col(name).alias("parent_name"))
     c = master.select(F.col(key).alias(child), F.col(name).alias("child_name"))
@@ -212,3 +230,16 @@ def records(df: DataFrame, text: str, tag: str, fields: dict[str, str]) -> DataF
     """Rows from a text with repeated tags: each <tag>…</tag> is a record, its fields found by pattern."""
     one = df.withColumn("__r", F.explode(F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0))))
     return one.select(*df.columns, *[extract(F.col("__r"), p).alias(n) for n, p in fields.items()])
+
+
+def xml_records(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """One XML text per row, parsed with a schema, beside the row's columns."""
+    return df.select(*df.columns, F.from_xml(F.col(text), schema).alias("r")).select(*df.columns, "r.*")
+
+
+def synonym_map(rows: DataFrame, name: str, synonyms: str) -> DataFrame:
+    """(synonym, canonical) from names with arrays of synonyms: a synonym of several names is left out, as is one that is
+    itself a name."""
+    pairs = rows.select(F.col(name).alias("canonical"), F.explode(synonyms).alias("s")).select(F.lower(F.trim("s")).alias("synonym"), "canonical").where("synonym <> ''")
+    one = pairs.groupBy("synonym").agg(F.min("canonical").alias("canonical"), F.max("canonical").alias("other")).where("canonical = other").drop("other")
+    return one.join(rows.select(F.lower(F.trim(name)).alias("synonym")).distinct(), "synonym", "left_anti")

@@ -43,10 +43,42 @@ def test_component(spark):
 
 
 def test_notation(spark):
-    rows = ["x (p.val600glu)", "x (p.val600lys)"]
-    assert kept(spark, rows, P.notation("v", ["v600e"])) == rows[:1]
-    assert kept(spark, rows, P.notation("v", ["V600"])) == rows
-    assert P.protein_pattern("rs123") is None and P.protein_pattern("R213*") == "arg213ter"
+    rows = ["x (p.Val600Glu)", "x (p.val600lys)", "p.Val600GlufsTer12", "rs123 x", "rs1234", "BRAF V600E", "xval600glu"]
+    assert kept(spark, rows, P.notation("v", ["v600e"])) == [rows[0], rows[5]]
+    assert kept(spark, rows, P.notation("v", ["p. V600"])) == rows[:2]
+    assert kept(spark, rows, P.notation("v", ["rs123", "V600E"])) == [rows[0], rows[3], rows[5]]
+    assert P.protein_pattern("rs123") is None and P.protein_pattern("R213*") == r"\barg213ter\b" and P.protein_pattern("p.J5K") is None
+
+
+def test_filters_that_depend(spark):
+    names = spark.createDataFrame([("glioma",)] + [("syndrome x",)] * 30 + [("other",)] * 69, "n string")
+    assert [tuple(r) for r in P.relaxed("Pediatric glioma", names, "n").collect()] == [("glioma", 1)]
+    assert P.relaxed("odd syndrome", names, "n").count() == 0 and P.relaxed("", names, "n").count() == 0
+    raw = spark.createDataFrame([("SO:1|missense_variant,SO:2|stop_lost",), (None,), ("SO:1|missense_variant, ",)], "c string")
+    vocab = P.vocabulary(raw, "c")
+    assert sorted(column(vocab)) == ["missense variant", "stop lost"]
+    assert column(P.in_vocabulary(vocab, ["Missense variants"])) == ["missense variant"] and P.in_vocabulary(vocab, []).count() == 0
+    base = {"gene": ["A"]}
+    assert P.injected(base, "evidence", "marker", entities=("gene",), tables={"t"}, table="t") == {"gene": ["A"], "evidence": ["marker"]}
+    for filters, tables, value in ((base | {"evidence": ["x"]}, {"t"}, "marker"), ({"gene": "requested"}, {"t"}, "marker"), (base, {"u"}, "marker"), (base, {"t"}, None)):
+        assert P.injected(filters, "evidence", value, entities=("gene",), tables=tables, table="t") == filters
+    assert P.prefix_in("the KEGG and reactome sets", [("reactome", "R_"), ("kegg", "K_")]) == "R_" and P.prefix_in("keggs", [("kegg", "K_")]) is None
+    assert P.pruned(names, {"n": "drug", "absent": "gene"}, {"gene"}).columns == []
+
+
+def test_buckets(spark):
+    rows = [(1, {"SM": {"Approved": True, "Lead": False}, "AB": {"High": True}}), (2, {"SM": {"Lead": None}}), (3, None), (4, {"AB": None})]
+    df = spark.createDataFrame(rows, "id int, m map<string,map<string,boolean>>")
+    got = lambda **how: {r.id: r.buckets for r in P.with_buckets(df, "m", **how).collect()}
+    assert got() == {1: "AB:High; SM:Approved"} and got(modality="sm") == {1: "SM:Approved"} and got(any_of=["high"]) == {1: "AB:High"}
+    assert set(got(negated=True)) == {2, 3, 4} and set(got(negated=True, any_of=["lead"])) == {1, 2, 3, 4}
+
+
+def test_ends_named(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 3), ("a", "a", 4)], "x string, y string, n int")
+    named = lambda *k: spark.createDataFrame([(v,) for v in k], "key string")
+    assert sorted(r.n for r in P.between(edges, "x", "y", named("a", "b")).collect()) == [1, 4]
+    assert sorted(r.n for r in P.between(edges, "x", "y", named("a"), known=1).collect()) == [1, 3, 4]
 
 
 def test_threshold(spark):
@@ -177,18 +209,50 @@ def test_closure_ends_on_cycles(spark):
     assert got == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.range(60).selectExpr("id as parent", "id + 1 as child")
+    got = {r.node: r.depth for r in G.descendants(edges, spark.createDataFrame([(0,)], "root long")).collect()}
+    assert got == {i: i for i in range(61)}
+
+
+def test_typed_paths(spark):
+    e = spark.createDataFrame([("g1", "d1", "Drug", 0.5), ("g1", None, "Other", 0.9), ("g1", None, " other ", 0.4), ("g1", None, None, 0.3)], "gene string, drug string, name string, s double")
+    registry = G.Edges({("gene", "drug"): (e, "gene", "drug")})
+    assert registry.of("drug", "gene")[1:] == ("drug", "gene")
+    with pytest.raises(KeyError):
+        registry.of("gene", "disease")
+    start = spark.createDataFrame([("g1", 1.0)], "gene string, s double")
+    assert sorted((r.drug or "", r.name) for r in G.traverse(start, registry.path("gene", "drug"), score="s", name="name").collect()) == [("", "Other"), ("d1", "Drug")]
+    assert [r.drug for r in G.traverse(start, registry.path("gene", "drug"), score="s").collect()] == ["d1"]
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k")
+    got = {r.k: (r.n, r.s) for r in O.running(df, [F.asc("k")], {"n": F.lit(1), "s": F.col("k")}, 64).collect()}
+    assert got == {k: (k, k * (k - 1) // 2) for k in range(1000)}
+
+
 def test_fuzzy():
     assert R.lcs("kitten", "sitting") == 4 and round(R.ratio("kitten", "sitting"), 2) == 61.54
     assert R.token_sort_ratio("b a", "a b") == 100.0 and R.token_set_ratio("a b", "a b c") == 100.0
     assert R.partial_ratio("widget", "red widget") == 100.0
 
 
-def test_fuzzy_recall(spark, sf_dir):
+def test_fuzzy_misses_nothing(spark, sf_dir):
+    """Names with edits, and short and repetitive texts, against all pairs."""
+    import random
+
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     pool = part.select(F.concat_ws(" ", "p_brand", "p_name").alias("value")).distinct()
-    terms = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query"), F.concat(F.substring("p_name", 2, 30), F.lit("s")).alias("term"))
-    got, want = ({(r["query"], r["value"]) for r in f(terms, pool).collect()} for f in (R.fuzzy, R.exhaustive))
-    assert got <= want and len(got) >= 0.95 * len(want)
+    terms = part.select(F.col("p_partkey").alias("query"), F.concat(F.substring("p_name", 2, 30), F.lit("s")).alias("term"))
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("aab") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 4)))
+    odd = [text() for _ in range(150)] + ["ab foo", "x", "", "aaaaaaa", "b b b"]
+    values = spark.createDataFrame([(v,) for v in odd], "value string")
+    asked = spark.createDataFrame(list(enumerate([text() for _ in range(100)] + ["ab", "a", "bbbbbbb", "foo ab x"])), "query long, term string")
+    for t, p in ((terms, pool), (asked, values)):
+        got, want = ({(r["query"], r["value"]) for r in f(t, p).collect()} for f in (R.fuzzy, R.exhaustive))
+        assert got == want and want
 
 
 def test_ngram_rewrite(spark):
@@ -243,11 +307,59 @@ def test_rate_limit(spark):
     assert L.hourly(rows).first()["rejected"] == 1
 
 
+def test_votes_beyond_the_limit_are_rejected(spark, tmp_path):
+    import os
+
+    times = ["12:00:05", "12:59:00", "12:10:00", "12:10:00", "13:00:00", "12:20:00"]
+    rows = [(s, "db", f"q{i}", "up", f"2024-01-01 {x}") for s in (1, 2) for i, x in enumerate(times)]
+    df = spark.createDataFrame(rows, "session int, db string, query string, verdict string, t string").select("session", "db", "query", "verdict", F.to_timestamp("t").alias("ts"))
+    got = {(r.session, r.query) for r in L.admitted(df, 3).collect()}
+    assert got == {(s, f"q{i}") for s in (1, 2) for i in (0, 2, 3, 4)}
+    for k in range(3):  # the second and third file come later and find the hour as full as it is
+        df.where(f"int(substring(query, 2, 1)) div 2 = {k}").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        for f in (tmp_path / f"in{k}").glob("*.parquet"):
+            os.makedirs(tmp_path / "all", exist_ok=True)
+            os.rename(f, tmp_path / "all" / f"{k}.parquet")
+            os.utime(tmp_path / "all" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    got = {(r.session, r.query) for r in L.drained(L.admitted(stream, 3), "append").collect()}
+    assert got == {(s, f"q{i}") for s in (1, 2) for i in (0, 1, 2, 4)}
+
+
+def test_lives(spark):
+    day = lambda n: F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(F.lit(n))
+    rows = lambda *days: spark.range(1).select(F.explode(F.array(*[day(n) for n in days])).alias("ts"))
+    seen = L.first_seen(rows(0, 7, 14, 30).withColumns({"db": F.lit("d"), "query": F.lit("q")}))
+    assert sorted(str(r.first_ts)[:10] for r in seen.collect()) == ["2024-01-01", "2024-01-31"]
+    judged = rows(0, 10, 150, 160).withColumns({"session": F.lit(1), "correct": F.col("ts") > "2024-03-01"})
+    assert [tuple(r)[:3] for r in L.session_trust(judged).collect()] == [(1, 2, 2)]
+    assert L.session_trust(judged, "2024-08-15").count() == 1 and L.session_trust(judged, "2024-10-15").count() == 0
+
+
+def test_promotion(spark):
+    """Downvotes that a judge confirms make a session trusted; what is near the bank is not promoted."""
+    ts = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    votes = spark.range(9).select((F.col("id") % 3).alias("session"), F.lit("db").alias("db"), F.concat(F.lit("q"), F.floor(F.col("id") / 3)).alias("query"), F.lit("up").alias("verdict"), ts.alias("ts"))
+    judged = spark.range(60).select((F.col("id") % 3).alias("session"), F.lit(True).alias("correct"), ts.alias("ts"))
+    trusts = L.session_trust(judged)
+    assert all(r.trust == 1.0 for r in trusts.collect())
+    near = spark.createDataFrame([("db", "q1")], "db string, query string")
+    assert {r["query"] for r in L.promoted(votes, trusts, "2024-01-04", near=near).collect()} == {"q0", "q2"}
+    assert L.promoted(votes, trusts, "2024-01-02").count() == 0 and L.promoted(votes, trusts.limit(0), "2024-01-04").count() == 0
+
+
+def test_partners_and_synonyms(spark):
+    refs = [("f", "gene_id", "m", "id"), ("f", "partner_id", "m", "id"), ("g", "partner_id", "m", "id"), ("f", "partner_x", "k", "id")]
+    assert C.partner_keys(refs) == [refs[1]]
+    rows = spark.createDataFrame([("Alpha", ["a", "z", "beta"]), ("Beta", ["b", "z ", None]), ("Gamma", None)], "name string, s array<string>")
+    assert sorted(map(tuple, C.synonym_map(rows, "name", "s").collect())) == [("a", "Alpha"), ("b", "Beta")]
+
+
 def test_stream_equals_batch(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = L.drained(L.session_trust(L.votes(L.source(spark, f"{sf_dir}/events.parquet*", schema))))
-    batch = L.session_trust(L.votes(spark.read.parquet(f"{sf_dir}/events.parquet")))
-    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    judge = lambda df: df.select(F.col("user_id").alias("session"), (F.col("value") > 50).alias("correct"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = L.drained(L.session_trust(judge(L.source(spark, f"{sf_dir}/events.parquet*", events.schema))))
+    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, L.session_trust(judge(events)).collect()))
 
 
 def test_late_rows_are_left_out(spark, tmp_path):

@@ -32,7 +32,7 @@ import sys
 class Absent:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("tessella.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Absent())
 import __spark_entry__ as e
 assert "star_join" in e.queries() and "pipeline" not in e.queries()
