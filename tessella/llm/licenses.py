@@ -1,37 +1,48 @@
-"""License scans by an exact set-similarity join (operator 4).
+"""License scans by an exact set-similarity join of text blocks with templates (operator 4).
 
-Texts are cut into words and these into overlapping blocks: each has BLOCK words and starts STRIDE words
-after the last, so that any passage of up to BLOCK - STRIDE words stands whole in a block. A block matches
-a template if it holds at least CONTAINMENT of the template's distinct words. The join is exact:
+A template of n words is looked for in blocks of 2 s words that start s words apart, where s, its class, is
+the least power of two (LEAST_SPAN at least) that is no less than n; so any passage of up to s + 1 words
+stands whole in a block. A block matches a template if it holds at least CONTAINMENT of the template's distinct
+words; only words of some template count. The join finds every such pair:
 
 * Words are ordered by document frequency over the whole corpus, rarest first.
-* Prefix filter: a match must hold one of a template's first n - need + 1 words in that order.
+* Prefix filter: blocks and templates meet by words in a template's first n - need + 1 in that order, and in a block's
+  first n - need + 1 for the least need of its class.
 * Length filter: a block needs as many distinct words as the template asks for.
-* Positional filter: a first hit at place p leaves at most n - p words to share.
+* Positional filter: where the first word they share stands at p and q, at most one and the lesser of both
+  rests can be shared; this rejects what a block's prefix, made for the least need, lets through.
 
-Candidates are verified on the sets. Templates are a short fixed list, so their index is sent to the tasks.
-Base phrases are looked up word by word.
+Candidates are verified on the sets. Texts are cut to blocks where they lie, with the templates' words sent to the
+tasks, MOST_WORDS at most: a larger table of templates is dealt to several passes. Base phrases are looked up
+word by word.
 
-Edge cases: null and empty texts have no words, no label and score 0; repeated rows are scanned each;
-a table without rows gives none; extra columns are ignored."""
+Edge cases: null and empty texts have no words, no label and score 0; null ids are kept as they are; repeated rows
+are scanned each; templates without words match nothing; a table without rows gives none; extra columns are ignored."""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import running
+
 from .common import materialise
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BLOCK, STRIDE, CONTAINMENT = 128, 64, 0.8
+#: Containment that a block must reach; words that a block of the smallest class steps on by; template words
+#: that one pass over the texts looks for.
+CONTAINMENT, LEAST_SPAN, MOST_WORDS = 0.8, 64, 500_000
 
 # Base phrases and labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Opening passages of well-known licenses.
+# Opening passages of well-known licenses, the templates unless a table of others is given.
 TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "apache-2": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -49,13 +60,27 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").encode().lower().decode())  # bytes: only A-Z change
 
 
-def template_sets() -> dict[str, frozenset[str]]:
-    return {label: frozenset(words_of(t)) for label, t in TEMPLATES.items()}
+def template_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(TEMPLATES.items()), "label string, text string")
+
+
+@dataclass(frozen=True)
+class Template:
+    number: int
+    label: str
+    words: frozenset[str]
+    span: int
+    need: int
+
 
+def template_of(number: int, label: str, text: str | None, containment: float) -> Template:
+    words = words_of(text)
+    own = frozenset(words)
+    return Template(number, label, own, max(LEAST_SPAN, 1 << max(0, len(words) - 1).bit_length()), ceil(containment * len(own) - 1e-9))
 
-def frequencies(docs: DataFrame) -> DataFrame:
+
+def frequencies(docs: DataFrame, wanted: frozenset[str]) -> DataFrame:
     """(word, n): documents that hold it, for the words of the templates."""
-    wanted = frozenset().union(*template_sets().values())
 
     def run(batches):
         counts = dict.fromkeys(wanted, 0)
@@ -63,51 +88,50 @@ def frequencies(docs: DataFrame) -> DataFrame:
             for t in b.column("text"):
                 for w in wanted.intersection(words_of(t.as_py())):
                     counts[w] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Index:
-    """The templates' prefixes under one order of words."""
-
-    def __init__(self, frequency: dict[str, int], containment: float = CONTAINMENT):
-        self.sets = template_sets()
-        self.need = {k: ceil(containment * len(s) - 1e-9) for k, s in self.sets.items()}
-        self.prefix: dict[str, list[tuple[str, int]]] = {}
-        for label, s in self.sets.items():
-            for p, w in enumerate(sorted(s, key=lambda w: (frequency.get(w, 0), w))[: len(s) - self.need[label] + 1]):
-                self.prefix.setdefault(w, []).append((label, p))
-        self.rare = frozenset(self.prefix)
-
-    def match(self, block: frozenset[str]) -> dict[str, float]:
-        """Containment of each template that the block matches."""
-        first: dict[str, int] = {}
-        for w in self.rare.intersection(block):
-            for label, p in self.prefix[w]:
-                first[label] = min(p, first.get(label, p))
-        found = {}
-        for label, p in first.items():
-            s, need = self.sets[label], self.need[label]
-            if len(block) >= need and len(s) - p >= need and (n := len(s & block)) >= need:
-                found[label] = n / len(s)
+    """Places of the templates' words in the global order, and by class what blocks are cut by."""
+
+    def __init__(self, templates: list[Template], frequency: dict[str, int]):
+        order = sorted(frozenset().union(*(t.words for t in templates)), key=lambda w: (frequency.get(w, 0), w))
+        self.place = {w: i for i, w in enumerate(order)}
+        self.rare: dict[int, set[int]] = defaultdict(set)
+        self.least: dict[int, int] = {}
+        self.rows = []
+        for t in templates:
+            own = sorted(self.place[w] for w in t.words)
+            prefix = own[: len(own) - t.need + 1]
+            self.rare[t.span].update(prefix)
+            self.least[t.span] = min(t.need, self.least.get(t.span, t.need))
+            self.rows.append((t.number, t.label, t.span, t.need, own, list(enumerate(prefix))))
+        self.entry = frozenset(order[i] for i in set().union(*self.rare.values())) if templates else frozenset()
+
+    def blocks(self, words: list[str]) -> list[tuple[int, int, list[int], list[tuple[int, int]]]]:
+        """(class, start, places of the block's words in order, (word, place in the block) of its prefix words) of the
+        blocks that have such words."""
+        if not self.entry.intersection(words):
+            return []
+        at = [(i, p) for i, w in enumerate(words) if (p := self.place.get(w)) is not None]
+        found = []
+        for span, rare in self.rare.items():
+            held = defaultdict(set)
+            starts = {i // span for i, p in at if p in rare}
+            starts |= {k - 1 for k in starts if k}
+            for i, p in at:
+                for k in (i // span, i // span - 1):
+                    if k in starts:
+                        held[k].add(p)
+            for k, own in held.items():
+                own = sorted(own)
+                met = [(p, q) for q, p in enumerate(own[: len(own) - self.least[span] + 1]) if p in rare] if len(own) >= self.least[span] else []
+                if met:
+                    found.append((span, k * span, own, met))
         return found
 
-    def search(self, words: list[str]) -> dict[str, float]:
-        """The best containment of each template over all blocks; blocks without a prefix word are passed over."""
-        if not self.rare.intersection(words):
-            return {}
-        starts: set[int] = set()
-        for i, w in enumerate(words):
-            if w in self.rare:
-                last = i // STRIDE
-                starts.update(range(max(0, last - BLOCK // STRIDE + 1), last + 1))
-        best: dict[str, float] = {}
-        for k in starts:
-            for label, c in self.match(frozenset(words[k * STRIDE : k * STRIDE + BLOCK])).items():
-                best[label] = max(c, best.get(label, 0.0))
-        return best
-
 
 def places(words: list[str]) -> list[tuple[int, str]]:
     """(start, label) of the base phrases."""
@@ -129,27 +153,71 @@ def places(words: list[str]) -> list[tuple[int, str]]:
 
 
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+BLOCKS = "array<struct<span:int,start:int,places:array<int>,met:array<struct<place:int,q:int>>>>"
+SCAN = f"row long, doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks {BLOCKS}"
 
 
-def find_licenses(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # One row for each word of the templates, whatever the corpus.
-    frequency = {r["word"]: r["n"] for r in materialise(frequencies(docs), "frequencies").collect()}
+def scan(docs: DataFrame, index: Index) -> DataFrame:
+    """SCAN of every row of docs: base phrases, and the blocks that may match a template."""
+    met = pa.list_(pa.struct([("place", pa.int32()), ("q", pa.int32())]))
+    blocks = pa.list_(pa.struct([("span", pa.int32()), ("start", pa.int32()), ("places", pa.list_(pa.int32())), ("met", met)]))
+    kinds = [pa.int64()] * 6 + [pa.string(), blocks]
 
     def run(batches):
-        index = Index(frequency)
         for b in batches:
             rows = []
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            for row, doc, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
                 words = words_of(t.as_py())
-                base, fuzzy = places(words), index.search(words)
-                own = sorted({label for _, label in base})
-                score = 1.0 if base else max(fuzzy.values(), default=0.0)
-                rows.append((doc, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(own), ",".join(sorted({*own, *fuzzy})), score))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], [f.split()[0] for f in OUT.split(", ")])
-
-    return docs.mapInArrow(run, OUT)
+                base = places(words)
+                found = [{"span": s, "start": k, "places": own, "met": [{"place": p, "q": q} for p, q in at]} for s, k, own, at in index.blocks(words)]
+                rows.append((row, doc, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({label for _, label in base})), found))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "blocks"])
+
+    return docs.mapInArrow(run, SCAN)
+
+
+def candidates(scanned: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """Pairs (row, start, places, number, own) of blocks and templates that meet by a prefix word, before and after
+    the length and positional filters."""
+    spark = scanned.sparkSession
+    table = spark.createDataFrame(index.rows, "number int, label string, span int, need int, own array<int>, prefix array<struct<p:int,place:int>>")
+    prefixes = table.select("number", "span", "need", F.size("own").alias("n"), F.explode("prefix").alias("x")).select("number", "span", "need", "n", "x.place", "x.p")
+    blocks = scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.span", "b.start", "b.places", F.explode("b.met").alias("m"))
+    met = blocks.select("row", "span", "start", "places", "m.place", "m.q").join(prefixes, ["span", "place"])
+    met = met.groupBy("row", "span", "start", "number").agg(F.min("p").alias("p"), F.min("q").alias("q"), F.any_value("places").alias("places"), F.any_value("need").alias("need"), F.any_value("n").alias("n"))
+    size = F.size("places")
+    kept = met.where((size >= F.col("need")) & (1 + F.least(F.col("n") - F.col("p") - 1, size - F.col("q") - 1) >= F.col("need")))
+    return met, kept.join(table.select("number", "label", "own"), "number")
+
+
+def matches(docs: DataFrame, templates: list[Template]) -> tuple[DataFrame, DataFrame]:
+    """SCAN of docs, and (row, label, containment) of what its blocks match."""
+    # A row for each word of the templates, MOST_WORDS at most.
+    frequency = {r["word"]: r["n"] for r in materialise(frequencies(docs, frozenset().union(*(t.words for t in templates))), "frequencies").collect()}
+    index = Index(templates, frequency)
+    scanned = materialise(scan(docs, index), "scan")
+    found = candidates(scanned, index)[1].withColumn("shared", F.size(F.array_intersect("places", "own")))
+    return scanned, found.where(F.col("shared") >= F.col("need")).select("row", "label", (F.col("shared") / F.col("n")).alias("containment"))
+
+
+def find_licenses(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
+    """OUT for each row of docs; templates: (label, text), TEMPLATES unless given."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = template_table(docs.sparkSession) if templates is None else templates.select("label", "text")
+    table = running(table.where("text is not null and label is not null").withColumn("size", F.length("text")), [F.asc("label"), F.asc("text")], {"number": F.lit(1), "before": F.col("size")})
+    table = materialise(table.withColumn("part", F.floor(F.col("before") / (2 * MOST_WORDS))), "templates")  # a word takes two characters
+    passes = (table.agg(F.max("part")).first()[0] or 0) + 1
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = docs if passes == 1 else materialise(docs, "numbered")  # passes meet by row
+    every = []
+    for part in range(passes):
+        own = [template_of(r["number"], r["label"], r["text"], containment) for r in table.where(F.col("part") == part).collect()]
+        every.append(matches(docs, [t for t in own if t.words]))
+    found = reduce(DataFrame.union, (m for _, m in every)).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    scanned = every[0][0].drop("blocks").join(found, "row", "left")
+    scanned = scanned.withColumns({"found": F.coalesce("found", F.array().cast("array<string>")), "best": F.coalesce("best", F.lit(0.0))})
+    labels = F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), "found")
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(F.array_sort(labels), ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.col("best")).alias("score"))
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:
