@@ -1,16 +1,21 @@
 """Embedding near-dedup by PCA-ordered tiled comparison (operator 3).
 
-Unit vectors are rotated to their principal axes, found from sums that the executors make. Sorted by the
-first component they are cut into tiles; two unit vectors at cosine t lie within sqrt(2 - 2t) of each other on
-every axis, so only tiles whose ranges come that close meet. In a pair of tiles the leading
+Unit vectors are rotated to their principal axes, found from sums that the executors make. In the order of the
+first component they are cut into strips, and a task compares two strips; two unit vectors at cosine t lie within
+sqrt(2 - 2t) of each other, so only strips whose ranges come that close meet. In a task either strip is cut into tiles
+by halving it across its widest axis, and tiles whose boxes lie further apart are passed over. In a pair of tiles the leading
 components are multiplied first; what remains is at most the product of the suffix norms, and pairs whose
 bound stays below the threshold stop there. The rest are compared in full, in double precision.
 
-A pair of tiles yields link counts by vector and a spanning forest of its links, never the links
+A row goes to a task for each strip that its own meets. Strips grow with the root of the number of rows (STRIP_ROWS to
+MOST_VALUES numbers), so that where no axis separates anything copies grow with the root as well, until memory says no more.
+
+A pair of strips yields link counts by vector and a spanning forest of its links, never the links
 themselves; the forests join to components. Equal vectors are collapsed before.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are
-components of their own; so are vectors of different lengths to each other; rows repeated under one vec_id
+components of their own; so are vectors of different lengths to each other, and vectors without vec_id; very large and very small
+vectors are scaled by their largest component first; rows repeated under one vec_id
 are one vector (with different embeddings: its smallest in array order); an empty table gives no rows."""
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ from pyspark.sql.window import Window
 
 from .common import connected_components, materialise
 
-THRESHOLD, LEAD, TILE_ROWS, PART_ROWS = 0.95, 8, 4096, 1024
+THRESHOLD, LEAD, TILE_ROWS = 0.95, 8, 1024
+#: Least rows and most numbers of a strip.
+STRIP_ROWS, MOST_VALUES = 8192, 16 << 20
 
 
 def sums(batches):
@@ -49,7 +56,12 @@ def matrices(b):
     dims = np.array(pc.list_value_length(v))
     for dim in np.unique(dims):
         x = v.filter(pa.array(dims == dim)).flatten().to_numpy().reshape(-1, dim)
-        yield int(dim), x / np.linalg.norm(x, axis=1, keepdims=True)
+        yield int(dim), units(x)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of what is very large or small are out of range
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def add_sums(key, table):
@@ -73,8 +85,23 @@ def axes(rows) -> dict[int, np.ndarray]:
     return found
 
 
+def tiles_of(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows of x in tiles of `most` at most, by halving across the widest axis."""
+    done, open_ = [], [np.arange(len(x))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        own = x[rows, :LEAD]
+        axis = int(np.argmax(own.var(axis=0)))
+        order = rows[np.argsort(own[:, axis], kind="stable")]
+        open_ += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return [t for t in done if len(t)]
+
+
 def compare(left, right, threshold: float, same: bool):
-    """(links by left row, links by right row, spanning pairs) of two tiles given as (rotated, unit, weights)."""
+    """(links by left row, links by right row, spanning pairs) of two strips given as (rotated, unit, weights)."""
     (a, ua, wa), (b, ub, wb) = left, right
     na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     parent = np.arange(len(a) + (0 if same else len(b)))
@@ -86,35 +113,38 @@ def compare(left, right, threshold: float, same: bool):
             i = parent[i]
         return i
 
-    forest, lead = [], min(LEAD, a.shape[1])
-    rest_b = np.sqrt(np.maximum((b[:, lead:] ** 2).sum(1), 0))
-    for s in range(0, len(a), PART_ROWS):
-        part = a[s : s + PART_ROWS]
-        rest_a = np.sqrt(np.maximum((part[:, lead:] ** 2).sum(1), 0))
-        for t in range(s if same else 0, len(b), PART_ROWS):
-            bound = part[:, :lead] @ b[t : t + PART_ROWS, :lead].T
-            bound += np.outer(rest_a, rest_b[t : t + PART_ROWS])
+    dim = a.shape[1] if len(a) else 0
+    cuts = [min(LEAD, dim), *range(min(LEAD, dim) + 16, dim, 16)]
+    cuts = cuts + [dim] * (cuts[-1] < dim)  # components that are multiplied by then
+    rest = lambda x: [np.sqrt((x[:, c:] ** 2).sum(1)) for c in cuts]
+    box = lambda x: (x[:, :LEAD].min(0), x[:, :LEAD].max(0))
+    rows_of = [(t, a[t], box(a[t]), rest(a[t])) for t in tiles_of(a, TILE_ROWS)]
+    cols_of = rows_of if same else [(t, b[t], box(b[t]), rest(b[t])) for t in tiles_of(b, TILE_ROWS)]
+    forest, reach = [], 2 - 2 * threshold + 1e-9
+    for m, (s, x, (low, high), rest_x) in enumerate(rows_of):
+        for n, (t, y, (low2, high2), rest_y) in enumerate(cols_of):
+            if same and n < m or (np.maximum(0, np.maximum(low - high2, low2 - high)) ** 2).sum() > reach:
+                continue
+            bound = x[:, : cuts[0]] @ y[:, : cuts[0]].T
+            bound += np.outer(rest_x[0], rest_y[0])
             i, j = np.nonzero(bound >= threshold - 1e-9)
-            if same:
-                i, j = i[j + t > i + s], j[j + t > i + s]
-            for c in range(lead, a.shape[1], 16):  # further blocks of components, on the survivors
+            if same and m == n:
+                i, j = i[i < j], j[i < j]
+            for c, rx, ry in zip(cuts[1:], rest_x[1:], rest_y[1:]):  # further blocks of components, on the survivors
                 if not len(i):
                     break
-                e = min(c + 16, a.shape[1])
-                dots = np.einsum("ij,ij->i", part[i, :e], b[j + t, :e])
-                dots += np.sqrt((part[:, e:] ** 2).sum(1))[i] * np.sqrt((b[t : t + PART_ROWS, e:] ** 2).sum(1))[j]
-                stay = dots >= threshold - 1e-9
+                stay = np.einsum("ij,ij->i", x[i, :c], y[j, :c]) + rx[i] * ry[j] >= threshold - 1e-9
                 i, j = i[stay], j[stay]
-            i, j = i + s, j + t
+            i, j = s[i], t[j]
             stay = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
             i, j = i[stay], j[stay]
             np.add.at(na, i, wb[j])
             np.add.at(nb, j, wa[i])
-            for x, y in zip(i.tolist(), (j + shift).tolist()):
-                p, q = root(x), root(y)
+            for p, q in zip(i.tolist(), (j + shift).tolist()):
+                p, q = root(p), root(q)
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    forest.append((x, y - shift))
+                    forest.append((min(p, q), max(p, q)))
     return na, nb, forest
 
 
@@ -139,15 +169,17 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("copies"), own.column("dim"), own.column("v"), pa.array(unit @ turn[dim][:, 0])], ["rep", "copies", "dim", "v", "lead"])
 
     rows = classes.select("rep", "copies", "dim", "v").mapInArrow(project, "rep long, copies long, dim int, v array<double>, lead double")
-    # Tiles join neighbouring runs of the order by leading component; their ranges (a row for each) say which meet.
-    rows = materialise(rows.repartitionByRange(max(1, ceil(count / TILE_ROWS)), "dim", "lead", "rep").withColumn("run", F.spark_partition_id()), "runs")
+    # Strips are neighbouring runs of the order by leading component; their ranges (a row for each) say which meet.
+    widest = max((r["dim"] for r in stats), default=1)
+    strip_rows = max(STRIP_ROWS, min(MOST_VALUES // widest, ceil(sqrt(count * STRIP_ROWS / 4))))
+    rows = materialise(rows.repartitionByRange(max(1, 4 * ceil(count / strip_rows)), "dim", "lead", "rep").withColumn("run", F.spark_partition_id()), "runs")
     runs = rows.groupBy("dim", "run").agg(F.min("lead").alias("low"), F.max("lead").alias("high"), F.count("*").alias("n"))
     before = Window.partitionBy("dim").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = materialise(runs.withColumn("tile", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / TILE_ROWS).cast("int")), "tiles")
-    tiles = runs.groupBy("dim", "tile").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    runs = materialise(runs.withColumn("tile", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / strip_rows).cast("int")), "strips")
+    strips = runs.groupBy("dim", "tile").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     rows = rows.join(runs.select("dim", "run", "tile"), ["dim", "run"])
-    other = tiles.select("dim", F.col("tile").alias("with_tile"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    meets = tiles.join(other, "dim").where((F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach))
+    other = strips.select("dim", F.col("tile").alias("with_tile"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meets = strips.join(other, "dim").where((F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach))
     meets = meets.groupBy("dim", "tile").agg(F.collect_set("with_tile").alias("others"))
     dealt = rows.join(meets, ["dim", "tile"]).select("rep", "copies", "dim", "v", "tile", F.explode("others").alias("o")).select("rep", "copies", "dim", "v", "tile", F.least("tile", "o").alias("first"), F.greatest("tile", "o").alias("second"))
 
@@ -156,7 +188,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         t = t.sort_by("rep")
         tile, ids, copies = t.column("tile").to_numpy(), t.column("rep").to_numpy(), t.column("copies").to_numpy()
         v = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        unit = units(v)
         rotated = unit @ turn[dim]
         a, b = np.flatnonzero(tile == first), np.flatnonzero(tile == second)
         side = lambda at: (rotated[at], unit[at], copies[at])
@@ -165,7 +197,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         np.add.at(n, a, na)
         np.add.at(n, b, nb)
         linked = np.flatnonzero(n)
-        one, two = ids[a[[i for i, _ in forest]]] if forest else [], ids[b[[j for _, j in forest]]] if forest else []
+        place = a if first == second else np.concatenate([a, b])  # what the forest's numbers stand for
+        one, two = (ids[place[[e[k] for e in forest]]] if forest else [] for k in (0, 1))
         return pa.table(
             [pa.array([*ids[linked], *one], pa.int64()), pa.array([*[None] * len(linked), *two], pa.int64()), pa.array([*n[linked], *[0] * len(forest)], pa.int64())], ["a", "b", "n"]
         )
