@@ -4,12 +4,13 @@ Components become integers, floor(256 x). Queries and candidates are dealt to bl
 query block and a candidate block is one task's work. Inside, candidates lie dimension by dimension, most
 varied dimensions first. Scores grow block of dimensions by block of dimensions; what is still to come is at
 most the product of the remaining norms, so that a candidate whose bound lies below the k-th best score
-known is dropped and the survivors are compacted. The best k of all block pairs meet in a window by query.
+known is dropped and the survivors are compacted. The first candidate block is searched first, and its k-th best score
+of a query is the one to beat in all others. The best k of all block pairs meet in a window by query.
 
 Sums are exact: products are added as doubles where all sums stay below 2^53, and as Python integers beyond.
 
-Edge cases: vectors that are null or hold null or non-finite components take no part, as query or candidate;
-vectors meet only vectors of their own length; ties go to the smaller vec_id; equal rows repeated under
+Edge cases: vectors that are null or hold null or non-finite components take no part, as query or candidate, nor do those
+without vec_id; vectors meet only vectors of their own length; ties go to the smaller vec_id; equal rows repeated under
 one id are one candidate; scores that no long can hold are an error; empty tables give no rows."""
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-K, DIMENSIONS, QUERY_ROWS, CANDIDATE_ROWS = 5, 8, 512, 16384
+from .common import materialise
+
+K, DIMENSIONS, QUERY_ROWS, CANDIDATE_ROWS = 5, 8, 8192, 16384
+#: Queries that a task works on at a time.
+PART_ROWS = 256
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -37,8 +42,9 @@ def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([[sum(int(a) * int(b) for a, b in zip(q, r)) for r in rows] for q in queries], dtype=object)
 
 
-def search(query_ids, queries, ids, columns, k=K, step=DIMENSIONS) -> list[tuple[int, int, int]]:
-    """The k best (query, candidate, score) of each query; columns holds a candidate per column, ids ascending."""
+def search(query_ids, queries, least, ids, columns, k=K, step=DIMENSIONS) -> list[tuple[int, int, int]]:
+    """The k best (query, candidate, score) of each query among the scores not below its least; columns holds a candidate
+    per column, ids ascending."""
     dim = len(columns)
     if np.abs(queries).max(initial=0) * np.abs(columns).max(initial=0) * dim >= 2.0**52:
         scores = exact(queries, columns.T)
@@ -53,12 +59,13 @@ def search(query_ids, queries, ids, columns, k=K, step=DIMENSIONS) -> list[tuple
     seed = np.argsort(-column_rest[0], kind="stable")[: 4 * k]
     first = queries @ columns[:, seed]
     first[np.asarray(query_ids)[:, None] == ids[seed][None, :]] = -np.inf
-    known = np.sort(first, axis=1)[:, -k] if len(seed) >= k else np.full(len(queries), -np.inf)
+    known = np.maximum(np.sort(first, axis=1)[:, -k], least) if len(seed) >= k else least
     lead = min(2 * step, dim)
-    partial = queries[:, :lead] @ columns[:lead]
     found = []
     for n, q in enumerate(query_ids):
-        score, low = partial[n], known[n]
+        if n % PART_ROWS == 0:
+            partial = queries[n : n + PART_ROWS, :lead] @ columns[:lead]
+        score, low = partial[n % PART_ROWS], known[n]
         near = np.flatnonzero(score + query_rest[n, lead] * column_rest[lead] * (1 + 1e-9) + 1e-6 >= low)
         score = score[near]
         for d in range(lead, dim, step):
@@ -76,18 +83,15 @@ def search(query_ids, queries, ids, columns, k=K, step=DIMENSIONS) -> list[tuple
     return found
 
 
-def packed(rows: DataFrame, tag: str, per_block: int, count: int) -> DataFrame:
-    return rows.withColumn(tag, F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-count // per_block)))))
-
-
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query row."""
     rows = integers(vectors)
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     q_blocks, c_blocks = max(1, -(-sizes["q"] // QUERY_ROWS)), max(1, -(-sizes["n"] // CANDIDATE_ROWS))
-    side = lambda ids, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(ids)
-    candidates = rows.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).cast("int").alias("cb"), side("qb", q_blocks))
-    queries = rows.where(is_query).select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), side("cb", c_blocks))
+    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    each = lambda first, end: F.explode(F.sequence(F.lit(first), F.lit(end - 1)))
+    candidates = rows.select("vec_id", "v", "dim", number(c_blocks).alias("cb"), each(0, q_blocks).alias("qb"))
+    queries = rows.where(is_query).select("vec_id", "v", "dim", number(q_blocks).alias("qb"))
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         t = t.sort_by("vec_id")
@@ -99,11 +103,18 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         if left.num_rows and right.num_rows:
             query_ids, q = matrix(left)
             ids, x = matrix(right)
-            found = search(query_ids, q, ids, np.ascontiguousarray(x.T), k)
+            found = search(query_ids, q, left.sort_by("vec_id").column("least").to_numpy(), ids, np.ascontiguousarray(x.T), k)
         cols = list(zip(*found)) or [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    best = queries.groupBy("dim", "qb", "cb").cogroup(candidates.groupBy("dim", "qb", "cb")).applyInArrow(run, OUT)
+    block = lambda df: df.groupBy("dim", "qb", "cb")
+    best = block(queries.withColumn("cb", F.lit(0)).withColumn("least", F.lit(float("-inf")))).cogroup(block(candidates.where("cb = 0"))).applyInArrow(run, OUT)
+    if c_blocks > 1:
+        best = materialise(best, "first")
+        beat = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("least").cast("double").alias("least"))
+        queries = queries.join(beat, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))).withColumn("cb", each(1, c_blocks))
+        queries = queries.toDF(*queries.columns)
+        best = best.union(block(queries).cogroup(block(candidates.where("cb > 0"))).applyInArrow(run, OUT))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
