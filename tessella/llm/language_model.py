@@ -27,7 +27,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, log10
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, slices, split_words, text_bytes
+from .common import LOWER, materialise, ragged, slices, split_words, text_bytes
 
 DEPTH, FOLDS, HELD, END = 5, 7, 2, 0xFF
-UNIT_BYTES, SLICE_BYTES, FAN, ROOT_KEYS = 16 << 20, 4 << 20, 64, 200_000
+UNIT_BYTES, SLICE_BYTES, FAN, ROOT_KEYS = 16 << 20, 2 << 20, 64, 200_000
+#: Odd multipliers for the bytes of a word, place by place.
+POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 #: What rows hold: the text of a unit, counts of its keys, counts of its words.
 TEXT, KEYS, WORDS = 0, 1, 2
 SHARES = "kind int, home long, node long, items binary, counts binary, n long, v long"
@@ -94,7 +95,10 @@ def homes(kind: int, items: pa.Array, level: int) -> np.ndarray:
     mask = (1 << home_bits(kind, level)) - 1
     if kind == KEYS:
         return ((items.to_numpy() >> np.uint64(8)) & np.uint64(mask)).astype(np.int64)
-    return np.fromiter((crc32(w) & mask for w in items.to_pylist()), np.int64, len(items))
+    off = np.frombuffer(items.buffers()[1], np.int64)[items.offset : items.offset + len(items) + 1]
+    data, at = np.frombuffer(items.buffers()[2] or b"", np.uint8)[off[0] : off[-1]], ragged(np.diff(off))
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * POWERS[at % len(POWERS)] * (at // len(POWERS) + 1).astype(np.uint64), off[:-1] - off[0]) if len(data) else np.zeros(0, np.uint64)
+    return ((h ^ (h >> np.uint64(29))) * POWERS[1] >> np.uint64(34)).astype(np.int64) & mask
 
 
 def order_of(kind: int, items: pa.Array, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +130,9 @@ class Tally:
 
     def total(self) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
         """Items, their sums, and for each part the places of its items."""
-        coded = pa.concat_arrays(self.items).dictionary_encode()
-        at = coded.indices.to_numpy()
-        sums = np.bincount(at, weights=np.concatenate(self.counts), minlength=len(coded.dictionary)).astype(np.int64)
-        return coded.dictionary, sums, np.split(at, np.cumsum([len(i) for i in self.items])[:-1])
+        at, items = coded(pa.concat_arrays(self.items))
+        sums = np.bincount(at, weights=np.concatenate(self.counts), minlength=len(items)).astype(np.int64)
+        return items, sums, np.split(at, np.cumsum([len(i) for i in self.items])[:-1])
 
 
 # Units.
@@ -150,21 +153,20 @@ def keys_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def parts_of(data: np.ndarray, off: np.ndarray):
-    """The documents of a unit slice by slice: numbers, then (codes, distinct items, items by document) of
-    keys and of words."""
+    """The documents of a unit slice by slice: numbers, keys and how many each has, words and how many each has."""
     first = 0
     while first < len(off) - 1:
         last = max(first + 1, int(np.searchsorted(off, off[first] + SLICE_BYTES, "right")) - 1)
         own, cuts = data[off[first] : off[last]], off[first : last + 1] - off[first]
-        words, n_words = split_words(own, cuts)
-        codes = []
-        for items in (pa.array(keys_of(own, cuts)), words):
-            coded = items.dictionary_encode()
-            codes.append((coded.indices.to_numpy(), coded.dictionary))
-        yield first, last, (*codes[0], np.diff(cuts) + 1), (*codes[1], n_words)
+        yield first, last, keys_of(own, cuts), np.diff(cuts) + 1, *split_words(own, cuts)
         first = last
 
 
+def coded(items: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    found = items.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
 def describe(batches):
     """The rows of all units of a task (UNITS): texts, and training counts by home. Items that only
     held-out texts have come with count 0."""
@@ -175,10 +177,13 @@ def describe(batches):
         data, off = text_bytes(whole.column("text").combine_chunks())
         data, held = LOWER[data], whole.column("held_out").to_numpy(zero_copy_only=False)
         tallies = {KEYS: Tally(), WORDS: Tally()}
-        for first, last, *found in parts_of(data, off):
-            for tally, (codes, items, n) in zip(tallies.values(), found):
-                learned = np.repeat(~held[first:last], n)
-                tally.add(items, np.bincount(codes[learned], minlength=len(items)))
+        for first, last, keys, n_keys, words, n_words in parts_of(data, off):
+            learned = np.repeat(~held[first:last], n_keys)
+            for own, count in ((keys[learned], 1), (keys[~learned], 0)):
+                own, n = np.unique(own, return_counts=True)
+                tallies[KEYS].add(pa.array(own), n * count)
+            codes, distinct = coded(words)
+            tallies[WORDS].add(distinct, np.bincount(codes[np.repeat(~held[first:last], n_words)], minlength=len(distinct)))
         rows = [row for kind, tally in tallies.items() for row in dealt(kind, *tally.total()[:2], 1, serial)]
         columns = list(zip(*rows))
         more = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))]
@@ -387,7 +392,9 @@ def document_scores(total: int, distinct: int, ends: int):
     def run(unit, answers):
         size = np.array(unit.column("sizes")[0].as_py(), np.int64)
         data = np.frombuffer(pa.decompress(unit.column("items")[0].as_py(), unit.column("n")[0].as_py(), "zstd", asbytes=True), np.uint8)
-        off, found = np.append(0, np.cumsum(size)), list(parts_of(data, np.append(0, np.cumsum(size))))
+        off, found = np.append(0, np.cumsum(size)), []
+        for first, last, keys, n_keys, words, n_words in parts_of(data, off):
+            found.append((first, last, (*coded(pa.array(keys)), n_keys), (*coded(words), n_words)))
         told = {}
         for k, kind in enumerate((KEYS, WORDS)):
             tally = Tally()
