@@ -11,9 +11,9 @@ input) reaches the driver, where the packing is planned for classes of equal bin
 4. What is left over and all small lengths go, longest first, where they fit best.
 
 The plan says which ranks of which length go where; ranks come from counts by (length, bucket), where a
-frequent length is dealt to many buckets, so that copies of one length don't meet in one task.
+frequent length is dealt to many buckets by row, so that pieces of one length don't meet in one task.
 
-Edge cases: null and empty texts are one token (the end); repeated rows are packed each; an
+Edge cases: null and empty texts are one token (the end); null ids are kept as they are; repeated rows are packed each; an
 empty table gives no rows; a text that spells a special token is encoded as the tokenizer does it."""
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ CAPACITY, END, GROUPS, PIVOTS = 4096, 1, 64, 250
 LARGE = (3, 2)
 #: Ranks of one length are counted in buckets of about so many rows.
 BUCKET_ROWS = 100
+#: Ranks of one length that meet their slots together.
+CHUNK_ROWS = 8192
 #: Chunks whose ids a Python worker remembers; it starts anew beyond that.
 REMEMBERED = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -246,26 +248,28 @@ def plan_with(histogram: dict[int, int], capacity: int, small: int, groups: int)
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of docs with sequence_id and offset."""
     spark = docs.sparkSession
-    rows = materialise(pieces(docs, path, capacity), "pieces")
+    rows = materialise(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")  # numbers that stay
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots, ranks, base = defaultdict(list), defaultdict(int), 0
+    slots, ranks, base = [], defaultdict(int), 0
     for n, lengths in plan(histogram, capacity):
         offset = 0
         for k in lengths:
-            slots[k].append((ranks[k], ranks[k] + n, base, offset))
+            slots.append((k, ranks[k], ranks[k] + n, base, offset))
             ranks[k] += n
             offset += k
         base += n
-    # One row for each length: at most `capacity` rows, so that they can be broadcast.
-    places = spark.createDataFrame([(k, -(-histogram[k] // BUCKET_ROWS), s) for k, s in slots.items()], "length long, buckets int, slots array<struct<low:long,high:long,base:long,offset:long>>")
-    rows = rows.join(F.broadcast(places.select("length", "buckets")), "length").withColumn("bucket", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), buckets)"))
+    # A row for each length, `capacity` at most, which can be broadcast; slots grow with the plan, so Spark picks by their size.
+    lengths = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in histogram.items()], "length long, buckets int")
+    slots = spark.createDataFrame(slots, "length long, low long, high long, base long, offset long")
+    slots = slots.withColumn("chunk", F.explode(F.expr(f"sequence(low div {CHUNK_ROWS}, (high - 1) div {CHUNK_ROWS})")))
+    rows = rows.join(F.broadcast(lengths), "length").withColumn("bucket", F.expr("pmod(xxhash64(row), buckets)"))
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = rows.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(places.select("length", "slots")), "length").withColumn("slot", F.expr("filter(slots, s -> s.low <= rank and rank < s.high)[0]"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("slot.base") + F.col("rank") - F.col("slot.low")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
+    placed = ranked.withColumn("chunk", F.expr(f"rank div {CHUNK_ROWS}")).join(slots, ["length", "chunk"]).where("low <= rank and rank < high")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -6,7 +6,7 @@ one character in and one out, so that each step costs the same. Each character c
 windows that reach it join into spans entropy_hex, entropy_alnum and entropy_base64. An allow-list
 suppresses candidates that are known not to be secrets (paths, UUIDs, placeholder words, plain words).
 
-Offsets count code points. Edge cases: null and empty texts have no spans; repeated rows are scanned
+Offsets count code points. Edge cases: null and empty texts have no spans; null ids are kept as they are; repeated rows are scanned
 each; texts are scanned whole in one pass, whatever their length; extra columns are ignored."""
 
 from __future__ import annotations
