@@ -10,6 +10,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import unicodedata
 import zlib
 
@@ -258,22 +259,68 @@ def license_base(t):
     return len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))
 
 
-def license_labels(t):
-    """By looking at every block and template."""
-    w, found = LICENSE_WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})), set()
-    for k in range(0, max(1, len(w)), licenses.STRIDE):
-        block = set(w[k : k + licenses.BLOCK])
-        found |= {label for label, s in licenses.template_sets().items() if len(s & block) >= licenses.CONTAINMENT * len(s) - 1e-9}
+def license_matches(t, templates):
+    """label -> best containment, by looking at every block and template."""
+    fold = lambda x: LICENSE_WORD.findall((x or "").translate({c: c + 32 for c in range(65, 91)}))
+    w, found = fold(t), {}
+    for label, text in templates:
+        words = fold(text)
+        own, span = set(words), 64
+        while span < len(words):
+            span *= 2
+        for k in range(0, max(1, len(w)), span) if own else []:
+            c = len(own & set(w[k : k + 2 * span])) / len(own)
+            if c >= licenses.CONTAINMENT - 1e-12:
+                found[label] = max(c, found.get(label, 0.0))
     return found
 
 
+def check_licenses(rows, docs, templates):
+    assert counted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows) == counted((i, *license_base(t)) for i, t in docs)
+    want = collections.Counter()
+    for i, t in docs:
+        base, fuzzy = license_base(t), license_matches(t, templates)
+        want[i, ",".join(sorted({*fuzzy, *filter(None, base[4].split(","))})), round(1.0 if base[1] else max(fuzzy.values(), default=0.0), 9)] += 1
+    assert counted((r.doc_id, r.labels, round(r.score, 9)) for r in rows) == want
+
+
 def test_licenses(spark, folder, sf_dir):
     for path in (folder, sf_dir):
-        rows, docs = licenses.op4_licenses(spark, path).collect(), documents(spark, path)
-        assert counted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows) == counted((i, *license_base(t)) for i, t in docs)
-        want = counted((i, ",".join(sorted(license_labels(t) | set(filter(None, license_base(t)[4].split(",")))))) for i, t in docs)
-        assert counted((r.doc_id, r.labels) for r in rows) == want
-        assert all(0 <= r.score <= 1 for r in rows)
+        check_licenses(licenses.op4_licenses(spark, path).collect(), documents(spark, path), licenses.TEMPLATES.items())
+
+
+@pytest.mark.parametrize("most", [500_000, 800])
+def test_many_templates(spark, monkeypatch, most):
+    """A hundred templates of 3 to 200 words, in one pass and in several; texts hold parts of them."""
+    rng = random.Random(11)
+    vocabulary = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(4000)]
+    templates = [(f"t{i % 90:02}", " ".join(rng.choices(vocabulary, k=rng.choice([3, 10, 40, 70, 200])))) for i in range(100)] + [("none", "?"), ("null", None)]
+    docs = []
+    for i in range(150):
+        words = rng.choices(vocabulary, k=rng.randint(0, 300))
+        for _ in range(rng.randint(0, 2)):
+            own = [w for w in rng.choice(templates[:100])[1].split() if rng.random() < 0.9]
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        docs.append((i, " ".join(words)))
+    monkeypatch.setattr(licenses, "MOST_WORDS", most)
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(templates, "label string, text string")
+    check_licenses(licenses.find_licenses(df, table).collect(), docs, [t for t in templates if t[1]])
+
+
+def test_license_filters(spark):
+    """The length filter rejects candidates, and so does the positional one; none that match."""
+    texts = {"short": "rare a b c", "long": "rare a d e f g h i j k", "odd": "z1 z2 z3 z4 z5"}
+    templates = [licenses.template_of(n, label, t, 0.8) for n, (label, t) in enumerate(texts.items())]
+    rows = ["x a b c rare", "rare a d e f g h i j k", "zz b c h i j k", "i j k g h", "z1 z2 k g h f e d", "a d e f g", "a rare"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    words = frozenset().union(*(t.words for t in templates))
+    index = licenses.Index(templates, {r.word: r.n for r in licenses.frequencies(docs, words).collect()})
+    met, kept = licenses.candidates(licenses.scan(docs, index).cache(), index)
+    long_enough = met.where("size(places) >= need").count()
+    assert kept.count() < long_enough < met.count()
+    scanned, found = licenses.matches(docs, templates)
+    assert {(r.doc_id, r.label) for r in found.join(scanned, "row").collect()} == {(0, "short"), (1, "long")}
 
 
 # 5
@@ -314,6 +361,63 @@ def test_disclosing_terms(spark):
     assert clean[100].text == texts[100].replace("0@y.org", "[EMAIL]")
 
 
+def term_spans(docs):
+    """Row by row, the places of disclosing terms, by their definition."""
+    import regex
+
+    word = lambda t, p=r"\p{L}{2,}+": [(m.start(), m.end(), m[0]) for m in regex.finditer(p, t)]
+    near, entities, held = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for row, t in {(i, t or "") for i, t in docs}:
+        own = set()
+        for kind, s, e in personal(t):
+            own.add((kind, t[s:e]))
+            padded = f" {t} "
+            left, right = padded[max(0, s - pii.WINDOW) : s + 2], padded[e : e + pii.WINDOW + 2]
+            for x in (left, right):
+                for m in regex.finditer(r"(?<=\P{L})\p{L}{2,}+(?=\P{L})", x):
+                    near[kind, t[s:e], m[0].lower()].add((row, t))
+        entities.update(own)
+    for _, t in docs:
+        held.update({w.lower() for _, _, w in word(t or "")})
+    pairs = {p: rows for p, rows in near.items() if len({t for _, t in rows}) >= 2}
+    told = set()
+    for (kind, v, t), rows in pairs.items():
+        ic = math.log(max(len(docs) / entities[kind, v], 1 + 1e-9))
+        pmi = math.log(min(len(rows) / held[t], 1)) + ic
+        if pmi / ic >= pii.DISCLOSURE and len({x for _, x in rows}) * (pmi - 1) >= math.log(max(1, len(pairs)) / pii.ALPHA):
+            told.add(t)
+    free = lambda t, s, e: not any(a < e and s < b for _, a, b in personal(t))
+    return collections.Counter((i, ",".join(f"{s}:{e}" for s, e, w in word(t or "") if w.lower() in told and free(t, s, e))) for i, t in docs)
+
+
+def test_terms_by_definition(spark):
+    """Names beside addresses: first and last words of texts, short names, names far from the address and in texts
+    without it, common words, rows that repeat, rows without id."""
+    rng = random.Random(6)
+    people = [(n, f"u7@{d}.org") for n, d in (("Kim", "aa"), ("Zebulon", "bb"), ("Ánna", "cc"), ("Bo", "dd"), ("Al", "ee"))]
+    words = [f"w{chr(97 + k)}{chr(97 + j)}" for k in range(12) for j in range(12)]
+    filler = lambda n: " ".join(rng.choices(words, k=n))
+    docs = []
+    for i in range(240):
+        name, mail = people[i % 5]
+        docs.append((i, [filler(40), f"{name} {filler(4)} {mail} {filler(60)} {name}", f"{filler(5)} {mail}, {name}", f"{filler(30)} {name} {filler(9)}" if i % 5 < 2 else filler(3), f"{mail} {filler(50)}"][rng.choice([0, 1, 1, 2, 2, 3, 4])]))
+    docs += [(None, docs[6][1]), docs[11], docs[11], (7, None), (8, "")]
+    found = pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = term_spans(docs)
+    assert counted((r.doc_id, ",".join(f"{t.s}:{t.e}" for t in r.terms)) for r in found) == want
+    assert sum(n for (_, x), n in want.items() if x) > 20
+
+
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand addresses in one text take seconds."""
+    text = " ".join(f"a{i}@b.co" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    began = time.monotonic()
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean == {1: " ".join(["[EMAIL]"] * 100_000), 2: "x"}
+    assert time.monotonic() - began < 60
+
+
 def test_sanitised(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     clean = pii.sanitise(docs)
@@ -477,18 +581,103 @@ def test_toxicity_held_out(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, toxic))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    found = {r.doc_id: r["__toxicity"] for r in toxicity.scored(docs, labels).collect()}
+    found = {r.doc_id: r.toxicity for r in toxicity.scored(docs, labels).collect()}
     held = [i for i in found if zlib.crc32(str(i).encode()) % 5 == 0]
     right = sum((found[i] >= 0.5) == (i % 6 == 0) for i in held)
     assert right >= 0.97 * len(held)
 
 
-def test_levenshtein_trie():
-    trie = toxicity.Trie(["idiot$", "lowei", "scum$"])
-    for word, want in (("idiot", ("idiot$", 0)), ("idi0t", ("idiot$", 1)), ("idiots", ("idiot$", 1)), ("idot", ("idiot$", 1)), ("loweiung", ("lowei", 0)), ("loweung", None), ("scam", None), ("idxxt", None)):
-        assert trie.match(word) == want
-        if want:
-            assert re.search(trie.ends, word) and re.search(trie.forms, word)
+def edit_distances(entry, word):
+    """Of the entry to each beginning of the word: insert, drop, replace, swap of two neighbours."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(word) + 1)] for i in range(len(entry) + 1)]
+    for i in range(1, len(entry) + 1):
+        for j in range(1, len(word) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (entry[i - 1] != word[j - 1]))
+            if i > 1 and j > 1 and entry[i - 1] == word[j - 2] and entry[i - 2] == word[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1]
+
+
+def match_of(entries, word):
+    best = None
+    for e in entries:
+        row = edit_distances(e.rstrip("$"), word)
+        d = row[-1] if e[-1] == "$" else min(row)
+        if d <= toxicity.edits_of(e) and (best is None or (d, e) < best):
+            best = d, e
+    return best and (best[1], best[0])
+
+
+def test_levenshtein_automata():
+    entries = ["idiot$", "lowei", "scum$", "disgusting$", "patheti", "worthlessness"]
+    for word, want in (("idiot", ("idiot$", 0)), ("idoit", ("idiot$", 1)), ("idiots", ("idiot$", 1)), ("idxxt", None), ("loewiung", ("lowei", 1)), ("scam", None), ("idsgusitng", ("disgusting$", 2)), ("disgust", None), ("ptahetically", ("patheti", 1)), ("wrothlesness", ("worthlessness", 2))):
+        assert match_of(entries, word) == want
+    rng, trie = random.Random(9), toxicity.Trie(entries)
+    letter = lambda: rng.choice("abco")
+    words = ["".join(letter() for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    for e in entries * 60:
+        w = list(e.rstrip("$")) + [letter() for _ in range(rng.randint(0, 2))]
+        for _ in range(rng.randint(0, 3)):
+            k, how = rng.randrange(len(w)), rng.randrange(4)
+            w[k : k + 1 + (how == 3)] = [[letter()], [], [w[k], letter()], w[k : k + 2][::-1]][how]
+        words.append("".join(w))
+    import pyarrow as pa
+
+    near = trie.near(pa.array(words, pa.large_string())).to_pylist()
+    for w, may in zip(words, near):
+        want = match_of(entries, w)
+        assert trie.match(w) == want and (may or not want)
+    assert 100 < sum(map(bool, map(trie.match, words))) < sum(near)
+
+
+def test_toxicity_features_by_definition():
+    import pyarrow as pa
+
+    odds = {"idiot$": 4.0, "grumblewort$": 5.0, "lowei": 3.5}
+    texts = [*TEXTS, "you are such an idoit!", 'he wrote "what an idiot" in a note', "“grumblewrot” lowei loweis", "grumblewort " * 3, "a b c d e f said g h grumbelwort"]
+    got = toxicity.features(pa.array(texts, pa.string()), toxicity.Trie(odds), odds)
+    for t, x in zip(texts, got):
+        data = (t or "").encode().lower()
+        words = list(re.finditer(rb"[0-9a-z\x80-\xff]+", data))
+        exact = fuzzy = most = n = quotes = 0.0
+        for i, w in enumerate(words):
+            m = match_of(odds, w[0].decode(errors="replace"))
+            if not m:
+                continue
+            around = {v[0] for v in words[max(0, i - 5) : i + 6]}
+            quoted = bool(toxicity.QUOTES.search(data[max(0, w.start() - 40) : w.start()]) and toxicity.QUOTES.search(data[w.start() : w.start() + 40])) or bool(toxicity.REPORTING & around)
+            weight = odds[m[0]] * (0.25 if quoted else 1) * (1.25 if toxicity.ADDRESS & around else 1)
+            exact, fuzzy = exact + weight * (m[1] == 0), fuzzy + weight * (m[1] > 0)
+            most, n, quotes = max(most, weight), n + 1, quotes + quoted
+        want = [1, math.log1p(exact), math.log1p(fuzzy), most, 100 * n / len(words), quotes / n] if n else [1, 0, 0, 0, 0, 0]
+        assert list(x) == pytest.approx(want)
+
+
+def test_toxicity_lexicon(spark):
+    """Significant stems by counts made word by word; rare terms stand out in a large sample, chance does not."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        toxic = int(i % 5 == 0)
+        words = [f"w{rng.randrange(300)}" for _ in range(20)]
+        if toxic:
+            words.append(rng.choice([f"vile{k}" for k in range(30)] + ["snarled", "snarling"]))
+        rows.append((" ".join(words), toxic))
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "vile" in found and "snarl" in found and not any(e.startswith("w") and e not in ("worthless$",) for e in found)
+    held = {s: (sum(any(w.startswith(s) for w in t.split()) for t, x in rows if x), sum(any(w.startswith(s) for w in t.split()) for t, x in rows if not x)) for s in ("vile", "snarl")}
+    for s, (n, c) in held.items():
+        assert found[s] == pytest.approx(math.log((n + 0.5) / 301) - math.log((c + 0.5) / 1201))
+
+
+def test_toxicity_repeated_ids(spark):
+    """Ids that repeat bring no more rows to learn from than the bound."""
+    docs = spark.range(4000).selectExpr("id % 10 + 1 as doc_id", "concat('text ', id) as text", "'k' as h", "'k' as toxicity", "'k' as _toxicity", "'k' as _text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 11)], "doc_id long, toxic int")
+    assert 50 < toxicity.sample(docs, labels, 100).count() < 200
+    scored = toxicity.score(docs, labels)
+    assert scored.columns == ["doc_id", "text", "h", "_toxicity", "_text", "toxicity"] and scored.where("_text = 'k' and toxicity between 0 and 1").count() == 4000
+    assert toxicity.keep_clean(docs, labels).columns == docs.columns
 
 
 # 9

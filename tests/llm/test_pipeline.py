@@ -15,7 +15,7 @@ def test_pipeline(spark, sf_dir):
     stages = dict(P.STAGES)
     assert list(stages) == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
     clean = stages["toxicity"](spark, docs, sf_dir)
-    rejected = {r.doc_id for r in toxicity.scored(docs, labels).where("__toxicity >= 0.5").collect()}
+    rejected = {r.doc_id for r in toxicity.scored(docs, labels).where("toxicity >= 0.5").collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - rejected
     single = stages["near_duplicates"](spark, clean, sf_dir)
     groups = {r.component_id for r in simhash.near_duplicates(clean).collect()}
