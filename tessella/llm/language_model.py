@@ -50,6 +50,11 @@ NODES = "ctx long, decision long, zeros double, ones double, log_w double, share
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+def freed() -> None:
+    """Gives back what Arrow's pool keeps of the unit before."""
+    pa.default_memory_pool().release_unused()
+
+
 def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -198,6 +203,7 @@ def describe(batches):
             if pending and size + own > UNIT_BYTES:
                 yield from unit(pending)
                 serial, pending, size = serial + 1, [], 0
+                freed()
             pending.append(part)
             size += own
     if pending:
@@ -390,6 +396,7 @@ def plain_counts(batches):
 
 def document_scores(total: int, distinct: int, ends: int):
     def run(unit, answers):
+        freed()
         size = np.array(unit.column("sizes")[0].as_py(), np.int64)
         data = np.frombuffer(pa.decompress(unit.column("items")[0].as_py(), unit.column("n")[0].as_py(), "zstd", asbytes=True), np.uint8)
         off, found = np.append(0, np.cumsum(size)), []
