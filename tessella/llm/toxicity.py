@@ -2,28 +2,24 @@
 
 Learning looks at a bounded sample of labelled rows (TRAIN_ROWS, drawn by a hash of doc_id and text): for words and
 word beginnings the documents of either label are counted, and those that stand out with toxic ones
-form the lexicon, beside a few fixed words: at odds of LEAST_ODDS (log) or more and significant, by the bound
-exp(-m KL(share, base share)) for m documents and a false discovery rate of ALPHA over all that are tested.
-
-The lexicon is a trie. A word's Levenshtein automaton (an edit inserts, drops, replaces a character or swaps two) has a
-state for each place in the word and number of edits; it is run along the trie as bit sets, and branches
-where no state is left are cut. Entries of FUZZY characters tolerate one edit, of twice as many less one two,
-whole words and beginnings alike (shorter ones none: nearly each of their neighbours is another word). Distinct
-words are looked up once per task, behind a filter that keeps every word which may match: of k + 1 parts of an
-entry, or of its swaps for fewer edits, one stands intact within k characters of its place.
+form the lexicon (LEXICON entries at most, beside a few fixed words). The lexicon is a trie. A word's
+Levenshtein automaton is run along the trie, a row of edit distances per node, and branches that no
+accepting state can follow are left; whole words of five characters and more tolerate one edit. Distinct words
+are looked up once per slice, behind a filter that keeps every word which holds one half of an entry intact
+(an edit can only touch the other half).
 
 Each hit is judged in its context: quotation marks round it or reporting words near it speak for a
 quotation, words of address and repetition for abuse. A logistic regression over these sums, fitted on the
 same bounded sample, gives the score.
 
 Edge cases: null and empty texts have no hit and get the score of such texts; labels that are null are not
-learned from; without labels fixed weights hold; repeated rows are scored each and learned from once; null doc_ids
-count as training ids; an empty table gives an empty result. Extra columns pass through `score`, whatever their names."""
+learned from; without labels fixed weights hold; repeated rows are scored each and learned from once; null doc_ids count as
+training ids; an empty table gives an empty result. Extra columns pass through `score`, whatever their names."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from math import log
 
 import numpy as np
@@ -36,12 +32,10 @@ from pyspark.sql import types as T
 from .common import LOWER, fresh, materialise, slices, split_words, text_bytes
 
 FOLDS, HELD = 5, 0
-TRAIN_ROWS, LEAST_DOCS, LEAST_ODDS, ALPHA = 20_000, 3, 3.0, 0.01
+TRAIN_ROWS, LEXICON, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 20_000, 200, 3, 0.02, 3.0
 #: Parts that the sample is dealt to, as its rows cost far more to read than their bytes tell.
 SAMPLE_PARTS = 48
-STEM, FUZZY, WINDOW, SPAN = 4, 5, 5, 40
-#: Words whose hit or miss a task remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+STEMS, FUZZY_LENGTH, WINDOW, SPAN = range(4, 9), 5, 5, 40
 
 # Words that the lexicon always has, words of reporting, words of address.
 SEEDS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown")
@@ -79,13 +73,9 @@ def document_words(texts: pa.Array):
 
 
 def stems_of(words) -> set[str]:
-    """The words, with $ at their end, and their beginnings of STEM characters and more."""
-    found = set()
-    for w in words:
-        w = w.decode(errors="replace")
-        found.add(f"{w}$")
-        found.update(w[:k] for k in range(STEM, len(w) + 1))
-    return found
+    """The words of four characters and more, with $ at their end, and their beginnings."""
+    long = [w for w in (w.decode(errors="replace") for w in words) if len(w) > 3]
+    return {f"{w}$" for w in long} | {w[:k] for w in long for k in STEMS if len(w) >= k}
 
 
 def count_stems(only: frozenset[str] | None):
@@ -113,158 +103,76 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         counts = rows.where(which).select("text").mapInArrow(count_stems(only), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
         return {r["stem"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
-    # Stems in enough toxic rows: bounded as the sample is. Clean rows count for these alone.
-    held = counted("toxic > 0", None, LEAST_DOCS)
-    n_toxic = held.pop("", None) or rows.where("toxic > 0").count()
+    # Stems in enough toxic rows: few, as the sample is bounded. Clean rows count for these alone.
+    n_toxic = rows.where("toxic > 0").count()
+    held = counted("toxic > 0", None, max(LEAST_DOCS, int(LEAST_SHARE * n_toxic)))
+    held.pop("", None)
     clean = counted("toxic <= 0", frozenset(held))
     n_clean = clean.pop("", 0)
-    found = significant({s: (n, clean.get(s, 0)) for s, n in held.items()}, n_toxic, n_clean)
-    # A beginning that one longer entry explains gives way to it; of other beginnings, what extends one goes.
+    odds = {s: log((n + 0.5) / (n_toxic + 1)) - log((clean.get(s, 0) + 0.5) / (n_clean + 1)) for s, n in held.items()}
+    found = dict(sorted(((s, (held[s], o)) for s, o in odds.items() if o >= LEAST_ODDS), key=lambda x: (-x[1][1], x[0]))[: 10 * LEXICON])
+    # A beginning that one longer entry explains gives way to it; of the rest, what extends another goes.
     longer: dict[str, int] = {}
-    for s in found:
+    for s, (n, _) in found.items():
         for k in range(1, len(s)):
-            longer[s[:k]] = max(held[s], longer.get(s[:k], 0))
-    stems = {s for s in found if s[-1] != "$" and longer.get(s, 0) < 0.9 * held[s]}
-    stems = {s for s in stems if not any(s[:k] in stems for k in range(1, len(s)))}
-    kept = {s: o for s, o in found.items() if s[-1] == "$" or s in stems}
-    strongest = max(kept.values(), default=4.0)
-    return {f"{w}$": strongest for w in SEEDS} | kept
-
-
-def significant(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log odds of the stems that stand out with toxic rows, from (toxic, clean) rows that hold each."""
-    if not n_toxic or not n_clean:
-        return {}
-    base, found, bounds = n_toxic / (n_toxic + n_clean), {}, []
-    for s, (n, c) in counts.items():
-        odds, share = log((n + 0.5) / (n_toxic + 1)) - log((c + 0.5) / (n_clean + 1)), n / (n + c)
-        if share > base:
-            loss = share * log(share / base) + ((1 - share) * log((1 - share) / (1 - base)) if share < 1 else 0.0)
-            bounds.append((-(n + c) * loss, s, odds))
-    bounds.sort()
-    last = max((k for k, (bound, _, _) in enumerate(bounds, 1) if bound <= log(ALPHA * k / len(counts))), default=0)
-    for _, s, odds in bounds[:last]:
-        if odds >= LEAST_ODDS:
-            found[s] = odds
-    return found
-
-
-# Edits.
-
-
-def edits_of(entry: str) -> int:
-    """How many edits an entry tolerates."""
-    n = len(entry.rstrip("$"))
-    return 0 if n < FUZZY else 1 if n < 2 * FUZZY - 1 else 2
-
-
-def swaps(s: str) -> set[str]:
-    return {s[:i] + s[i + 1] + s[i] + s[i + 2 :] for i in range(len(s) - 1) if s[i] != s[i + 1]}
-
-
-def intact(term: str, edits: int) -> set[tuple[int, str]]:
-    """(start, part) of which any word within the edits of the term has one."""
-    cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
-    found = {(max(0, a + shift), term[a:b]) for a, b in zip(cuts, cuts[1:]) for shift in range(-edits, edits + 1)}
-    if edits:
-        for other in swaps(term):
-            found |= intact(other, edits - 1)
-    return found
-
-
-class Automaton:
-    """The Levenshtein automaton of a word: state sets as bits, by number of edits; bit j is place j of the word."""
-
-    def __init__(self, word: str, edits: int):
-        self.length, self.edits, self.masks = len(word), edits, defaultdict(int)
-        for j, c in enumerate(word):
-            self.masks[c] |= 1 << j
-        self.all = (2 << self.length) - 1
-        self.start = self.closed([1] + [0] * edits), (0,) * (edits + 1)
-
-    def closed(self, states: list[int]) -> tuple[int, ...]:
-        """With the states that dropped characters of the word lead to."""
-        for e in range(1, len(states)):
-            states[e] |= states[e - 1] << 1 & self.all
-        return tuple(states)
-
-    def step(self, state, c: str):
-        """After one more character of an entry."""
-        states, swapping = state
-        mask, new = self.masks[c], []
-        for e in range(self.edits + 1):
-            s = (states[e] & mask) << 1
-            if e:
-                s |= states[e - 1] | states[e - 1] << 1 | (swapping[e - 1] & mask) << 2
-            new.append(s & self.all)
-        return self.closed(new), tuple(s & mask >> 1 for s in states)
-
-    def accepts(self, state, whole: bool) -> int | None:
-        """The fewest edits with which the characters so far spell the word, or some beginning of it."""
-        wanted = 1 << self.length if whole else self.all
-        return next((e for e, s in enumerate(state[0]) if s & wanted), None)
+            longer[s[:k]] = max(n, longer.get(s[:k], 0))
+    left = {s: v for s, v in found.items() if longer.get(s, 0) < 0.9 * v[0]}
+    kept = {s: v for s, v in left.items() if not any(s[:k] in left for k in range(1, len(s.rstrip("$")) + s.endswith("$")))}
+    best = sorted(kept.items(), key=lambda x: (-x[1][1], x[0]))[:LEXICON]
+    strongest = max((v[1] for _, v in best), default=4.0)
+    return {f"{w}$": strongest for w in SEEDS} | {s: v[1] for s, v in best}
 
 
 class Trie:
-    """The lexicon: a trie for each number of edits, as nested dictionaries; None marks entries as (entry, whole word)."""
+    """Lexicon as nested dictionaries; None marks an entry as (entry, edits allowed, whole word)."""
 
     def __init__(self, entries):
-        self.roots: dict[int, dict] = {}
-        self.parts: dict[tuple[int, int], set[str]] = defaultdict(set)
+        self.root: dict = {}
         self.memory: dict[str, tuple[str, int] | None] = {}
+        heads, tails, forms = set(), set(), set()
         for e in entries:
-            term, whole, edits = e.rstrip("$"), e.endswith("$"), edits_of(e)
-            node = self.roots.setdefault(edits, {})
+            term, whole = e.rstrip("$"), e.endswith("$")
+            edits = 1 if whole and len(term) >= FUZZY_LENGTH else 0
+            node = self.root
             for c in term:
                 node = node.setdefault(c, {})
-            node.setdefault(None, []).append((e, whole))
-            for start, part in intact(term, edits):
-                if whole:
-                    for n in range(len(term) - edits, len(term) + edits + 1):
-                        self.parts[start, len(part)].add(f"{part}:{n}")
-                else:
-                    self.parts[start, len(part)].add(f"{part}:")
-
-    def near(self, words: pa.Array) -> pa.Array:
-        """Whether each word may match: it has an intact part, and the length of an entry that is a whole word."""
-        size = pc.cast(pc.utf8_length(words), pa.large_string())
-        found = np.zeros(len(words), bool)
-        for (start, n), parts in self.parts.items():
-            own, values = pc.utf8_slice_codeunits(words, start, start + n), pa.array(list(parts), pa.large_string())
-            for key in (pc.binary_join_element_wise(own, size, pa.scalar(":", pa.large_string())), pc.binary_join_element_wise(own, pa.scalar("", pa.large_string()), pa.scalar(":", pa.large_string()))):
-                found |= pc.is_in(key, value_set=values).to_numpy(zero_copy_only=False)
-        return pa.array(found)
+            node.setdefault(None, []).append((e, edits, whole))
+            half, end = len(term) // 2 if edits else len(term), "$" if whole else ""
+            head, tail = re.escape(term[:half]), re.escape(term[half:])
+            heads.add(head)
+            if edits:
+                tails.add(tail)
+                rest = len(term) - half
+                forms |= {f"{head}.{{{rest - 1},{rest + 1}}}{end}", f".{{{half - 1},{half + 1}}}{tail}{end}"}
+            else:
+                forms.add(head + end)
+        # Two steps: a cheap look at either end of a word, then the lengths.
+        self.ends = "|".join(f for f in ("^(?:" + "|".join(sorted(heads)) + ")" if heads else "", "(?:" + "|".join(sorted(tails)) + ")$" if tails else "") if f) or "^$."
+        self.forms = "^(?:" + "|".join(sorted(forms)) + ")" if forms else "^$."
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The entry that the word spells with the fewest edits (of these the first by name), and how many."""
-        best = None
-        for edits, root in self.roots.items():
-            automaton = Automaton(word, edits)
-            stack = [(root, automaton.start)]
-            while stack:
-                node, state = stack.pop()
-                for c, below in node.items():
-                    if c is None:
-                        for e, whole in below:
-                            d = automaton.accepts(state, whole)
-                            if d is not None and (best is None or (d, e) < (best[1], best[0])):
-                                best = (e, d)
-                    elif any((new := automaton.step(state, c))[0]):
-                        stack.append((below, new))
-        return best
-
-    def hits(self, words: pa.Array) -> dict[int, tuple[str, int]]:
-        """Place -> match of the words that match."""
-        names = words.to_pylist()
-        if len(self.memory) > REMEMBERED:
+        """The entry that the word spells with the fewest edits, and how many."""
+        if word in self.memory:
+            return self.memory[word]
+        best, stack = None, [(self.root, list(range(len(word) + 1)))]
+        while stack:
+            node, row = stack.pop()
+            for c, below in node.items():
+                if c is None:
+                    for e, edits, whole in below:
+                        d = row[-1] if whole else min(row)
+                        if d <= edits and (best is None or (d, e) < (best[1], best[0])):
+                            best = (e, d)
+                    continue
+                new = [row[0] + 1]
+                for j, w in enumerate(word):
+                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
+                if min(new) <= 1:
+                    stack.append((below, new))
+        if len(self.memory) > 200_000:
             self.memory.clear()
-        unknown = [w for w in names if w not in self.memory]
-        if unknown:
-            self.memory.update(dict.fromkeys(unknown))
-            fresh_words = pa.array(unknown, pa.large_string())
-            for w in fresh_words.filter(self.near(fresh_words)).to_pylist():
-                self.memory[w] = self.match(w)
-        return {i: m for i, w in enumerate(names) if (m := self.memory[w])}
+        self.memory[word] = best
+        return best
 
 
 def features(texts: pa.Array, trie: Trie, odds: dict[str, float]) -> np.ndarray:
@@ -276,7 +184,13 @@ def features(texts: pa.Array, trie: Trie, odds: dict[str, float]) -> np.ndarray:
         return x
     coded = words.dictionary_encode()
     names = coded.dictionary.cast(pa.large_string())
-    hit = trie.hits(names)
+    near = np.flatnonzero(pc.match_substring_regex(names, trie.ends).to_numpy(zero_copy_only=False))
+    close = names.take(pa.array(near))
+    fits = pc.match_substring_regex(close, trie.forms)
+    hit: dict[int, tuple[str, int]] = {}
+    for i, w in zip(near[fits.to_numpy(zero_copy_only=False)].tolist(), close.filter(fits).to_pylist()):
+        if m := trie.match(w):
+            hit[i] = m
     if not hit:
         return x
     flags = np.zeros(len(names), bool)
