@@ -40,6 +40,12 @@ def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def crc32_sql(digits: str) -> str:
+    """DuckDB for the crc32 of a text of ASCII characters."""
+    bits = "list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, xor(crc, b))"
+    return f"xor(4294967295::bigint, list_reduce(list_transform(string_split({digits}, ''), lambda s: ascii(s)::bigint), lambda crc, b: {bits}, 4294967295::bigint))"
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_model, licenses, mixing, packing, pii, secrets, simhash, topk, toxicity
+from . import bpe, conversations, embedding_dedup, language_model, licenses, merkle, mixing, packing, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_topk": topk.op10_topk,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_conversations": conversations.op13_conversations,
 }
 
-SQL = {"op1_mixing": mixing.OP1_SQL, "op3_embedding_dedup": embedding_dedup.OP3_SQL, "op10_topk": topk.OP10_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op3_embedding_dedup": embedding_dedup.OP3_SQL, "op10_topk": topk.OP10_SQL, "op11_merkle": merkle.OP11_SQL, "op13_conversations": conversations.OP13_SQL}

@@ -20,7 +20,7 @@ import xxhash
 from conftest import same_rows, views
 from pyspark.sql import functions as F
 
-from tessella.llm import common, embedding_dedup, entry, language_model, licenses, mixing, packing, pii, secrets, simhash, topk, toxicity
+from tessella.llm import bpe, common, conversations, embedding_dedup, entry, language_model, licenses, merkle, mixing, packing, pii, secrets, simhash, topk, toxicity
 
 PROSE = "the quick brown fox jumps over a lazy dog and then runs along the river to its den near an old mill"
 TEXTS = [
@@ -50,13 +50,16 @@ def folder(spark, tmp_path_factory):
     base = [0.6, 0.8, 0.0]
     vectors = [(0, base), (1, base), (2, [0.61, 0.79, 0.01]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [1.0, None, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [0.0, 0.0, -2.0]), (8, [1.0, 0.0]), (9, [0.0, 0.01, -2.0]), (50, [0.6, 0.8, 0.1]), (100, []), (150, [float("inf"), 0.0, 1.0]), (7, [0.0, 0.0, -2.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("v", F.lit("clash")).write.parquet(f"{path}/embeddings.parquet")
+    talk = [(c, t, r, x) for c in (0, 1, 2, 3, 4, 5, 6, 7, 20, 21, 22, 45) for t, r, x in [(1, "user", "hi there"), (2, "assistant", None), (None, "system", PROSE), (3, "user", f"question {c % 3}")][: 2 + c % 3]]
+    talk += [talk[0], talk[3], (None, 1, "user", "no conversation"), (7, 9, None, ""), (7, 9, "user", "x" * 100_000), (-41, 1, "user", "hi there"), (61, 1, "user", "gone")]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").withColumns({n: F.lit("clash") for n in ("key", "depth", "range", "h")}).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return path
 
@@ -688,3 +691,169 @@ def test_split_words():
     assert counts.tolist() == [2, 0, 0, 1, 2] and [w.as_py() for w in words] == [w for t in texts for w in (t or "").encode().split()]
     sliced, off = common.text_bytes(pa.array(texts)[3:])
     assert bytes(sliced) == "cé x y".encode()
+
+
+# 11
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def up(nodes, path, i):
+    """The root over nodes, and to path the siblings that node i and its ancestors meet."""
+    while len(nodes) > 1:
+        a = i - i % 3
+        path += nodes[a:i] + nodes[i + 1 : a + 3]
+        nodes, i = [sha(*nodes[k : k + 3]) for k in range(0, len(nodes), 3)], i // 3
+    return nodes[0]
+
+
+def manifest(rows):
+    """Rows of op11 for (doc_id, source, leaf, changed), by hashing all anew for each leaf."""
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    sources = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for g in groups.values():
+        g.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[3]))
+    subroots = [up([r[2] for r in groups[s]], [], 0) for s in sources]
+    for n, s in enumerate(sources):
+        for k, (doc, _, leaf, changed) in enumerate(groups[s]):
+            path = []
+            up([r[2] for r in groups[s]], path, k)
+            root = up(subroots, path, n)
+            below = [r[2] for r in groups[s]]
+            below[k] = changed
+            folded = up([up(below, [], 0) if m == n else x for m, x in enumerate(subroots)], [], 0)
+            yield doc, leaf, subroots[n], root, sha(*path), folded, folded == root
+
+
+def leaf_of(row, text):
+    values = [row.doc_id, row.source, row.lang, row.n_chars, text]
+    return sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def test_manifest(spark, folder, sf_dir):
+    for path in (folder, sf_dir):
+        docs = spark.read.parquet(f"{path}/documents.parquet").collect()
+        odd = [d.doc_id is not None and d.text is not None and zlib.crc32(str(d.doc_id).encode()) % 2 == 0 for d in docs]
+        want = list(manifest([(d.doc_id, d.source, leaf_of(d, d.text), leaf_of(d, d.text.replace("\n", "") if o else d.text)) for d, o in zip(docs, odd)]))
+        assert counted(map(tuple, merkle.op11_merkle(spark, path).collect())) == counted(want)
+        assert path == folder or {r[-1] for r in want} == {True, False}
+
+
+@pytest.mark.parametrize("sizes", [[1], [3, 1], [729, 730, 2], [2200]])
+def test_manifest_of_several_rounds(spark, sizes):
+    rows = [(i, f"s{n}", sha(str(i + 10_000 * n)), sha(str(i % 3 and i + 10_000 * n))) for n, size in enumerate(sizes) for i in range(size)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, leaf string, changed string")
+    got = merkle.prove(df, "source", ["doc_id"], "leaf", "changed", proofs=True).collect()
+    assert all(sha(*r.proof) == r.proof_sha256 and r.leaf not in r.proof for r in got)
+    groups = collections.defaultdict(list)
+    if max(sizes) < 1000:
+        assert counted(tuple(r)[:-1] for r in got) == counted(manifest(rows))
+    else:  # as far as brute force goes
+        assert {r.root for r in got} == {up([sha(str(i)) for i in range(sizes[0])], [], 0)}
+        assert counted(r.verified for r in got) == counted(sha(str(i)) == sha(str(i % 3 and i)) for i in range(sizes[0]))
+
+
+def test_manifest_of_many_sources(spark):
+    rows = [(1, None if i == 7 else f"s{i}", sha(str(i)), sha("")) for i in range(800)]
+    got = merkle.prove(spark.createDataFrame(rows, "doc_id long, source string, leaf string, changed string"), "source", ["doc_id"], "leaf", "changed").collect()
+    leaves = [sha(str(i)) for i in sorted(range(800), key=lambda i: (i != 7, f"s{i}"))]
+    assert {r.root for r in got} == {up(leaves, [], 0)} and all(r.subroot == r.leaf and not r.verified for r in got)
+
+
+# 12
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(packing.tokenizer_path()))
+
+
+def test_bpe(spark, folder, sf_dir):
+    tokenizer = library()
+    for path in (folder, sf_dir):
+        want = []
+        for doc, text in documents(spark, path):
+            ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+            want.append((doc, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))))
+        assert counted(map(tuple, bpe.op12_bpe(spark, path).collect())) == counted(want)
+
+
+def test_bpe_columns(spark, folder):
+    """Other columns pass through both ways, whatever their names."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("ids", F.lit("clash"))
+    path = str(packing.tokenizer_path())
+    coded = bpe.encode(docs, path)
+    assert set(coded.columns) == set(docs.columns) - {"text"} and dict(coded.dtypes)["ids"] == "array<int>"
+    plain = bpe.decode(coded, path, text="plain")
+    assert plain.where("terms = 'clash' and plain is not null").count() == docs.count()
+    assert bpe.decode(spark.createDataFrame([(None,), ([],), ([320, 49407],)], "ids array<int>"), path).collect() == [("",), ("",), ("a</w> <|endoftext|>",)]
+
+
+def test_trie_of_words():
+    """The walk against plain merging, on words that share beginnings and on runs of one letter."""
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = bpe.Merges({t: i for t, i in model["vocab"].items() if not t.startswith("<|")}, model["merges"])
+    some = random.Random(3)
+    tokens = [t.removesuffix("</w>") for t in merges.vocabulary]
+    words = {"".join(some.choice("etaoinshrdlu") for _ in range(some.randint(1, 16))) for _ in range(3000)}
+    words |= {"".join(some.sample(tokens, 3)) for _ in range(3000)} | {"a" * n for n in range(1, 200)}
+    found = bpe.encodings(list(words), merges)
+    assert found == {w: merges.merged(*w[:-1], w[-1] + "</w>") for w in words}
+
+
+# 13
+
+
+def conversation_nodes(rows):
+    """Rows of op13, node by node over the rebuilt conversations."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            digest = sha(f"{len((role or '').encode())}:", role or "", text or "")
+            own[c].append((turn is not None, turn or 0, digest, role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(turns)] for c, turns in own.items()}
+    built = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = own.get(c - int(math.fmod(c, 20)), [])[:h] + own[c][h:]
+    members = collections.defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    for node, own_members in members.items():
+        under = [n for n in members if n[: len(node)] == node]
+        kids = [n for n in under if len(n) == len(node) + 1]
+        leafs = [n for n in under if not any(m[:-1] == n for m in under if m)]
+        saved = sum((len(members[n]) - 1) * len(words_of(n[-1][1])) for n in under if n)
+        ends = ",".join(map(str, sorted(c for c in own_members if len(built[c]) == len(node))))
+        yield min(own_members), len(node), min(members[node[:-1]]) if node else None, len(own_members), len(kids), len(leafs), saved, sha(ends)
+
+
+def test_conversations(spark, folder, sf_dir):
+    for path in (folder, sf_dir):
+        rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{path}/conversations.parquet").collect()]
+        assert counted(map(tuple, conversations.op13_conversations(spark, path).collect())) == counted(conversation_nodes(rows))
+
+
+def test_conversations_with_a_crowded_sketch(spark, monkeypatch):
+    """Collisions cost work, not results; conversations and nodes over several ranges; a node where many end."""
+    monkeypatch.setattr(conversations, "LEAST_RANGE", 50)
+    some = random.Random(5)
+    rows = [(c, t, "user", f"start {c % 7}" if t < 2 else f"{some.random()} word") for c in range(1000, 1400) for t in range(6)]
+    rows += [(c, 0, "user", "the same for all") for c in range(1600)[::-1] if not 1000 <= c < 1400]
+    rows += [(5000, t, "user", f"long {t}") for t in range(300)] + [(5021, t, "user", f"long {t}") for t in range(299)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = conversations.prefixes(conversations.rebuilt(df))
+    screened = conversations.screened(turns, 1 << 12)
+    really = dict(screened.groupBy("key").count().collect())
+    seen = screened.collect()
+    assert all(really[r.key] == 1 for r in seen if r.alone) and any(really[r.key] == 1 for r in seen if not r.alone)
+    views_of = __import__("duckdb").connect()
+    views_of.register("conversations", df.toArrow())
+    same_rows(conversations.trie(df, 1 << 12), views_of.sql(conversations.OP13_SQL))
