@@ -143,21 +143,113 @@ def replace_slices(bank: DataFrame, fresh: DataFrame, by: tuple[str, ...] = ("db
     return kept.unionByName(fresh.dropDuplicates(["id"]))
 
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, planes: int = 6, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Like cosine_top_k, over candidates that share a bucket of random hyperplanes in some table."""
-    dim = len(vectors.select("v").first()["v"])
-    normals = np.random.default_rng(seed).normal(size=(tables * planes, dim))
+#: Vectors that centroids are trained on (about; twice as many at most), rounds of training, and lists at most.
+SAMPLE, ROUNDS, MOST_LISTS = 1 << 16, 12, 4096
+
+
+def unit_rows(column: pd.Series) -> np.ndarray:
+    """Unit vectors as float rows; null, zero and non-finite ones are zero."""
+    size = max((len(x) for x in column if x is not None), default=0)
+    rows = np.array([x if x is not None and len(x) == size else [0.0] * size for x in column], float).reshape(len(column), size)
+    rows[~np.isfinite(rows).all(1)] = 0
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def train_centroids(vectors: DataFrame, lists: int | None = None, seed: int = 7) -> np.ndarray:
+    """Centroids of spherical k-means for vectors (id, v): as many as the root of the vectors, MOST_LISTS at most, unless `lists` says.
+    They are trained on a sample by id of about SAMPLE vectors, whatever the table's size; every vector is indexed."""
+    n = vectors.count()
+    share = min(1.0, SAMPLE / max(n, 1))
+    picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * SAMPLE).toPandas()
+    x = unit_rows(picked["v"])
+    x = x[(x != 0).any(1)]
+    k = max(1, min(lists or round(n**0.5), MOST_LISTS, len(x)))
+    if not len(x):
+        return np.zeros((1, x.shape[1] if x.ndim == 2 else 0))
+    order = np.lexsort(x.T)  # the same centroids in whatever order the sample comes
+    c = x[order][np.random.default_rng(seed).choice(len(x), k, replace=False)]
+    for _ in range(ROUNDS):
+        own = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        length = np.sqrt((sums * sums).sum(1, keepdims=True))
+        c = np.where(length > 0, sums / np.where(length > 0, length, 1), c)
+    return c
+
+
+def inverted_lists(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, list, code, scale): each vector under its nearest centroid, a byte for each dimension. Vectors without
+    direction are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = unit_rows(b["v"])
+            sound = (x != 0).any(1) if x.shape[1] == centres.shape[1] else np.zeros(len(b), bool)
+            x, ids = x[sound], b["id"][sound]
+            scale = np.abs(x).max(1, initial=1e-30) / 127
+            code = np.rint(x / scale[:, None]).astype(np.int8)
+            yield pd.DataFrame({"id": ids, "list": (x @ centres.T).argmax(1).astype(np.int32) if len(x) else np.zeros(0, np.int32), "code": [r.tobytes() for r in code], "scale": scale})
+
+    return vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInPandas(run, f"id {dict(vectors.dtypes)['id']}, list int, code binary, scale double")
+
 
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def probed(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(qid, q, list): each query with its nearest `probes` lists."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                side = (np.stack(b["v"].to_numpy()) @ normals.T > 0).reshape(len(b), tables, planes)
-                code = side @ (1 << np.arange(planes)) + (np.arange(tables) << planes)
-                yield pd.DataFrame({"id": b["id"], "bucket": list(code.astype("int64"))})
-
-    coded = lambda df: df.mapInPandas(buckets, "id long, bucket array<long>").select("id", F.explode("bucket").alias("bucket"))
-    q = coded(queries.select(F.col("qid").alias("id"), F.col("q").alias("v"))).toDF("qid", "bucket")
-    pairs = q.join(coded(vectors.select("id", "v")), "bucket").select("qid", "id").distinct()
+            x = unit_rows(b["q"])
+            b, x = (b[(x != 0).any(1)], x[(x != 0).any(1)]) if x.shape[1] == centres.shape[1] else (b[:0], x[:0])
+            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes] if len(x) else np.zeros((0, 1), int)
+            yield pd.DataFrame({"qid": b["qid"], "q": list(x), "lists": list(near.astype(np.int32))})
+
+    found = queries.select("qid", F.col("q").cast("array<double>").alias("q")).mapInPandas(run, f"qid {dict(queries.dtypes)['qid']}, q array<double>, lists array<int>")
+    return found.select("qid", "q", F.explode("lists").alias("list"))
+
+
+def candidates(queries: DataFrame, vectors: DataFrame, most: int, *, lists: int | None = None, probes: int = 8, seed: int = 7) -> DataFrame:
+    """(qid, id): for each query the `most` vectors that score best by their codes in the lists that it probes. A list
+    with many vectors or queries is dealt to blocks, as `cosine_top_k` does with all of them."""
+    centres = train_centroids(vectors, lists, seed)
+    coded, asked = inverted_lists(vectors, centres), probed(queries, centres, probes)
+    blocks = lambda df, n, name: df.groupBy("list").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    sizes = blocks(coded, BLOCK_ROWS, "bs").join(blocks(asked, QUERY_ROWS, "as"), "list")  # MOST_LISTS rows at most
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(F.broadcast(sizes), "list").select("list", "qid", "q", number("qid", "as").alias("a"), "bs").withColumn("b", each("bs"))
+    right = coded.join(F.broadcast(sizes), "list").select("list", "id", "code", "scale", number("id", "bs").alias("b"), "as").withColumn("a", each("as"))
+
+    def best(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or near.empty:
+            return pd.DataFrame({"qid": own["qid"][:0], "id": near["id"][:0], "score": np.zeros(0)})
+        q, ids, found = np.stack(own["q"].to_numpy()).astype(np.float32), near["id"].to_numpy(), []
+        v = np.frombuffer(b"".join(near["code"]), np.int8).reshape(len(near), -1).astype(np.float32) * near["scale"].to_numpy(np.float32)[:, None]
+        for n in range(0, len(q), 256):
+            scores = q[n : n + 256] @ v.T
+            top = np.argpartition(-scores, most - 1, axis=1)[:, :most] if scores.shape[1] > most else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+            at = np.repeat(np.arange(len(scores)), top.shape[1])
+            found.append(pd.DataFrame({"qid": own["qid"].to_numpy()[n + at], "id": ids[top.ravel()], "score": scores[at, top.ravel()].astype(float)}))
+        return pd.concat(found)
+
+    out = f"qid {dict(queries.dtypes)['qid']}, id {dict(vectors.dtypes)['id']}, score double"
+    pairs = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInPandas(best, out)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("qid", "id")
+
+
+def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, lists: int | None = None, probes: int = 8, again: int = 5, seed: int = 7) -> DataFrame:
+    """Like cosine_top_k, over an inverted index: of the lists of the nearest `probes` centroids the `again` * k best by codes
+    of a byte a dimension are scored again exactly, so a query has that many exact pairs, however many vectors there are."""
+    pairs = candidates(queries, vectors, again * k, lists=lists, probes=probes, seed=seed)
     scored = pairs.join(queries, "qid").join(vectors, "id").select("qid", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+
+
+def near_duplicate_gate(queries: DataFrame, bank: DataFrame, most: float = 0.92, *, lists: int | None = None, probes: int = 3, seed: int = 7) -> DataFrame:
+    """(qid, fresh): whether no vector of the bank but the query's own comes as near as `most`, over an inverted index. What lies that
+    near has the same nearest centroids but for ties, so few lists do; queries without direction are fresh."""
+    top = approximate_top_k(queries, bank, 2, lists=lists, probes=probes, seed=seed).where(F.col("qid") != F.col("id"))
+    top = top.groupBy("qid").agg(F.max("score").alias("score"))
+    return queries.select("qid").join(top, "qid", "left").select("qid", (F.coalesce("score", F.lit(-1.0)) < most).alias("fresh"))

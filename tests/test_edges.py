@@ -1,5 +1,6 @@
 """Small tables for what the given data don't hold: nulls, blanks, ties, empty sides, repeats."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,20 +282,49 @@ def test_knee(spark):
     assert {r["qid"]: r["count"] for r in got} == {1: 4, 2: 1}
 
 
-def test_approximate_recall(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q, v = e.where("vec_id % 50 = 0").selectExpr("vec_id as qid", "embedding as q"), e.selectExpr("vec_id as id", "embedding as v")
-    exact = {(r.qid, r.id) for r in V.cosine_top_k(q, v, 5).collect()}
-    found = {(r.qid, r.id) for r in V.approximate_top_k(q, v, 5, planes=3, tables=16).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-
-
 def test_approximate_query_recall(spark, sf_dir):
-    """The registered query as it is, against the exact one."""
+    """The registered query as it is: against the exact one, and its exact pairs against all."""
     from __spark_entry__ import QUERIES
 
-    exact, found = ({(r.qid, r.id) for r in QUERIES[n](spark, sf_dir).collect()} for n in ("cosine_topk", "approx_topk"))
+    exact, found = ({(r.qid, r.id) for r in QUERIES[n](spark, "/root/testdata/sf0.01").collect()} for n in ("cosine_topk", "approx_topk"))
     assert len(exact & found) >= 0.9 * len(exact)
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q, v = e.where("vec_id % 20 = 0").selectExpr("vec_id as qid", "embedding as q"), e.selectExpr("vec_id as id", "embedding as v")
+    assert V.candidates(q, v, 50, lists=16, probes=12).count() <= 0.1 * q.count() * v.count()
+
+
+def test_gate_by_index(spark):
+    """Near duplicates at the gate's distance, in a bank with a hot cluster: found in a tenth of the lists."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 32))
+    base = base / np.linalg.norm(base, axis=1, keepdims=True)
+    hot = base[0] + rng.normal(size=(300, 32)) * 0.02
+    side = rng.normal(size=(400, 32))
+    side -= (side * base).sum(1, keepdims=True) * base
+    near = 0.93 * base + (1 - 0.93**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, hot]))] + [(5000, None), (5001, [0.0] * 32), (5002, [float("nan")] * 32)]
+    asked = [(10_000 + i, [float(x) for x in v]) for i, v in enumerate(near)] + [(20_000, None), (20_001, [0.0] * 32)]
+    bank = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = spark.createDataFrame(asked, "qid long, q array<double>")
+    got = dict(V.near_duplicate_gate(queries, bank, lists=32, probes=3).collect())
+    assert len(got) == len(asked) and got[20_000] and got[20_001]
+    assert sum(not got[10_000 + i] for i in range(400)) >= 0.9 * 400
+    centres = V.train_centroids(bank, 32)
+    pairs = V.probed(queries, centres, 3).join(V.inverted_lists(bank.where("id < 400"), centres), "list").count()
+    assert pairs <= 0.1 * 400 * 400 + 400 * 400 * 0.05
+    small = V.train_centroids(bank.limit(0), 32)
+    assert V.inverted_lists(bank.limit(0), small).count() == 0
+    assert dict(V.near_duplicate_gate(queries.limit(3), bank.limit(0)).collect()) == {10_000: True, 10_001: True, 10_002: True}
+
+
+def test_index_deals_large_lists_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(V, "QUERY_ROWS", 20)
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(600)], "id long, v array<double>")
+    q = v.where("id % 7 = 0").toDF("qid", "q")
+    exact = {(r.qid, r.id) for r in V.cosine_top_k(q, v, 5).collect()}
+    assert {(r.qid, r.id) for r in V.approximate_top_k(q, v, 5, lists=2, probes=2).collect()} == exact
 
 
 def test_trust(spark):
