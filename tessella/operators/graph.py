@@ -31,6 +31,27 @@ def typed_edges(records: DataFrame, by: str, table: str, node: str) -> DataFrame
     return a.join(b, by).where((F.col("ta") != F.col("tb")) & (F.col("a") < F.col("b"))).select("a", "b", F.col(by).alias("kind")).distinct()
 
 
+def typed_hubs(records: DataFrame, by: str, table: str, node: str) -> DataFrame:
+    """(hub, tab, node): what `typed_edges` links, as the membership of each record in its key's hub. One row for each distinct record,
+    where the edges of a key with m records are up to m squared."""
+    return records.where(F.col(by).isNotNull()).select(F.col(by).alias("hub"), F.col(table).alias("tab"), F.col(node).alias("node")).where("tab is not null and node is not null").distinct()
+
+
+def hub_neighbours(hubs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(root, node, hop, kind) as `neighbours` gives it over the edges of the same records, without those edges: a hop goes from
+    a node to its hubs and from each hub to the members of other tables. The nodes by which a root comes to
+    a hub are summed to the tables that they have, one or several, before its members are looked up."""
+    seen = start.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast(hubs.schema["hub"].dataType).alias("kind"))
+    last = seen
+    for hop in range(1, depth + 1):
+        at = last.select("root", "node").join(hubs, "node").groupBy("root", "hub").agg(F.min("tab").alias("one"), F.max("tab").alias("other"))
+        members = at.join(hubs, "hub").where((F.col("one") != F.col("other")) | (F.col("tab") != F.col("one")))
+        reached = members.groupBy("root", "node").agg(F.min("hub").alias("kind"))
+        last = checkpointed(reached.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("hop"), "kind"))
+        seen = seen.union(last)
+    return seen.where("hop > 0")
+
+
 def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(root, node, depth): the whole closure below each root, itself at depth 0; cycles end where a node was seen."""
     seen = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import number
+from tessella.operators.lineage import checkpointed
+from tessella.operators.ordering import running
 
 
 def joined_set(c: str, by: str = "; ") -> Column:
@@ -17,13 +21,68 @@ def how_many(df: DataFrame, entity: str, *, approximate: bool = False) -> DataFr
     return df.agg((F.approx_count_distinct(entity) if approximate else F.countDistinct(entity)).alias("n"))
 
 
-def statistics(df: DataFrame, name: str, by: list[str] = [], *, approximate: bool = False) -> DataFrame:
-    """The exact median holds the distinct values of a group in one task; approximate takes one of bounded size instead, with a
-    relative error of one in ten thousand ranks, where groups are few and large."""
+#: The sketch behind a bracket of the median errs by one in ACCURACY ranks; the bracket begins twice as wide on each side.
+ACCURACY = 10_000
+#: Values of a group that one task may hold, and brackets, a row a group, that are sent to all tasks; more are joined, and a hot group is split there.
+IN_TASK, BROADCAST_GROUPS = 1 << 20, 100_000
+
+
+def statistics(df: DataFrame, name: str, by: list[str] = [], *, approximate: bool = False, in_task: int = IN_TASK) -> DataFrame:
+    """avg, sum, min, max and median by group. The exact median is selected by `medians` as soon as a group has more than `in_task`
+    values, else a task gathers each group; the approximate one comes from a sketch of bounded size, with a relative error of one in ten
+    thousand ranks."""
     x = number(F.col(name))
-    median = (lambda c: F.percentile_approx(c, 0.5, 10_000)) if approximate else F.median
-    stats = [f(x).alias(n) for n, f in (("avg", F.avg), ("sum", F.sum), ("min", F.min), ("max", F.max), ("median", median))]
-    return (df.groupBy(*by) if by else df).agg(*stats)
+    stats = lambda c: [f(c).alias(n) for n, f in (("avg", F.avg), ("sum", F.sum), ("min", F.min), ("max", F.max))]
+    grouped = df.groupBy(*by)
+    if approximate:
+        return grouped.agg(*stats(x), F.percentile_approx(x, 0.5, ACCURACY).alias("median"))
+    if (grouped.agg(F.count(name).alias("__n")).agg(F.max("__n")).first()[0] or 0) <= in_task:
+        return grouped.agg(*stats(x), F.median(x).alias("median"))
+    g = "__group"
+    rows = df.select(*by, x.alias(f"{g}_x"), (F.struct(*by) if by else F.struct(F.lit(0).alias("all"))).alias(g))
+    # One pass for the others and the first bracket.
+    found = rows.groupBy(g).agg(*stats(F.col(f"{g}_x")), *bracket(f"{g}_x", 2 / ACCURACY))
+    if not by:  # no rows are one group too
+        found = df.sparkSession.range(1).select(F.struct(F.lit(0).alias("all")).alias(g)).join(found, g, "left")
+    found = checkpointed(found)
+    middle = medians(rows.select(F.col(g).alias("g"), F.col(f"{g}_x").alias("x")), found.select(F.col(g).alias("g"), "n", "lo", "hi"))
+    out = found.join(middle.withColumnRenamed("g", g), g, "left")
+    return out.select(*[F.col(f"{g}.`{c}`").alias(c) for c in by], "avg", "sum", "min", "max", "median")
+
+
+def bracket(x: str, margin: float) -> list[Column]:
+    """n, lo, hi: the count and values about so far below and above the middle."""
+    ends = F.percentile_approx(x, [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], ACCURACY)
+    return [F.count(x).alias("n"), F.get(ends, 0).alias("lo"), F.get(ends, 1).alias("hi")]
+
+
+def medians(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    """(g, median): exact medians of rows (g, x). Each group is narrowed to values about its middle, of which only the distinct ones
+    are shuffled; what is below is counted, and running counts over ranges of the values find the middle ranks. So no task has
+    a whole group. Groups whose bracket proves too narrow are looked at again with a wider one."""
+    done, margin = [], 2 / ACCURACY
+    brackets = checkpointed(brackets.where("n > 0"))
+    while True:
+        side = F.broadcast(brackets) if brackets.count() <= BROADCAST_GROUPS else brackets
+        inside = rows.where("x is not null").join(side, "g").where("x <= hi")
+        counts = inside.groupBy("g", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x"), "n").agg(F.count("*").alias("c"))
+        counts = checkpointed(counts)
+        below = counts.groupBy("g", "n").agg(F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("c"))), F.lit(0)).alias("below"), F.sum("c").alias("upto"))
+        # 0-based ranks of the middle one or two
+        fits = (F.col("below") <= F.floor((F.col("n") - 1) / 2)) & (F.col("upto") > F.floor(F.col("n") / 2))
+        told = checkpointed(brackets.join(below.drop("n"), "g", "left").withColumn("fits", F.coalesce(fits, F.lit(False))))
+        ranked = running(counts.where("x is not null"), [F.asc("g"), F.asc("x")], {"at": F.col("c")})
+        begin = ranked.groupBy("g").agg(F.min("at").alias("begin"))
+        placed = ranked.drop("n").join(begin, "g").join(told.where("fits").select("g", "n", "below"), "g").withColumn("first", F.col("at") - F.col("begin") + F.col("below"))
+        holds = lambda rank: (F.col("first") <= rank) & (rank < F.col("first") + F.col("c"))
+        low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+        picked = placed.where(holds(low) | holds(high)).groupBy("g").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
+        done.append(picked)
+        wider = told.where("not fits").select("g")
+        if margin >= 0.5 or wider.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        margin = min(0.5, margin * 16)
+        brackets = checkpointed(rows.join(wider, "g", "left_semi").groupBy("g").agg(*bracket("x", margin)))
 
 
 def share(p: Column) -> Column:
@@ -80,7 +139,7 @@ def low_cardinality(df: DataFrame, most: int = 25, longest: int = 40) -> DataFra
 
 def token_frequency(df: DataFrame, name: str, *, by: str = "_", skip: int = 1, least_length: int = 3, band: tuple[int, int] = (5, 300), stop: tuple[str, ...] = ()) -> DataFrame:
     """(token, n): tokens of coded names but the first, within a band of document frequency."""
-    tokens = F.array_distinct(F.filter(F.slice(F.split(F.upper(name), by), skip + 1, 1000), lambda t: (F.length(t) >= least_length) & t.rlike("^[A-Z]+$")))
+    tokens = F.array_distinct(F.filter(F.split(F.upper(name), by), lambda t, i: (i >= skip) & (F.length(t) >= least_length) & t.rlike("^[A-Z]+$")))
     rows = df.select(F.explode(tokens).alias("token")).where(~F.col("token").isin(*stop) if stop else F.lit(True))
     return rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(*band))
 

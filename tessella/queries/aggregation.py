@@ -10,7 +10,7 @@ from tessella.operators import summary as S
 from tessella.plans import star
 from tessella.sources.curate import first_per_key
 
-from .registry import query
+from .registry import SQL, query
 
 
 @query("count_distinct", "select count(distinct l_partkey) as n from lineitem")
@@ -222,3 +222,10 @@ def _(t):
 def _(t):
     p = F.col("o_orderpriority")
     return t.orders.where(p.ilike("%urgent%") | p.rlike("^[35]") | (F.length(p) == 6)).select("o_orderkey", number(F.split_part(p, F.lit("-"), F.lit(1))).alias("v"))
+
+
+@query("stats_selected", SQL["stats"])
+def _(t):
+    """The same, by selection over ranges of the values whatever the groups' sizes."""
+    s = S.statistics(t.lineitem, "l_extendedprice", ["l_returnflag"], in_task=0)
+    return s.select("l_returnflag", F.round("avg", 4).alias("avg"), F.round("sum", 2).alias("sum"), "min", "max", F.round("median", 4).alias("median"))

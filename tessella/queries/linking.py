@@ -29,6 +29,35 @@ def _(t):
     return G.typed_edges(rows, "k", "tab", "node")
 
 
+KEYED = """r as (select 's' || s_suppkey as node, 'supplier' as tab, s_nationkey as k from supplier union all select 'c' || c_custkey, 'customer', c_nationkey from customer union all select 'n' || n_nationkey, 'nation', n_nationkey from nation union all select 'n' || n_nationkey, 'nation', 100 + n_regionkey from nation union all select 'r' || r_regionkey, 'region', 100 + r_regionkey from region)"""
+
+
+def keyed(t):
+    """Records of five kinds by the key of their nation or region; a nation has both."""
+    row = lambda df, mark, n, tab, k: df.select(F.concat(F.lit(mark), n).alias("node"), F.lit(tab).alias("tab"), F.col(k).alias("k"))
+    region = lambda df, k: df.withColumn(k, F.col(k) + 100)
+    rows = row(t.supplier, "s", "s_suppkey", "supplier", "s_nationkey").union(row(t.customer, "c", "c_custkey", "customer", "c_nationkey")).union(row(t.nation, "n", "n_nationkey", "nation", "n_nationkey"))
+    rows = rows.union(row(region(t.nation, "n_regionkey"), "n", "n_nationkey", "nation", "n_regionkey"))
+    return rows.union(t.region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("region"), F.col("r_regionkey") + 100))
+
+
+@query("typed_hubs", f"with {KEYED} select distinct k as hub, tab, node from r")
+def _(t):
+    return G.typed_hubs(keyed(t), "k", "tab", "node")
+
+
+@query(
+    "hub_bfs",
+    f"""with {KEYED}, e as (select distinct x.node as a, y.node as b, x.k as kind from r x join r y on x.k = y.k and x.tab <> y.tab),
+    h1 as (select 's1' as root, b as node, 1 as hop, min(kind) as kind from e where a = 's1' group by b),
+    h2 as (select root, e.b as node, 2 as hop, min(e.kind) as kind from h1 join e on e.a = h1.node where e.b <> 's1' and e.b not in (select node from h1) group by all)
+    select * from h1 union all select * from h2""",
+)
+def _(t):
+    start = t.supplier.where("s_suppkey = 1").select(F.concat(F.lit("s"), "s_suppkey").alias("root"))
+    return G.hub_neighbours(G.typed_hubs(keyed(t), "k", "tab", "node"), start, 2)
+
+
 @query(
     "closure",
     """with recursive c as (select r_id as root, r_id as node, 0 as depth from (select 'r' || r_regionkey as r_id from region) union all select c.root, h.child_id, c.depth + 1 from c join hier h on h.parent_id = c.node)

@@ -204,6 +204,43 @@ def test_budget_keeps_one_row(spark):
     assert O.within_budget(df, [F.asc("i")], 8, 100_000).count() == 8
 
 
+def test_exact_medians(spark):
+    """Against Spark's own, with ties, one hot group of distinct values, groups of one and two, texts and nulls; none has all of a group."""
+    rng = np.random.default_rng(6)
+    rows = [("hot", str(x)) for x in rng.permutation(60_000) / 7] + [("ties", str(int(x))) for x in rng.integers(0, 3, 5000)]
+    rows += [("one", "4"), ("two", "1"), ("two", "2"), ("none", None), ("none", "n/a"), (None, "3"), (None, "5"), (None, "100"), ("inf", "Infinity"), ("inf", "1")]
+    df = spark.createDataFrame(rows, "g string, v string")
+    got = {r["g"]: r.median for r in S.statistics(df, "v", ["g"], in_task=100).collect()}
+    want = {r["g"]: r.median for r in df.groupBy("g").agg(F.median(F.col("v").try_cast("double")).alias("median")).collect()}
+    assert got == want
+    whole = S.statistics(df, "v", in_task=100).collect()
+    assert [r.median for r in whole] == [df.agg(F.median(F.col("v").try_cast("double"))).first()[0]]
+    assert [tuple(r) for r in S.statistics(df.limit(0), "v", in_task=-1).collect()] == [(None,) * 5] and S.statistics(df.limit(0), "v", ["g"], in_task=-1).count() == 0
+    hot = df.where("g = 'hot'").select("g", F.col("v").cast("double").alias("x"))
+    lo, hi = hot.agg(*S.bracket("x", 2 / S.ACCURACY)).select("lo", "hi").first()
+    assert 0 < hot.where(F.col("x").between(lo, hi)).count() < 0.002 * 60_000
+
+
+def test_medians_with_brackets_that_miss(spark):
+    rows = spark.createDataFrame([(g, float(x)) for g in "ab" for x in range(101)], "g string, x double")
+    off = spark.createDataFrame([("a", 101, 80.0, 90.0), ("b", 101, 0.0, 10.0)], "g string, n long, lo double, hi double")
+    assert dict(S.medians(rows, off).collect()) == {"a": 50.0, "b": 50.0}
+
+
+def test_hubs_walk_as_edges_do(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.choice("abcdefgh") if i % 3 else "hot", f"t{i % 4}", f"n{i % 90}") for i in range(200)] + [(None, "t1", "n1"), ("a", None, "n2"), ("a", "t1", None)]
+    records = spark.createDataFrame(rows, "k string, tab string, node string")
+    hubs = G.typed_hubs(records, "k", "tab", "node")
+    start = spark.createDataFrame([("n1",), ("n7",), ("n89",), ("gone",)], "root string")
+    for depth in (1, 2, 3):
+        over_pairs = G.neighbours(G.typed_edges(records, "k", "tab", "node"), start, depth).collect()
+        assert sorted(map(tuple, G.hub_neighbours(hubs, start, depth).collect())) == sorted(map(tuple, over_pairs))
+    assert hubs.count() <= len(rows)  # linear, however hot a key
+
+
 def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "parent string, child string")
     got = {(r.node, r.depth) for r in G.descendants(edges, spark.createDataFrame([("a",)], "root string")).collect()}
