@@ -5,14 +5,17 @@ words before it scores them, so that no term meets the whole vocabulary."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import acronym, camel_words, is_structural, match_key, safe_normalise, without_salt
+from tessella.operators.lineage import checkpointed
 from tessella.sources.curate import first_per_key
 
 
@@ -291,35 +294,159 @@ def score_pairs(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInPandas(run, "query long, value string, score double")
 
 
-def fuzzy(terms: DataFrame, pool: DataFrame, least: float = 82.0) -> DataFrame:
+#: A word or pair of letters is hot above so many texts, and above a part of all occurrences that leaves MOST_HOT of them at most.
+HOT, MOST_HOT = 1000, 10_000
+#: Letters from rare to frequent; others are rarer. Any order is right, this one makes keys small.
+LETTERS = "zqjxkvbywgpfmucdlhrsnioate "
+
+
+@lru_cache(1 << 12)
+def pairs_needed(n: int, least: float) -> int:
+    """How many of the n - 1 pairs of neighbours in a text stand intact in one of at least its length, or in a window of at most its
+    length, that it has the ratio `least` with: a letter missing from the text breaks two pairs, one put in breaks one."""
+    d, broken = 1 - least / 100 + 1e-9, 0
+    for gap in range(int(d * 2 * n / (1 - d)) + 1 if d < 1 else 0):
+        if gap <= d * (2 * n + gap):  # the other is longer by gap
+            broken = max(broken, 3 * int((d * (2 * n + gap) - gap) / 2) + gap)
+        if gap <= d * (2 * n - gap):  # shorter by gap
+            broken = max(broken, 3 * int((d * (2 * n - gap) - gap) / 2) + 2 * gap)
+    return max(1, n - 1 - broken)
+
+
+@lru_cache(1 << 14)
+def text_forms(text: str) -> list[tuple[int, str, set[str]]]:
+    """The text as it is (0) and with its words sorted, repeated or not (1), with pairs of neighbouring letters."""
+    words = text.split(" ")
+    forms = {(0, text), (1, " ".join(sorted(words))), (1, " ".join(sorted(set(words))))}
+    return [(tag, f, {f[i : i + 2] for i in range(len(f) - 1)}) for tag, f in sorted(forms) if len(f) > 1]
+
+
+def need_of(form: str, grams: set[str], least: float) -> int:
+    return max(1, pairs_needed(len(form), least) - (len(form) - 1 - len(grams)))
+
+
+def plausible(a: str, b: str, least: float) -> bool:
+    """Whether some form of both shares as many pairs as the shorter one needs."""
+    for tag, f, gf in text_forms(a):
+        for other, g, gg in text_forms(b):
+            short, own = min((f, gf), (g, gg), key=lambda x: (len(x[0]), len(x[1])))
+            if tag == other and len(gf & gg) >= need_of(short, own, least):
+                return True
+    return False
+
+
+def gram_keys(text: str, hot: dict[str, int], least: float) -> Iterator[tuple[str, bool, int, int]]:
+    """(key, whether the shorter text may be found by it, length, pairs) for the forms of a text. Of the pairs that the shorter
+    text needs one is among its rarest; where that one is hot, the next takes part in the key if two are needed."""
+    for tag, form, grams in text_forms(text):
+        order, need = sorted(grams, key=lambda g: (hot.get(g, 0), g)), need_of(form, grams, least)
+        size = len(form), len(order)
+        first, second = len(order) - need + 1, len(order) - need + 2
+        for i, g in enumerate(order):
+            if g not in hot:
+                yield f"{tag}{g}", i < first, *size
+                continue
+            yield f"{tag}{g}.", need < 2 and i < first, *size  # one shared pair is all that can be asked for
+            for j in range(i + 1, len(order)):
+                yield f"{tag}{g}{order[j]}", need >= 2 and i < first and j < second, *size
+
+
+def hot_word_keys(text: str, hot: set[str], least: float) -> Iterator[tuple[str, str]]:
+    """(kind, key) for pairs that share hot words alone, a key for each set S of them. By the ratio of the shared words with one text's
+    words that text is S but for little (kind "most", met by "any"); by the ratio of both, what stands beside S shares
+    letters, at least as many as each side's length says: keys of two of its rarest letters, of one or of none."""
+    words = sorted(set(text.split(" ")))
+    own = [w for w in words if w in hot]
+    t = least / 100 - 1e-9
+    for k in range(1, 1 << len(own)):
+        shared = [w for i, w in enumerate(own) if k >> i & 1]
+        rest = [w for w in words if w not in shared]
+        size, name = len(" ".join(shared)), " ".join(shared)
+        beside = " ".join(rest)
+        yield "any", name
+        if not rest or t * (2 * size + 1 + len(beside)) <= 2 * size:
+            yield "most", name
+        counts: dict[str, int] = {}
+        letters = []
+        for c in beside:
+            counts[c] = counts.get(c, 0) + 1
+            letters.append((LETTERS.find(c), c, counts[c]))
+        letters.sort(key=lambda x: (-x[2], x[0], x[1]))
+        r, w = len(beside), size + 1
+        least_shared = math.ceil((t / 2 * r - (1 - t) * w) / (1 - t / 2) - 1e-9)
+        if least_shared <= 0:
+            yield "both", f"{name}|"
+        spelt = [f"{c}{n}" for _, c, n in letters]
+        if least_shared <= 1:
+            for c in spelt:
+                yield "both", f"{name}|{c}"
+        for i, j in combinations(range(r - max(least_shared, 2) + 2), 2) if r > 1 else ():
+            yield "both", f"{name}|{spelt[i]}{spelt[j]}"
+
+
+def fuzzy_keys(texts: DataFrame, name: str, hot_grams: dict[str, int], hot_words: set[str], least: float) -> DataFrame:
+    """(t, kind, key, first, n, own): keys of distinct texts, of pairs of letters (kind "gram") and of words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for t in b["t"]:
+                rows += {(t, "gram", *k) for k in gram_keys(t, hot_grams, least)}
+                rows += {(t, "word", w, True, 0, 0) for w in set(t.split(" ")) - hot_words}
+                rows += {(t, *k, True, 0, 0) for k in hot_word_keys(t, hot_words, least)}
+            yield pd.DataFrame(rows, columns=["t", "kind", "key", "first", "n", "own"])
+
+    return checkpointed(texts.select(F.col(name).alias("t")).distinct().mapInPandas(run, "t string, kind string, key string, first boolean, n int, own int"))
+
+
+def frequent(texts: DataFrame, parts: Column, hot: int) -> dict[str, int]:
+    """Texts of each part that very many have; MOST_HOT parts at most."""
+    counts = texts.select(F.explode(F.array_distinct(parts)).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return {r["x"]: r["n"] for r in counts.where(F.col("n") > max(hot, total // MOST_HOT)).collect()}
+
+
+def fuzzy_candidates(terms: DataFrame, pool: DataFrame, least: float, hot: int) -> DataFrame:
+    """(q, v, by_word) for distinct texts q of terms and v of pool that a scorer may put at `least`."""
+    both = terms.select(F.col("q").alias("x")).union(pool.select(F.col("v").alias("x")))
+    grams = F.when(F.length("x") > 1, F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring(F.col("x"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    hot_grams, hot_words = frequent(both, grams, hot), set(frequent(both, F.split("x", " "), hot))
+    a = fuzzy_keys(terms, "q", hot_grams, hot_words, least).toDF("q", "kind", "key", "first_q", "nq", "oq")
+    b = fuzzy_keys(pool, "v", hot_grams, hot_words, least).toDF("v", "kind", "key", "first_v", "nv", "ov")
+    # The shorter text looks the longer one up by its rarest pairs of letters.
+    shorter = F.struct("nq", "oq") <= F.struct("nv", "ov")
+    grams, words = F.col("kind") == "gram", F.col("kind").isin("word", "both")
+    found = [a.where(words).join(b.where(words), ["kind", "key"]).select("q", "v", F.lit(True).alias("by_word"))]
+    found.append(a.where(grams & F.col("first_q")).join(b.where(grams), ["kind", "key"]).where(shorter).select("q", "v", F.lit(False).alias("by_word")))
+    found.append(a.where(grams).join(b.where(grams & F.col("first_v")), ["kind", "key"]).where(~shorter).select("q", "v", F.lit(False).alias("by_word")))
+    for x, y in (("most", "any"), ("any", "most")):
+        found.append(a.where(F.col("kind") == x).drop("kind").join(b.where(F.col("kind") == y).drop("kind"), "key").select("q", "v", F.lit(True).alias("by_word")))
+    letters = lambda c: F.explode(F.array_distinct(F.split(c, "")))
+    for one, other in ((terms, pool), (pool, terms)):  # a text of one letter
+        (x,), (y,) = one.columns, other.columns
+        found.append(other.withColumn("w", letters(y)).join(one.where(F.length(x) == 1).withColumn("w", F.col(x)), "w").select("q", "v", F.lit(True).alias("by_word")))
+    return reduce(DataFrame.union, found).groupBy("q", "v").agg(F.max("by_word").alias("by_word"))
+
+
+def fuzzy(terms: DataFrame, pool: DataFrame, least: float = 82.0, hot: int = HOT) -> DataFrame:
     """(query, value, score): pool values that any scorer puts at `least` or above for any term of a query.
 
-    No such pair is missed. It shares a word, or the shorter text is one character that the other has, or the two share
-    pairs of neighbouring characters, as they are or with their words sorted: of n characters at a ratio of 1 - d at least
-    (1 - 3 d) n / (1 + d) - 1 pairs stand intact, less those that repeat, and one in any case."""
-    d = 1 - least / 100
+    No such pair is missed. Pairs of neighbouring letters are ordered by rarity, and the shorter text looks the longer ones up by so many
+    of its rarest that one must be shared. Texts that share a word meet by it; where the words that they share are hot, they meet by
+    all of them and by what stands beside them (`hot_word_keys`). So a key that very many texts have is split, unless all of them match."""
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     t = terms.select("query", clean(F.col("term")).alias("q")).where("q <> ''").distinct()
     p = pool.select("value", clean(F.col("value")).alias("v")).where("v <> ''").distinct()
-    couples = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
-
-    def forms(df: DataFrame, text: str) -> DataFrame:
-        words = F.split(F.col(text), " ")
-        joined = lambda a: F.struct(F.lit(1).alias("tag"), F.array_join(F.array_sort(a), " ").alias("form"))
-        every = F.array_distinct(F.array(F.struct(F.lit(0).alias("tag"), F.col(text).alias("form")), joined(words), joined(F.array_distinct(words))))
-        return df.withColumn("f", F.explode(every)).select(*df.columns, "f.tag", "f.form").where(F.length("form") > 1).withColumn("g", couples(F.col("form"))).select(*df.columns, "tag", F.struct(F.length("form").alias("n"), F.size("g").alias("own")).alias("f"), F.col("form"), F.explode("g").alias("g"))
-
-    a, b = forms(t, "q").withColumnsRenamed({"f": "fq", "form": "form_q"}), forms(p, "v").withColumnsRenamed({"f": "fv", "form": "form_v"})
-    shared = a.join(b, ["tag", "g"]).groupBy("query", "q", "value", "v", "tag", "form_q", "form_v").agg(F.count("*").alias("n"), F.least(F.first("fq"), F.first("fv")).alias("short"))
-    need = (1 - 3 * d) / (1 + d) * F.col("short.n") - 1 - (F.col("short.n") - 1 - F.col("short.own"))
-    pair = ["query", "q", "value", "v"]
-    found = shared.where(F.col("n") >= F.greatest(F.lit(1), F.ceil(need - 1e-9))).select(*pair)
-    by_word = t.withColumn("w", F.explode(F.array_distinct(F.split("q", " ")))).join(p.withColumn("w", F.explode(F.array_distinct(F.split("v", " ")))), "w").select(*pair)
-    letters = lambda c: F.explode(F.array_distinct(F.split(c, "")))
-    one = t.withColumn("w", letters("q")).join(p.where(F.length("v") == 1).withColumn("w", F.col("v")), "w").select(*pair)
-    other = t.where(F.length("q") == 1).withColumn("w", F.col("q")).join(p.withColumn("w", letters("v")), "w").select(*pair)
-    pairs = found.union(by_word).union(one).union(other).distinct()
-    return score_pairs(pairs, least).groupBy("query", "value").agg(F.max("score").alias("score"))
+    pairs = checkpointed(fuzzy_candidates(t.select("q").distinct(), p.select("v").distinct(), least, hot))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            score = [round(best_score(x, y), 4) if word or plausible(x, y, least) else 0.0 for x, y, word in zip(b["q"], b["v"], b["by_word"])]
+            b = b.assign(score=score)
+            yield b[b["score"] >= least][["q", "v", "score"]]
+
+    scored = pairs.mapInPandas(run, "q string, v string, score double")
+    return scored.join(t, "q").join(p, "v").groupBy("query", "value").agg(F.max("score").alias("score"))
 
 
 def exhaustive(terms: DataFrame, pool: DataFrame, least: float = 82.0) -> DataFrame:

@@ -289,8 +289,26 @@ def test_fuzzy_misses_nothing(spark, sf_dir):
     values = spark.createDataFrame([(v,) for v in odd], "value string")
     asked = spark.createDataFrame(list(enumerate([text() for _ in range(100)] + ["ab", "a", "bbbbbbb", "foo ab x"])), "query long, term string")
     for t, p in ((terms, pool), (asked, values)):
-        got, want = ({(r["query"], r["value"]) for r in f(t, p).collect()} for f in (R.fuzzy, R.exhaustive))
-        assert got == want and want
+        want = {(r["query"], r["value"]) for r in R.exhaustive(t, p).collect()}
+        for hot in (R.HOT, 5):
+            assert {(r["query"], r["value"]) for r in R.fuzzy(t, p, hot=hot).collect()} == want and want
+
+
+def test_fuzzy_with_a_word_in_every_value(spark):
+    """All pairs that score, and no key of words that more than a fifth of the texts have on both sides."""
+    import random
+
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9)))
+    values = [f"widget {name()}" for _ in range(400)] + [f"{name()} widget {name()}" for _ in range(100)]
+    edited = [v.replace(v[8], "", 1) for v in values[::10]] + [" ".join(v.split()[::-1]) for v in values[::25]] + [f"widget {name()}" for _ in range(40)] + ["gidget abcdef"]
+    t = spark.createDataFrame(list(enumerate(edited)), "query long, term string")
+    p = spark.createDataFrame([(v,) for v in values], "value string")
+    want = {(r["query"], r["value"], r.score) for r in R.exhaustive(t, p).collect()}
+    assert {(r["query"], r["value"], r.score) for r in R.fuzzy(t, p, hot=50).collect()} == want and len(want) > 40
+    keys = R.fuzzy_keys(p, "value", {}, {"widget"}, 82.0)
+    met = keys.where("kind not in ('any', 'gram')").groupBy("kind", "key").count().agg(F.max("count")).first()[0]
+    assert met <= 100
 
 
 def test_ngram_rewrite(spark):
