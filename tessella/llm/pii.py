@@ -91,7 +91,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, spans array<struct<s, k, e, v>>, around array<struct<k, v, t>>) for each row of docs: terms beside its spans."""
+    """(row, doc_id, h, spans array<struct<s, k, e, v>>, around array<struct<k, v, t>>) for each row of docs: terms beside its spans.
+    row tells rows apart that repeat."""
     found = with_spans(docs.select("doc_id", "text"))
     # Padded by a character at either end; 4 bytes a character, so that slices cost what they hold.
     found = found.withColumn("__b", F.expr("if(size(spans) > 0, encode(concat(' ', __t, ' '), 'UTF-32'), null)"))
@@ -100,7 +101,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     words = f"array_union(regexp_extract_all({left}, {quoted(TERM)}, 0), regexp_extract_all({right}, {quoted(TERM)}, 0))"
     # A binary column inside a lambda is copied whole for each element; as an element of an array it is not.
     around = f"flatten(flatten(transform(array(__b), b -> transform(spans, x -> transform({words}, t -> named_struct('k', x.k, 'v', x.v, 't', lower(t)))))))"
-    return materialise(found.select("doc_id", "h", "spans", F.expr(around).alias("around")), "contexts")
+    return materialise(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "spans", F.expr(around).alias("around")), "contexts")
 
 
 def words_of(docs: DataFrame) -> DataFrame:
@@ -111,13 +112,14 @@ def words_of(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(t): the terms that disclose an entity, from `contexts` and the words of all texts.
+    """(t): the terms that disclose an entity, from `contexts` and the words of all texts. All counts are of rows, so that
+    a corpus with its rows repeated has the same terms; what is significant depends on how many different texts say so.
 
     An entity with a third of all rows is only ever counted by partial sums; words are joined with the terms in question
     before they are counted, by a join that Spark picks by their size."""
-    near = found.where("size(around) > 0").select("doc_id", "h", F.explode("around").alias("x")).select("doc_id", "h", "x.*").distinct()
+    near = found.where("size(around) > 0").select("row", "h", F.explode("around").alias("x")).select("row", "h", "x.*").distinct()
     pairs = near.groupBy("k", "v", "t").agg(F.countDistinct("h").alias("texts"), F.count("*").alias("n_ct")).where("texts >= 2")
-    entities = found.where("size(spans) > 0").select("doc_id", "h", F.explode("spans").alias("x")).select("doc_id", "h", "x.k", "x.v").distinct()
+    entities = found.where("size(spans) > 0").select("row", F.explode("spans").alias("x")).select("row", "x.k", "x.v").distinct()
     entities = entities.groupBy("k", "v").agg(F.count("*").alias("n_c")).where("n_c >= 2")
     pairs = materialise(pairs.join(entities, ["k", "v"]), "pairs")
     terms = materialise(pairs.select("t").distinct(), "asked")

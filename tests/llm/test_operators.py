@@ -370,8 +370,8 @@ def term_spans(docs):
 
     word = lambda t, p=r"\p{L}{2,}+": [(m.start(), m.end(), m[0]) for m in regex.finditer(p, t)]
     near, entities, held = collections.defaultdict(set), collections.Counter(), collections.Counter()
-    for row, t in {(i, t or "") for i, t in docs}:
-        own = set()
+    for row, (_, t) in enumerate(docs):
+        t, own = t or "", set()
         for kind, s, e in personal(t):
             own.add((kind, t[s:e]))
             padded = f" {t} "
@@ -411,6 +411,24 @@ def test_terms_by_definition(spark):
     assert sum(n for (_, x), n in want.items() if x) > 20
 
 
+@pytest.mark.parametrize("ids", [True, False])
+def test_terms_of_repeated_rows(spark, ids):
+    """Names beside addresses are found in each row however often the rows stand there, with ids or without."""
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    names = rng.sample(["Q" + "".join(rng.sample(syllables, 3)) for _ in range(200)], 60)
+    texts = [f"please write to {n} at u{k}@mail.org soon, text {chr(97 + j)}{chr(97 + j)}" for k, n in enumerate(names) for j in range(4)]
+    texts += [f"please write at once, soon, text {i}" for i in range(420)]
+    rows = [(i if ids else None, t) for i, t in enumerate(texts)]
+
+    def told(rows):
+        found = pii.disclosing_terms(*(lambda d: (pii.contexts(d), d))(spark.createDataFrame(rows, "doc_id long, text string")))
+        return {r.t for r in found.collect()}
+
+    assert told(rows) == told(rows * 4) == {n.lower() for n in names}
+    assert pii.find(spark.createDataFrame(rows * 4, "doc_id long, text string")).where("size(terms) > 0").count() == 4 * 240
+
+
 def test_many_matches_in_one_text(spark):
     """A hundred thousand addresses in one text take seconds."""
     text = " ".join(f"a{i}@b.co" for i in range(100_000))
