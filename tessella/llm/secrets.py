@@ -4,10 +4,12 @@ Three kinds are found by their form (assign, access, hex). Beyond these, candida
 the Shannon entropy of a window that slides over them: counts are kept per character and changed by
 one character in and one out, so that each step costs the same. Each character class has its threshold;
 windows that reach it join into spans entropy_hex, entropy_alnum and entropy_base64. An allow-list
-suppresses candidates that are known not to be secrets (paths, UUIDs, placeholder words, plain words).
+suppresses candidates that are known not to be secrets (paths and plain words as a whole; UUIDs and placeholders for the
+piece between slashes or equals signs that they stand in, so that a secret beside them is found).
 
 Offsets count code points. Edge cases: null and empty texts have no spans; null ids are kept as they are; repeated rows are scanned
-each; texts are scanned whole in one pass, whatever their length; extra columns are ignored."""
+each; texts are scanned whole in one pass, whatever their length; an empty table gives an empty result; extra columns are
+ignored."""
 
 from __future__ import annotations
 
@@ -30,11 +32,12 @@ WINDOW = 20
 THRESHOLD = {"entropy_hex": 3.1, "entropy_alnum": 3.6, "entropy_base64": 3.8}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CLASSES = (("entropy_hex", re.compile(r"[0-9A-Fa-f]+")), ("entropy_alnum", re.compile(r"[A-Za-z0-9]+")))
-#: Candidates that are let go: words, numbers, identifiers of words, paths, UUIDs, placeholders.
-#: Possessive, as a run of separators could else be cut in as many ways as it has subsets.
-ALLOW = re.compile(
-    r"[A-Za-z]+|[0-9]+|[A-Za-z]*+[0-9]{0,4}+(?:[_/=+-]++[A-Za-z]*+[0-9]{0,4}+)*+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*(?:EXAMPLE|example|placeholder|xxxxxx|XXXXXX|0123456789|abcdefgh).*"
-)
+#: Candidates that are let go: words, numbers, identifiers of words, paths. Possessive, as a run of separators could
+#: else be cut in as many ways as it has subsets.
+ALLOW = re.compile(r"[A-Za-z]+|[0-9]+|[A-Za-z]*+[0-9]{0,4}+(?:[_/=+-]++[A-Za-z]*+[0-9]{0,4}+)*+")
+#: Pieces of a candidate, and those that are let go by themselves: with a placeholder in them, and UUIDs.
+PIECE = re.compile(r"[^/=]+")
+CLEARED = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*(?:EXAMPLE|example|placeholder|xxxxxx|XXXXXX|0123456789|abcdefgh).*")
 COST = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -61,17 +64,29 @@ def hot_windows(s: str, threshold: float, width: int = WINDOW) -> list[tuple[int
     return spans
 
 
+def judged(s: str) -> list[tuple[int, str]]:
+    """The parts of a candidate that no rule lets go, and where they start. A piece between slashes or equals signs that
+    is let go cuts the candidate in two."""
+    if ALLOW.fullmatch(s):
+        return []
+    ends, start = [], 0
+    for m in PIECE.finditer(s):
+        if CLEARED.fullmatch(m[0]):
+            ends.append((start, m.start()))
+            start = m.end()
+    parts = [(a, s[a:b]) for a, b in [*ends, (start, len(s))] if b - a >= WINDOW]
+    return [(a, part) for a, part in parts if not (ends and ALLOW.fullmatch(part))]
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start and then by kind in the order of KINDS."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if ALLOW.fullmatch(s):
-            continue
-        kind = next((k for k, form in CLASSES if form.fullmatch(s)), "entropy_base64")
-        found += [(kind, m.start() + a, m.start() + b) for a, b in hot_windows(s, THRESHOLD[kind])]
+        for start, part in judged(m[0]):
+            kind = next((k for k, form in CLASSES if form.fullmatch(part)), "entropy_base64")
+            found += [(kind, m.start() + start + a, m.start() + start + b) for a, b in hot_windows(part, THRESHOLD[kind])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -172,6 +172,51 @@ def test_entropy_windows():
     assert secrets.scan("thequickbrownfoxjumpsoverthelazydog 123e4567-e89b-12d3-a456-426614174000") == []
 
 
+def entropy_spans(t):
+    """Windows by definition: character classes, thresholds and the allow-list, each candidate looked at anew."""
+    fixed = {"entropy_hex": 3.1, "entropy_alnum": 3.6, "entropy_base64": 3.8}
+    wordlike = lambda s: all(re.fullmatch(r"[A-Za-z]*[0-9]{0,4}|[0-9]+", x) for x in re.split("[-_/=+]", s)) and (not re.search("[0-9]{5}", s) or s.isdigit())
+    placeholder = ("EXAMPLE", "example", "placeholder", "xxxxxx", "XXXXXX", "0123456789", "abcdefgh")
+    out = set()
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+        s = m[0]
+        if wordlike(s):
+            continue
+        masked = [*s]
+        for p in re.finditer("[^/=]+", s):
+            if any(x in p[0] for x in placeholder) or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", p[0]):
+                masked[p.start() : p.end()] = " " * len(p[0])
+        for part in re.finditer("[^ ]+", "".join(masked)):
+            x = part[0]
+            if len(x) < 20 or (x != s and wordlike(x)):
+                continue
+            kind = "entropy_hex" if not set(x) - set("0123456789abcdefABCDEF") else "entropy_alnum" if x.isalnum() else "entropy_base64"
+            for i in range(len(x) - 19):
+                w = x[i : i + 20]
+                if -sum(n / 20 * math.log2(n / 20) for n in collections.Counter(w).values()) >= fixed[kind] - 1e-9:
+                    out |= {(kind, m.start() + part.start() + k) for k in range(i, i + 20)}
+    return out
+
+
+def test_entropy_spans_by_definition():
+    rng = random.Random(12)
+    word = lambda: rng.choice(["src", "example", "EXAMPLE", "path", "xxxxxx", "v2", "123e4567-e89b-12d3-a456-426614174000", "placeholderKey", "config", "12345678"])
+    token = lambda: "".join(rng.choice(rng.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "aB3+_-xYz9"])) for _ in range(rng.randint(8, 45)))
+    for _ in range(600):
+        t = " ".join(rng.choice("/=_- ").join(rng.choice([word, token, token])() for _ in range(rng.randint(1, 5))) for _ in range(3))
+        got = {(k, i) for k, a, b in secrets.scan(t) if k.startswith("entropy") for i in range(a, b)}
+        assert got == entropy_spans(t), t
+
+
+def test_placeholders_clear_their_own_piece():
+    token = "ghp_9fK2mQ7xT4vB8nR1sW5zL3cY6dH0pJ2aE"
+    alone = next((a, b) for k, a, b in secrets.scan(token) if k.startswith("entropy"))
+    for before, after in (("src/example/", ""), ("/path/EXAMPLE/", ""), ("", "/xxxxxx"), ("key=placeholder/", "=EXAMPLE")):
+        found = [(a, b) for k, a, b in secrets.scan(before + token + after) if k.startswith("entropy")]
+        assert any(a <= len(before) + alone[0] and b >= len(before) + alone[1] for a, b in found)
+    assert secrets.scan("AKIOSFODNN7EXAMPLEKEY/src/main/java/org/config") == []
+
+
 def test_rules_before_numbers():
     """In a process of its own, which a scan without end would outlive."""
     code = "from tessella.llm import secrets; print(secrets.scan('-' * 40 + '1' * 20), secrets.scan('=' * 4000 + '12345'))"
