@@ -6,6 +6,7 @@ words before it scores them, so that no term meets the whole vocabulary."""
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import combinations
@@ -13,6 +14,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.text import acronym, camel_words, is_structural, match_key, safe_normalise, without_salt
 from tessella.operators.lineage import checkpointed
@@ -87,36 +89,45 @@ def rewrite_phrases(c: Column, rewrites: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, p: F.when(F.lower(x).contains(p[1].lower()), x).otherwise(F.regexp_replace(x, "(?i)" + quoted(p[0]), p[1])), rewrites, c)
 
 
-def rewrite_ngrams(texts: DataFrame, dictionary: dict[str, str], longest: int = 5) -> DataFrame:
-    """texts (id, text) with `rewritten`: dictionary phrases replaced, longest first, left to right, never
-    overlapping; punctuation round a phrase stays. The dictionary is an argument and goes with the tasks."""
-    table = {k.lower(): v for k, v in dictionary.items() if k.lower() != v.lower()}
-    longest = min(longest, max((len(k.split()) for k in table), default=1))
-
-    def rewrite(text: str) -> str:
-        words, out, i = text.split(), [], 0
-        while i < len(words):
-            for n in range(min(longest, len(words) - i), 0, -1):
-                part = words[i : i + n]
-                first, last = part[0], part[-1]
-                head = len(first) - len(first.lstrip("([{\"'"))
-                tail = len(last) - len(last.rstrip(".,;:!?)]}\"'"))
-                phrase = " ".join(part)
-                core = phrase[head : len(phrase) - tail]
-                if core.lower() in table:
-                    out.append(phrase[:head] + table[core.lower()] + phrase[len(phrase) - tail :])
-                    i += n
-                    break
-            else:
-                out.append(words[i])
-                i += 1
-        return " ".join(out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(rewritten=b["text"].map(lambda t: t if t is None else rewrite(t)))
-
-    return texts.select("id", "text").mapInPandas(run, "id long, text string, rewritten string")
+#: What may stand round a phrase and stays: fixed values, before its first word and behind its last.
+OPENING, CLOSING = "([{\"'", ".,;:!?)]}\"'"
+
+
+def rewrite_ngrams(texts: DataFrame, dictionary: DataFrame, longest: int = 5) -> DataFrame:
+    """texts (id, text) with `rewritten`: phrases of the dictionary (phrase, target) replaced, longest first, left to right, never
+    overlapping; punctuation round a phrase stays. A phrase under several targets takes the smallest, one that is its target is
+    left. Runs of up to `longest` words meet the dictionary in a join, of whatever size it is. Of a text's matches those that overlap
+    in a chain are chosen from together, in their order; the text is then put together from what stands between."""
+    table = dictionary.select(F.lower("phrase").alias("core"), "target").where(F.col("core") != F.lower("target")).groupBy("core").agg(F.min("target").alias("target"))
+    clean = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    rows = checkpointed(texts.select(F.monotonically_increasing_id().alias("row"), "id", "text", F.when(clean != "", F.split(clean, " ")).alias("words")))
+
+    def phrases(i: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i))
+        return F.transform(sizes, lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("phrase")))
+
+    runs = rows.where("words is not null").select("row", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), phrases))).alias("x")).select("row", "x.*")
+    quoted = lambda chars: "[" + re.escape(chars) + "]*"
+    head, tail = F.regexp_extract("phrase", "^" + quoted(OPENING), 0), F.regexp_extract("phrase", quoted(CLOSING) + "$", 0)
+    runs = runs.withColumns({"head": head, "tail": tail})
+    inner = F.length("phrase") - F.length("head") - F.length("tail")
+    runs = runs.where(inner > 0).withColumn("core", F.lower(F.substring("phrase", F.length("head") + 1, inner)))
+    hits = runs.join(table, "core").groupBy("row", "i").agg(F.max_by(F.struct("n", F.concat("head", "target", "tail").alias("new")), "n").alias("x"))
+    hits = hits.select("row", "i", (F.col("i") + F.col("x.n")).alias("end"), "x.new")
+    # A match that begins behind all ends before it is always taken; the others depend on those of their chain.
+    w = Window.partitionBy("row").orderBy("i")
+    hits = hits.withColumn("chain", F.when(F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) <= F.col("i"), F.col("i")))
+    hits = hits.withColumn("chain", F.last("chain", ignorenulls=True).over(w))
+    chains = hits.groupBy("row", "chain").agg(F.array_sort(F.collect_list(F.struct("i", "end", "new"))).alias("hits"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,end:int,new:string>>").alias("taken"))
+    take = lambda acc, x: F.when(x.i >= acc.end, F.struct(x.end.alias("end"), F.array_append(acc.taken, x).alias("taken"))).otherwise(acc)
+    chosen = chains.select("row", F.explode(F.aggregate("hits", none, take).taken).alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("taken"))
+    found = rows.join(chosen, "row", "left").select("id", "text", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("taken", F.array().cast("array<struct<i:int,end:int,new:string>>")).alias("taken"))
+    begins = F.slice(F.concat(F.array(F.lit(0)), F.transform("taken", lambda x: x.end)), 1, F.size("taken"))
+    pieces = F.zip_with("taken", begins, lambda x, a: F.array_append(F.slice("words", a + 1, x.i - a), x.new))
+    last = F.when(F.size("taken") > 0, F.get("taken", F.size("taken") - 1).end).otherwise(0)
+    every = F.concat(F.flatten(pieces), F.slice("words", last + 1, F.size("words")))
+    return found.select("id", "text", F.when(F.col("text").isNotNull(), F.array_join(every, " ")).alias("rewritten"))
 
 
 def char_counts(c: Column) -> Column:

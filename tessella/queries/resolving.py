@@ -229,8 +229,17 @@ def _(t):
     return R.fuzzy(terms, t.part.select(F.concat_ws(" ", "p_brand", "p_name").alias("value")).distinct())
 
 
-@query("ngram_rewrite")
+@query("ngram_rewrite", "select p_partkey as id, 'Is (' || p_name || ')? a widget, too.' as text, 'Is (' || case p_name when 'red widget' then 'Crimson Widget' when 'blue bolt' then 'azure fastener' else array_to_string(list_transform(string_split(p_name, ' '), lambda w: case w when 'widget' then 'gadget' else w end), ' ') end || ')? a gadget, too.' as rewritten from part")
 def _(t):
-    names = {"red widget": "Crimson Widget", "widget": "gadget", "blue bolt": "azure fastener"}
+    names = t.spark.createDataFrame([("red widget", "Crimson Widget"), ("widget", "gadget"), ("blue bolt", "azure fastener")], "phrase string, target string")
     texts = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Is ("), "p_name", F.lit(")? a widget, too.")).alias("text"))
     return R.rewrite_ngrams(texts, names)
+
+
+@query("ngram_rewrite_vocabulary", "select p_partkey as id, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || '; ' || p_brand || ' ' || p_name || '!' as text, p_name || '; ' || p_name || '!' as rewritten from part")
+def _(t):
+    """Every synonym of every part, a vocabulary as long as its table, back to the part's name."""
+    vocabulary = t.syn.join(t.part, F.col("id") == F.col("p_partkey")).select(F.col("synonym").alias("phrase"), F.col("p_name").alias("target"))
+    w = F.split("p_name", " ")
+    texts = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.element_at(w, 2), F.lit(" "), F.element_at(w, 1), F.lit("; "), "p_brand", F.lit(" "), "p_name", F.lit("!")).alias("text"))
+    return R.rewrite_ngrams(texts, vocabulary)

@@ -311,10 +311,36 @@ def test_fuzzy_with_a_word_in_every_value(spark):
     assert met <= 100
 
 
+def rewritten(text, table, longest=5):
+    """Word by word: the longest phrase that begins here, else the word."""
+    words, out, i = text.split(), [], 0
+    while i < len(words):
+        for n in range(min(longest, len(words) - i), 0, -1):
+            phrase = " ".join(words[i : i + n])
+            head, tail = len(words[i]) - len(words[i].lstrip("([{\"'")), len(words[i + n - 1]) - len(words[i + n - 1].rstrip(".,;:!?)]}\"'"))
+            core = phrase[head : len(phrase) - tail].lower()
+            if core in table:
+                out.append(phrase[:head] + table[core] + phrase[len(phrase) - tail :])
+                i += n
+                break
+        else:
+            out.append(words[i])
+            i += 1
+    return " ".join(out)
+
+
 def test_ngram_rewrite(spark):
-    df = spark.createDataFrame([(1, "(a b)? A, b"), (2, None), (3, "")], "id long, text string")
-    got = {r.id: r.rewritten for r in R.rewrite_ngrams(df, {"a b": "X", "a": "Y"}).collect()}
-    assert got == {1: "(X)? Y, b", 2: None, 3: ""}
+    import random
+
+    table = {"a b": "X", "a": "Y", "b c d": "Long One", "c": "zed", "d e f g h": "five", "same": "Same", "h i j k l m": "six"}
+    dictionary = spark.createDataFrame([*table.items(), ("A B", "Z"), (None, "x"), ("q", None)], "phrase string, target string")
+    rng = random.Random(4)
+    texts = ["(a b)? A, b", None, "", "  ", "\"a\" ('b c d'), same SAME. d e f g h", "?! ( a", "h i j k l m"]
+    texts += [" ".join(rng.choice(["", "(", '"']) + rng.choice("abcdefgh") + rng.choice(["", ",", ")."]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    texts += [" ".join("abc"[i % 3] for i in range(20_000)), texts[0]]
+    got = sorted((r.id, r.rewritten) for r in R.rewrite_ngrams(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), dictionary).collect())
+    known = {k: v for k, v in table.items() if k != v.lower()}
+    assert got == [(i, None if t is None else rewritten(t, known)) for i, t in enumerate(texts)]
 
 
 def test_acronyms(spark):
