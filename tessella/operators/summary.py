@@ -137,9 +137,9 @@ def low_cardinality(df: DataFrame, most: int = 25, longest: int = 40) -> DataFra
     return rows.join(n.select("column"), "column", "left_semi").groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("values"))
 
 
-def token_frequency(df: DataFrame, name: str, *, by: str = "_", skip: int = 1, least_length: int = 3, band: tuple[int, int] = (5, 300), stop: tuple[str, ...] = ()) -> DataFrame:
-    """(token, n): tokens of coded names but the first, within a band of document frequency."""
-    tokens = F.array_distinct(F.filter(F.split(F.upper(name), by), lambda t, i: (i >= skip) & (F.length(t) >= least_length) & t.rlike("^[A-Z]+$")))
+def token_frequency(df: DataFrame, name: str, *, by: str = "_", skip: int = 1, least_length: int = 3, band: tuple[int, int] = (5, 300), stop: tuple[str, ...] = (), form: str = "^[A-Z]+$") -> DataFrame:
+    """(token, n): tokens of coded names but the first, of a form, within a band of document frequency."""
+    tokens = F.array_distinct(F.filter(F.split(F.upper(name), by), lambda t, i: (i >= skip) & (F.length(t) >= least_length) & t.rlike(form)))
     rows = df.select(F.explode(tokens).alias("token")).where(~F.col("token").isin(*stop) if stop else F.lit(True))
     return rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(*band))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import predicates as P
+from tessella.operators import inject as J
 from tessella.operators import resolve as R
 from tessella.operators import summary as S
 from tessella.operators.graph import children
@@ -183,6 +184,29 @@ def _(t):
     return t.nation.where(P.starts_with_any("n_name", [prefix])).select("n_name")
 
 
+@query(
+    "token_inject",
+    """with tok as (select token from (select distinct p_partkey, unnest(string_split(upper(p_type || '_' || replace(p_name, ' ', '_')), '_')[2:]) as token from part) where length(token) >= 4 and regexp_matches(token, '^[A-Z]+$') and token <> 'RING' group by 1 having count(*) between 10 and 100000),
+    q as (select p_partkey as id, p_size % 4 as k, p_brand, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b from part),
+    f as (select *, list_filter([case b when 'rod' then 'BAR' when 'bolt' then 'FASTENER' end, case b when 'rod' then 'POLE' end, (select token from tok where token = upper(a)), (select token from tok where token = upper(b))], lambda x: x is not null) as found from q)
+    select id, case when b = 'gear' then (case when a in ('old', 'cold') then 'OG_' else 'GEAR_' end) when k <> 2 and len(found) > 0 then array_to_string(found, ',') when k = 3 then 'requested' end as name,
+      case k when 2 then p_brand when 3 then '' end as brand, case when id % 2 = 0 then 'Homo sapiens' end as organism from f""",
+)
+def _(t):
+    """A prefix, else tokens of the names' vocabulary where a question has no filter at all, and the organism of what is shared."""
+    who = F.when(F.col("p_partkey") % 2 == 0, "human").otherwise("yeast")
+    k, one = F.col("p_size") % 4, lambda c, v: F.create_map(F.lit(c), F.array(v))
+    filters = F.when(k == 1, one("name", F.lit("%"))).when(k == 2, one("brand", F.col("p_brand"))).when(k == 3, F.map_concat(one("name", F.lit("requested")), one("brand", F.lit(""))))
+    text = F.concat(F.lit("Which "), "p_name", F.lit(" sets are shared between "), who, F.lit(" cells?"))
+    asked = t.part.select(F.col("p_partkey").alias("id"), text.alias("text"), filters.alias("filters"))
+    names = t.part.select(F.concat_ws("_", "p_type", F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"))
+    tokens = S.token_frequency(names, "name", least_length=4, band=(10, 100_000), stop=("RING",))
+    aliases = t.spark.createDataFrame([("rod", "POLE"), ("rod", "BAR"), ("bolt", "FASTENER")], "word string, token string")
+    asked = J.with_tokens(J.with_prefix(asked, "name", [("old gear", "OG_"), ("gear", "GEAR_")]), "name", aliases, tokens)
+    asked = J.with_organism(asked, ["organism"], r"(?i)\b(shared between|in both)\b", [(r"(?i)\bhuman\b", "Homo sapiens"), (r"(?i)\bmouse\b", "Mus musculus")])
+    return asked.select("id", *[F.array_join(J.value_of(c), ",").alias(c) for c in ("name", "brand", "organism")])
+
+
 @query("phrase_rewrite", "select p_partkey, case when contains(p_name, 'crimson') then p_name else replace(p_name, 'red', 'crimson') end as name from part")
 def _(t):
     return t.part.select("p_partkey", R.rewrite_phrases(F.col("p_name"), [("RED", "crimson")]).alias("name"))

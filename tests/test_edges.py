@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import predicates as P
 from tessella.functions import text as X
 from tessella.operators import graph as G
+from tessella.operators import inject as J
 from tessella.operators import keyed as K
 from tessella.operators import ordering as O
 from tessella.operators import resolve as R
@@ -343,6 +344,21 @@ def test_ngram_rewrite(spark):
     assert got == [(i, None if t is None else rewritten(t, known)) for i, t in enumerate(texts)]
 
 
+def test_tokens_where_no_filter_is_set(spark):
+    rows = [(1, "Is XBP1 (not xbp1s!) in SLE or sle?", {}), (2, "xbp1", {"brand": ["B"]}), (3, None, None), (4, "", {"name": [None, " "]}), (5, "notch of gobp, notch", None), (6, "α1 ab", {}), (5, "notch of gobp, notch", None)]
+    q = spark.createDataFrame(rows, "id int, text string, filters map<string, array<string>>")
+    aliases = spark.createDataFrame([("sle", "LUPUS"), ("xbp1s", "XBP1"), ("ab", "TWO")], "word string, token string")
+    tokens = S.token_frequency(spark.createDataFrame([("A_XBP1_NOTCH",), ("B_NOTCH_XBP1_ab_12",), (None,), ("XBP1",)], "n string"), "n", band=(2, 9), form="^[A-Z0-9]*[A-Z][A-Z0-9]*$")
+    assert {r.token for r in tokens.collect()} == {"XBP1", "NOTCH"}
+    got = sorted((r.id, r.filters) for r in J.with_tokens(q, "name", aliases, tokens).collect())
+    assert got[0] == (1, {"name": ["XBP1", "LUPUS"]}) and got[1] == (2, {"brand": ["B"]}) and got[2] == (3, None) and got[3] == (4, {"name": [None, " "]})
+    assert got[4] == got[5] == (5, {"name": ["NOTCH"]}) and got[6] == (6, {"name": ["TWO"]})
+    prefixed = {r.id: r.filters for r in J.with_prefix(q, "name", [("gobp", "GOBP_"), ("go", "GO_")]).collect()}
+    assert prefixed[5] == {"name": ["GOBP_"]} and prefixed[2] == {"brand": ["B"]} and prefixed[3] == {}
+    shared = J.with_organism(q, ["o", "brand"], "(?i)in|of", [("SLE", "h"), ("notch", "m")])
+    assert {r.id: r.filters for r in shared.collect()}[1] == {"o": ["h"], "brand": ["h"]}
+
+
 def test_acronyms(spark):
     rows = [(1, "t2dm", "type 2 diabetes mellitus"), (1, "t2dm", "type 1 diabetes"), (2, "ra", "rheumatoid arthritis"), (3, "hcc", "hcc"), (3, "hcc", "liver thing"), (4, "x", None)]
     got = {(r["query"], r["term"]) for r in R.acronym_filter(spark.createDataFrame(rows, "query int, name string, term string")).collect()}
