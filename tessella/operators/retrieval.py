@@ -52,35 +52,33 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, payload: str
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def knee_index(scores: np.ndarray, sensitivity: float) -> int | None:
-    """Kneedle (Satopää et al. 2011) for a convex decreasing curve: the first local maximum of the difference
-    curve from which it falls below its threshold before the next one."""
-    n = len(scores)
-    if n < 3 or scores.max() == scores.min():
-        return None
-    x = np.arange(n) / (n - 1)
-    y = (scores - scores.min()) / (scores.max() - scores.min())
-    d = 1 - y - x  # distance below the diagonal
-    peaks = [i for i in range(1, n - 1) if d[i] >= d[i - 1] and d[i] > d[i + 1]]
-    for j, i in enumerate(peaks):
-        limit = d[i] - sensitivity / (n - 1)
-        stop = peaks[j + 1] if j + 1 < len(peaks) else n
-        if (d[i + 1 : stop] < limit).any():
-            return i
-    return None
+def knee(scores: Column, n: Column, sensitivity: float) -> Column:
+    """Index of the knee of n scores in descending order, or -1, by Kneedle (Satopää et al. 2011) for a convex decreasing curve: the first
+    local maximum of the difference curve from which it falls below its threshold before the next one."""
+    at = lambda i: 1 - (F.get(scores, i) - F.get(scores, n - 1)) / (F.get(scores, F.lit(0)) - F.get(scores, n - 1)) - i / (n - 1)
+    start = F.struct(F.lit(-1).alias("peak"), F.lit(0.0).alias("limit"), F.lit(-1).alias("found"))
 
+    def step(state: Column, i: Column) -> Column:
+        rises = (i < n - 1) & (at(i) >= at(i - 1)) & (at(i) > at(i + 1))
+        peak = F.struct(i.alias("peak"), (at(i) - F.lit(sensitivity) / (n - 1)).alias("limit"), state.found.alias("found"))
+        falls = (state.peak >= 0) & (at(i) < state.limit)
+        done = F.struct(state.peak.alias("peak"), state.limit.alias("limit"), state.peak.alias("found"))
+        return F.when(state.found >= 0, state).when(rises, peak).when(falls, done).otherwise(state)
 
-def knee_cut(hits: DataFrame, sensitivity: float = 0.5, fallback: str = "all") -> DataFrame:
-    """hits (qid, id, score) down to the score at the knee of each query. Without a knee all stay, or
-    those from the median up (fallback "median"). A query's hits are a top-k, so a group is small."""
+    curved = (n >= 3) & (F.get(scores, F.lit(0)) > F.get(scores, n - 1))
+    return F.when(curved, F.aggregate(F.sequence(F.lit(1), n - 1), start, step).found).otherwise(-1)
 
-    def cut(pdf):
-        s = np.sort(pdf["score"].to_numpy())[::-1]
-        k = knee_index(s, sensitivity)
-        low = s[k] if k is not None else (np.median(s) if fallback == "median" and len(s) >= 2 else s.min())
-        return pdf[pdf["score"] >= low]
 
-    return hits.select("qid", "id", "score").groupBy("qid").applyInPandas(cut, hits.select("qid", "id", "score").schema)
+def knee_cut(hits: DataFrame, sensitivity: float = 0.5, fallback: str = "all") -> DataFrame:
+    """hits (qid, id, score) down to the score at the knee of each query. Without a knee all stay, or
+    those from the median up (fallback "median"). A query's hits are a top-k, so its array is small."""
+    rows = hits.where("score is not null").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("score", "id")), asc=False).alias("rows"))
+    rows = rows.select("qid", "rows", F.transform("rows", lambda x: x.score.cast("double")).alias("s"), F.size("rows").alias("n"))
+    rows = rows.withColumn("k", knee(F.col("s"), F.col("n"), sensitivity))
+    middle = lambda m: F.get("s", F.floor(m).cast("int"))
+    none = (middle((F.col("n") - 1) / 2) + middle(F.col("n") / 2)) / 2 if fallback == "median" else F.get("s", F.col("n") - 1)
+    low = F.when(F.col("k") >= 0, F.get("s", F.col("k"))).otherwise(none)
+    return rows.withColumn("low", low).select("qid", "low", F.explode("rows").alias("x")).where("x.score >= low").select("qid", "x.id", "x.score")
 
 
 def share_cut(hits: DataFrame, share: float = 0.2) -> DataFrame:

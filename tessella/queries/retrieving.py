@@ -49,12 +49,24 @@ def _(t):
     return V.share_cut(hits(t, 20))
 
 
-@query("knee")
+def knee_sql(fallback: str) -> str:
+    """The difference curve and its peaks by windows; a peak's segment reaches to the next peak."""
+    return f"""with {SIMS}, h as (select qid, id, score from (select *, row_number() over (partition by qid order by score desc, id) as rn from s) where rn <= 40),
+    r as (select *, row_number() over (partition by qid order by score desc, id) - 1 as i, count(*) over (partition by qid) as n, max(score) over (partition by qid) as hi, min(score) over (partition by qid) as lo from h),
+    d as (select *, case when n >= 3 and hi > lo then 1 - (score - lo) / (hi - lo) - i / (n - 1) end as d from r),
+    p as (select *, coalesce(d >= lag(d) over (partition by qid order by i) and d > lead(d) over (partition by qid order by i), false) as peak from d),
+    g as (select *, sum(peak::int) over (partition by qid order by i) as seg from p),
+    k as (select qid, min(top) as knee from (select qid, seg, min(i) filter (where peak) as top, min(d) filter (where not peak) < min(d) filter (where peak) - 0.5 / (max(n) - 1) as falls from g where seg > 0 group by all) where falls group by qid),
+    l as (select r.qid, coalesce(min(score) filter (where i = knee), {fallback}) as low from r left join k using (qid) group by r.qid)
+    select h.* from h join l using (qid) where score >= low"""
+
+
+@query("knee", knee_sql("min(score)"))
 def _(t):
     return V.knee_cut(hits(t, 40))
 
 
-@query("knee_median")
+@query("knee_median", knee_sql("median(score)"))
 def _(t):
     return V.knee_cut(hits(t, 40), fallback="median")
 

@@ -379,6 +379,33 @@ def test_knee(spark):
     assert {r["qid"]: r["count"] for r in got} == {1: 4, 2: 1}
 
 
+def kneedle(scores, sensitivity):
+    """The index of the knee, by the definition, or None."""
+    n = len(scores)
+    if n < 3 or scores[0] == scores[-1]:
+        return None
+    d = [1 - (x - scores[-1]) / (scores[0] - scores[-1]) - i / (n - 1) for i, x in enumerate(scores)]
+    peaks = [i for i in range(1, n - 1) if d[i] >= d[i - 1] and d[i] > d[i + 1]]
+    for i, after in zip(peaks, [*peaks[1:], n]):
+        if any(x < d[i] - sensitivity / (n - 1) for x in d[i + 1 : after]):
+            return i
+    return None
+
+
+@pytest.mark.parametrize("sensitivity", [0.5, 2.0])
+def test_knee_by_definition(spark, sensitivity):
+    rng = np.random.default_rng(11)
+    curves = {q: np.sort(rng.random(rng.integers(1, 60)) ** rng.integers(1, 6))[::-1].round(int(rng.integers(1, 5))).tolist() for q in range(300)}
+    df = spark.createDataFrame([(q, i, x) for q, c in curves.items() for i, x in enumerate(c)], "qid int, id int, score double")
+    for fallback in ("all", "median"):
+        got = {r["qid"]: r["count"] for r in V.knee_cut(df, sensitivity, fallback).groupBy("qid").count().collect()}
+        for q, c in curves.items():
+            k = kneedle(c, sensitivity)
+            low = c[k] if k is not None else float(np.median(c)) if fallback == "median" else c[-1]
+            assert got[q] == sum(x >= low for x in c)
+    assert {kneedle(c, sensitivity) is None for c in curves.values()} == {True, False}
+
+
 def test_approximate_query_recall(spark, sf_dir):
     """The registered query as it is: against the exact one, and its exact pairs against all."""
     from __spark_entry__ import QUERIES
