@@ -69,10 +69,29 @@ def join_step(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], ho
     return both.agg(F.coalesce(F.sum("__nl"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum(after), F.lit(0)).alias("rows_after"))
 
 
-def guard_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], most_factor: float = 100_000, most_rows: int = 10_000_000) -> None:
+#: The most rows that a join may give, and the most for each row of its left side.
+MOST_ROWS, MOST_FACTOR = 10_000_000, 100_000
+
+
+def guard_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], most_factor: float = MOST_FACTOR, most_rows: int = MOST_ROWS) -> int:
+    """The rows of the join, from the histograms of its keys; an error beyond the limits."""
     n = estimated_rows(left, right, keys).first()
     if n["join_rows"] > most_rows or n["join_rows"] > most_factor * max(1, n["left_rows"]):
         raise ExplosionError(f"{n['left_rows']} rows would become {n['join_rows']}")
+    return n["join_rows"]
+
+
+def guard_joins(root: DataFrame, steps: list[tuple[DataFrame, DataFrame, list[tuple[str, str]]]], most_factor: float = MOST_FACTOR, most_rows: int = MOST_ROWS) -> None:
+    """guard_join for each step (left, right, keys) of a plan. One job over the tables, not over their joins, counts the root's rows and how
+    often the most frequent key stands on each right side; their product bounds each join from above. Only a join that the bound
+    doesn't clear is counted exactly."""
+    counts = [root.agg(F.count("*").alias("n"))] + [right.groupBy(*[r for _, r in keys]).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")) for _, right, keys in steps]
+    first, *times = [r["n"] for r in sorted(reduce(DataFrame.unionByName, [c.withColumn("at", F.lit(i)) for i, c in enumerate(counts)]).collect(), key=lambda r: r["at"])]  # a row a table
+    bound = first
+    for (left, right, keys), n in zip(steps, times):
+        before, bound = bound, bound * max(1, n)
+        if bound > most_rows or bound > most_factor * max(1, before):
+            bound = max(guard_join(left, right, keys, most_factor, most_rows), 1)
 
 
 def rank_columns(plan: StarPlan, available: list[str]) -> list[tuple[str, bool]]:
@@ -95,27 +114,29 @@ def linked_to_all(df: DataFrame, field: str, values: list[str], keys: list[str])
     return hit.join(full, keys, "left_semi")
 
 
-def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_of=(), operators=None, before: Callable | None = None, after: Callable | None = None, on_empty: Callable | None = None, guard: bool = False) -> QueryResult:
+def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_of=(), operators=None, before: Callable | None = None, after: Callable | None = None, on_empty: Callable | None = None, guard: bool = True, most_rows: int = MOST_ROWS) -> QueryResult:
     """Hooks: before(filters) may change the filters, after(rows) the result; on_empty(filters) gives the filters
-    of a second attempt if the first finds nothing (which then has to be run to be known)."""
+    of a second attempt if the first finds nothing (which then has to be run to be known). guard: an error before anything is
+    joined if a join would give more than most_rows."""
     filters = before(filters) if before else filters
     filters = {k: [plan.rewrites.get(k, {}).get(str(x).strip().lower(), x) for x in v] if isinstance(v, list) else v for k, v in filters.items()}
     how = {"kinds": kinds, "any_of": any_of, "operators": operators}
     guard_filters(filters, {c for t in plan.parents for c in catalog[t].columns})
     tables = {t: predicates.filter_table(catalog[t], filters, **how) for t in plan.parents}
     root = next(t for t, p in plan.parents.items() if p is None and t not in plan.decorations)
-    done, rows, joins = {root}, tables[root], []
+    done, rows, joins, guarded = {root}, tables[root], [], []
     while len(done) < len(plan.parents):
         child = next((t for t, p in plan.parents.items() if t not in done and p in done), None)
         if child is None:
             raise MissingJoinError(f"{sorted(set(plan.parents) - done)} hang on no joined table")
         keys = join_keys(plan, plan.parents[child], child, set(rows.columns), tables[child])
-        if guard:
-            guard_join(rows, tables[child], keys)
+        guarded.append((rows, tables[child], keys))
         how_joined = "left" if child in plan.decorations else "inner"
         joins.append(join_step(rows, tables[child], keys, how_joined).select(F.lit(len(joins) + 1).alias("step"), F.lit(child).alias("table"), "rows_before", "rows_after"))
         rows = attach(rows, tables[child], keys, how_joined)
         done.add(child)
+    if guard and guarded:
+        guard_joins(tables[root], guarded, most_rows=most_rows)
     for field, values in plan.require_all.items():
         entity = [c for c in plan.outputs if c in rows.columns and c != field]
         rows = linked_to_all(rows, field, values, entity)
@@ -128,6 +149,6 @@ def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_o
     rows = after(rows) if after else rows
     rows = rows.orderBy(*ordering([r for r in ranked if r[0] in rows.columns], rows.columns))
     if on_empty and rows.isEmpty():
-        return run(catalog, plan, on_empty(filters), kinds=kinds, any_of=any_of, operators=operators, after=after, guard=guard)
+        return run(catalog, plan, on_empty(filters), kinds=kinds, any_of=any_of, operators=operators, after=after, guard=guard, most_rows=most_rows)
     steps = [predicates.funnel(catalog[t], filters, **how).withColumn("table", F.lit(t)) for t in plan.parents if predicates.table_predicates(catalog[t], filters, **how)]
     return QueryResult(rows, reduce(DataFrame.unionByName, steps) if steps else None, reduce(DataFrame.unionByName, joins) if joins else None)

@@ -123,6 +123,24 @@ def test_explosion(spark):
         star.guard_join(a, a, [("k", "k")], most_factor=100)
 
 
+def test_guard_is_on(spark):
+    """The bound clears what is small; beyond it a join is counted, and only then refused."""
+    a = spark.createDataFrame([(i, i % 2) for i in range(40)], "id int, k int")
+    b = spark.createDataFrame([(i % 2, i) for i in range(40)] + [(None, 1)], "k2 int, v int")
+    c = spark.createDataFrame([(1, "x")] * 30 + [(2, "y")], "v3 int, name string")
+    joins = (spec.JoinEdge("a", "b", ("k",), ("k2",)), spec.JoinEdge("b", "c", ("v",), ("v3",)))
+    plan = spec.StarPlan(parents={"a": None, "b": "a", "c": "b"}, joins=joins, outputs=("id", "name"))
+    catalog = {"a": a, "b": b, "c": c}
+    # a and b give 800 rows, with c 20 * 30 + 20; the bound of the second is 24,000.
+    assert star.run(catalog, plan, {"name": ["x", "y"]}, most_rows=800).rows.count() == 40
+    with pytest.raises(spec.ExplosionError):
+        star.run(catalog, plan, {"name": ["x", "y"]}, most_rows=799)
+    with pytest.raises(spec.ExplosionError):
+        star.guard_joins(a, [(a, b.where("k2 = 0"), [("k", "k2")])], most_factor=9)
+    assert star.run(catalog, plan, {"name": ["x", "y"]}, guard=False, most_rows=1).rows.count() == 40
+    assert star.run({**catalog, "b": b.limit(0)}, plan, {"name": ["x"]}).rows.count() == 0
+
+
 def test_packed_and_keys(spark):
     assert one(spark, ["1|2|3", "", None], X.packed_length) == [3, 0, 0]
     df = spark.createDataFrame([("TP53", None), ("A", "b")], "x string, y string")
