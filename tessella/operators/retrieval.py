@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import cosine
+from tessella.sources.curate import first_per_key
 
 
 #: Vectors that a task multiplies with its queries at a time, and queries of such a block.
@@ -138,7 +139,7 @@ def content_id(*parts: str) -> Column:
 def replace_slices(bank: DataFrame, fresh: DataFrame, by: tuple[str, ...] = ("db", "stage")) -> DataFrame:
     """The bank with every (db, stage) slice that fresh has replaced by fresh's rows; one row per content id."""
     kept = bank.join(fresh.select(*by).distinct(), list(by), "left_anti")
-    return kept.unionByName(fresh.dropDuplicates(["id"]))
+    return kept.unionByName(first_per_key(fresh, ["id"], [F.asc_nulls_last(c) for c in sorted(fresh.columns)]))
 
 
 #: Vectors that centroids are trained on (about; twice as many at most), rounds of training, and lists at most.

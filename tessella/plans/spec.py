@@ -35,6 +35,17 @@ class JoinEdge:
         return JoinEdge(self.right, self.left, self.right_on, self.left_on)
 
 
+@dataclass(frozen=True)
+class SortKey:
+    """Orders a result by a column, where it has it: by the place in a list of categories (others last), by whether it
+    contains one of some terms, whatever their case, or by its value."""
+
+    column: str
+    descending: bool = False
+    order: tuple[str, ...] = ()
+    contains_first: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class StarPlan:
     """Tables in the order of parents; each but the first names the table it hangs on."""
@@ -47,6 +58,7 @@ class StarPlan:
     rank: tuple[tuple[str, bool], ...] = ()  # (column, descending), the first present one ranks
     tie_breakers: tuple[str, ...] = ()
     strict: bool = True
+    sort: tuple[SortKey, ...] = ()  # before the rank; rows that these don't tell apart stay in its order
     rewrites: dict[str, dict[str, str]] = field(default_factory=dict)  # column -> value in lower case -> what the table has
 
     def edge(self, a: str, b: str) -> JoinEdge | None:

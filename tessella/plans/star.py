@@ -7,13 +7,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import predicates
 from tessella.functions.predicates import Filters, values_of
+from tessella.operators.lineage import stored
+from tessella.operators.ordering import any_of_first, category_place
 
-from .spec import ExplosionError, MissingJoinError, StarPlan, guard_filters
+from .spec import ExplosionError, MissingJoinError, SortKey, StarPlan, guard_filters
 
 Catalog = dict[str, DataFrame]
 
@@ -22,7 +24,7 @@ Catalog = dict[str, DataFrame]
 class QueryResult:
     rows: DataFrame
     funnel: DataFrame | None = None  # per table and filter: rows before and after, from one pass over each table
-    joins: DataFrame | None = None  # per join: the table, rows before and after, from the histograms of its keys
+    joins: DataFrame | None = None  # per join: the table, rows before and after, from the histograms of its keys or observed
 
 
 def declared(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -69,6 +71,18 @@ def join_step(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], ho
     return both.agg(F.coalesce(F.sum("__nl"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum(after), F.lit(0)).alias("rows_after"))
 
 
+def counted(df: DataFrame, marks: list[Observation]) -> DataFrame:
+    """df, whose rows the run that reads it will count."""
+    marks.append(Observation())
+    return df.observe(marks[-1], F.count(F.lit(1)).alias("n"))
+
+
+def observed_joins(spark: SparkSession, tables: list[str], marks: list[Observation]) -> DataFrame:
+    """(step, table, rows_before, rows_after) from the marks of the root and of each join, once their rows have been run."""
+    n = [m.get["n"] for m in marks]
+    return spark.createDataFrame([(i + 1, t, n[i], n[i + 1]) for i, t in enumerate(tables)], "step int, table string, rows_before long, rows_after long")
+
+
 #: The most rows that a join may give, and the most for each row of its left side.
 MOST_ROWS, MOST_FACTOR = 10_000_000, 100_000
 
@@ -81,12 +95,17 @@ def guard_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], m
     return n["join_rows"]
 
 
-def guard_joins(root: DataFrame, steps: list[tuple[DataFrame, DataFrame, list[tuple[str, str]]]], most_factor: float = MOST_FACTOR, most_rows: int = MOST_ROWS) -> None:
-    """guard_join for each step (left, right, keys) of a plan. One job over the tables, not over their joins, counts the root's rows and how
-    often the most frequent key stands on each right side; their product bounds each join from above. Only a join that the bound
-    doesn't clear is counted exactly."""
+def join_factors(root: DataFrame, steps: list[tuple[DataFrame, DataFrame, list[tuple[str, str]]]]) -> DataFrame:
+    """(step, n): at step 0 the root's rows, then how often the most frequent key stands on each right side of the steps (left,
+    right, keys). The product up to a step bounds its join from above; one job over the tables, not over their joins."""
     counts = [root.agg(F.count("*").alias("n"))] + [right.groupBy(*[r for _, r in keys]).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")) for _, right, keys in steps]
-    first, *times = [r["n"] for r in sorted(reduce(DataFrame.unionByName, [c.withColumn("at", F.lit(i)) for i, c in enumerate(counts)]).collect(), key=lambda r: r["at"])]  # a row a table
+    return reduce(DataFrame.unionByName, [c.select(F.lit(i).alias("step"), "n") for i, c in enumerate(counts)])
+
+
+def guard_joins(root: DataFrame, steps: list[tuple[DataFrame, DataFrame, list[tuple[str, str]]]], most_factor: float = MOST_FACTOR, most_rows: int = MOST_ROWS) -> None:
+    """guard_join for each step (left, right, keys) of a plan, by the bounds of join_factors. Only a join that its bound doesn't clear is
+    counted exactly."""
+    first, *times = [r["n"] for r in sorted(join_factors(root, steps).collect(), key=lambda r: r["step"])]  # a row a table
     bound = first
     for (left, right, keys), n in zip(steps, times):
         before, bound = bound, bound * max(1, n)
@@ -100,9 +119,17 @@ def rank_columns(plan: StarPlan, available: list[str]) -> list[tuple[str, bool]]
     return [first, *[(c, True) for c in plan.tie_breakers if c in available and c != first[0]][:2]] if first else []
 
 
-def ordering(ranked: list[tuple[str, bool]], columns: list[str]) -> list[Column]:
-    """Ranks first, then every output column, nulls last throughout: a total order."""
-    named = [F.desc_nulls_last(c) if d else F.asc_nulls_last(c) for c, d in ranked]
+def sort_column(key: SortKey) -> Column:
+    if key.order:
+        return F.asc(category_place(F.col(key.column).cast("string"), list(key.order)))
+    if key.contains_first:
+        return F.asc(any_of_first(F.col(key.column).cast("string"), list(key.contains_first)))
+    return F.desc_nulls_last(key.column) if key.descending else F.asc_nulls_last(key.column)
+
+
+def ordering(ranked: list[tuple[str, bool]], columns: list[str], sort: tuple[SortKey, ...] = ()) -> list[Column]:
+    """Sort keys that are there, then ranks, then every output column, nulls last throughout: a total order."""
+    named = [sort_column(k) for k in sort if k.column in columns] + [F.desc_nulls_last(c) if d else F.asc_nulls_last(c) for c, d in ranked]
     return named + [F.asc_nulls_last(c) for c in columns if c not in {c for c, _ in ranked}]
 
 
@@ -114,17 +141,20 @@ def linked_to_all(df: DataFrame, field: str, values: list[str], keys: list[str])
     return hit.join(full, keys, "left_semi")
 
 
-def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_of=(), operators=None, before: Callable | None = None, after: Callable | None = None, on_empty: Callable | None = None, guard: bool = True, most_rows: int = MOST_ROWS) -> QueryResult:
+def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_of=(), operators=None, before: Callable | None = None, after: Callable | None = None, on_empty: Callable | None = None, guard: bool = True, most_rows: int = MOST_ROWS, observe: bool = False) -> QueryResult:
     """Hooks: before(filters) may change the filters, after(rows) the result; on_empty(filters) gives the filters
     of a second attempt if the first finds nothing (which then has to be run to be known). guard: an error before anything is
-    joined if a join would give more than most_rows."""
+    joined if a join would give more than most_rows. observe: the joined rows are run at once and stored in the shared folder, and
+    `joins` is what that run counted, at no further pass. A stage that is run again after an executor was lost may be counted twice in it;
+    without observe, and where nothing is left, `joins` counts each join from the histograms of its keys, exactly."""
     filters = before(filters) if before else filters
     filters = {k: [plan.rewrites.get(k, {}).get(str(x).strip().lower(), x) for x in v] if isinstance(v, list) else v for k, v in filters.items()}
     how = {"kinds": kinds, "any_of": any_of, "operators": operators}
     guard_filters(filters, {c for t in plan.parents for c in catalog[t].columns})
     tables = {t: predicates.filter_table(catalog[t], filters, **how) for t in plan.parents}
     root = next(t for t, p in plan.parents.items() if p is None and t not in plan.decorations)
-    done, rows, joins, guarded = {root}, tables[root], [], []
+    done, rows, names, joins, guarded, marks = {root}, tables[root], [], [], [], []
+    seen = counted(rows, marks) if observe else rows  # apart from rows, which the guard may run
     while len(done) < len(plan.parents):
         child = next((t for t, p in plan.parents.items() if t not in done and p in done), None)
         if child is None:
@@ -133,10 +163,19 @@ def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_o
         guarded.append((rows, tables[child], keys))
         how_joined = "left" if child in plan.decorations else "inner"
         joins.append(join_step(rows, tables[child], keys, how_joined).select(F.lit(len(joins) + 1).alias("step"), F.lit(child).alias("table"), "rows_before", "rows_after"))
+        seen = counted(attach(seen, tables[child], keys, how_joined), marks) if observe else rows
         rows = attach(rows, tables[child], keys, how_joined)
+        names.append(child)
         done.add(child)
     if guard and guarded:
         guard_joins(tables[root], guarded, most_rows=most_rows)
+    joined = reduce(DataFrame.unionByName, joins) if joins else None
+    if observe:
+        needed = [*plan.outputs, *filters, *plan.require_all, *[c for c, _ in rank_columns(plan, rows.columns)], *[k.column for k in plan.sort]]
+        needed = [c for c in dict.fromkeys(needed) if c in rows.columns]
+        rows = stored(seen.select(*needed).distinct(), "joined")
+        # Spark leaves steps out where it finds a side empty, and with them their counts; the result has no rows then.
+        joined = observed_joins(rows.sparkSession, names, marks) if names and not rows.isEmpty() else joined
     for field, values in plan.require_all.items():
         entity = [c for c in plan.outputs if c in rows.columns and c != field]
         rows = linked_to_all(rows, field, values, entity)
@@ -147,8 +186,8 @@ def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_o
         return QueryResult(rows.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in plan.outputs]))
     rows = rows.select(*columns).distinct()
     rows = after(rows) if after else rows
-    rows = rows.orderBy(*ordering([r for r in ranked if r[0] in rows.columns], rows.columns))
+    rows = rows.orderBy(*ordering([r for r in ranked if r[0] in rows.columns], rows.columns, plan.sort))
     if on_empty and rows.isEmpty():
-        return run(catalog, plan, on_empty(filters), kinds=kinds, any_of=any_of, operators=operators, after=after, guard=guard, most_rows=most_rows)
+        return run(catalog, plan, on_empty(filters), kinds=kinds, any_of=any_of, operators=operators, after=after, guard=guard, most_rows=most_rows, observe=observe)
     steps = [predicates.funnel(catalog[t], filters, **how).withColumn("table", F.lit(t)) for t in plan.parents if predicates.table_predicates(catalog[t], filters, **how)]
-    return QueryResult(rows, reduce(DataFrame.unionByName, steps) if steps else None, reduce(DataFrame.unionByName, joins) if joins else None)
+    return QueryResult(rows, reduce(DataFrame.unionByName, steps) if steps else None, joined)

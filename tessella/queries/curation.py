@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions.text import number
+from tessella.operators.lineage import shared_folder
 from tessella.sources import curate as C
 from tessella.sources import flatten as X
 
@@ -174,6 +177,23 @@ def _(t):
     return C.synonym_map(rows.select("Name", "SynonymList.Synonym"), "Name", "Synonym")
 
 
+@query(
+    "xml_files",
+    """with s as (select trim(p_brand) as canonical, unnest([p_brand, p_type || ' ' || p_brand, p_name]) as alias from part)
+    select lower(alias) as alias, array_to_string(list_sort(list(distinct canonical)), '|') as canonicals from s group by 1""",
+)
+def _(t):
+    element = lambda c: F.struct(c.alias("_VALUE"), F.lit("en").alias("_lang"))
+    names = F.array(element(F.lit(" ")), element(F.col("p_brand")))
+    record = t.part.select(F.col("p_partkey").alias("_id"), names.alias("Name"), F.struct(F.array(element(F.concat_ws(" ", "p_type", "p_brand")), element(F.col("p_name"))).alias("Synonym")).alias("SynonymList"))
+    path = f"{shared_folder(t.spark)}/xml-{uuid.uuid4().hex}"
+    record.write.format("xml").option("rootTag", "DisorderList").option("rowTag", "Disorder").save(path)
+    text = "array<struct<_VALUE:string,_lang:string>>"
+    rows = C.xml_rows(t.spark, path, "Disorder", f"Name {text}, SynonymList struct<Synonym:{text}>")
+    lists = C.alias_lists(rows, F.col("Name._VALUE"), F.col("SynonymList.Synonym._VALUE"))
+    return lists.select("alias", F.array_join("canonicals", "|").alias("canonicals"))
+
+
 def _items(t):
     return X.parsed(t.nested, "doc", NESTED).select("l_orderkey", "r.items")
 
@@ -250,11 +270,7 @@ def _(t):
 
 @query("csv_round_trip", "select s_suppkey::varchar as key, s_name as gene_name from supplier")
 def _(t):
-    import tempfile
-    import uuid
-
-    folder = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/csv-{uuid.uuid4().hex}"
     C.write_csv(t.supplier.select(F.col("s_suppkey").alias("KEY"), F.col("s_name").alias("Gene Symbol")), path, ["KEY"])
     return C.read_csv(t.spark, path)
 

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import is_structural
 from tessella.operators import keyed as K
+from tessella.operators.ordering import running
 from tessella.plans import star
-from tessella.plans.spec import JoinEdge, StarPlan
+from tessella.plans.spec import JoinEdge, SortKey, StarPlan
 from tessella.sources.curate import full_names  # noqa: F401
 
 from .registry import query
 
 
-def flagship(t):
+def flagship(t, **how):
     """Which parts did customers of one segment order from suppliers of two nations."""
     catalog = {"nation": t.nation, "supplier": t.supplier, "lineitem": t.lineitem, "part": t.part, "orders": t.orders, "customer": t.customer}
     plan = StarPlan(
@@ -29,7 +30,7 @@ def flagship(t):
         rank=(("absent", True), ("l_extendedprice", True)),
         tie_breakers=("l_quantity",),
     )
-    return star.run(catalog, plan, {"n_name": ["nation_18", "NATION_19"], "c_mktsegment": ["Household"], "p_name": "requested"})
+    return star.run(catalog, plan, {"n_name": ["nation_18", "NATION_19"], "c_mktsegment": ["Household"], "p_name": "requested"}, **how)
 
 
 STAR = """select distinct p_name, n_name, s_name, o_orderpriority, c_mktsegment, l_extendedprice
@@ -52,18 +53,61 @@ def _(t):
     return flagship(t).funnel
 
 
-@query(
-    "star_joins",
-    """with n as (select n_nationkey from nation where n_name in ('NATION_18', 'NATION_19')),
+JOINS = """with n as (select n_nationkey from nation where n_name in ('NATION_18', 'NATION_19')),
     s1 as (select l.* from lineitem l join supplier on l_suppkey = s_suppkey), s2 as (select s1.* from s1 join supplier on l_suppkey = s_suppkey join n on s_nationkey = n_nationkey),
     s3 as (select s2.* from s2 join part on l_partkey = p_partkey), s4 as (select s3.*, o_custkey from s3 join orders on l_orderkey = o_orderkey), s5 as (select s4.* from s4 join customer on o_custkey = c_custkey where c_mktsegment = 'HOUSEHOLD')
     select 1 as step, 'supplier' as "table", (select count(*) from lineitem) as rows_before, (select count(*) from s1) as rows_after union all select 2, 'nation', (select count(*) from s1), (select count(*) from s2)
-    union all select 3, 'part', (select count(*) from s2), (select count(*) from s3) union all select 4, 'orders', (select count(*) from s3), (select count(*) from s4) union all select 5, 'customer', (select count(*) from s4), (select count(*) from s5)""",
-)
+    union all select 3, 'part', (select count(*) from s2), (select count(*) from s3) union all select 4, 'orders', (select count(*) from s3), (select count(*) from s4) union all select 5, 'customer', (select count(*) from s4), (select count(*) from s5)"""
+
+
+@query("star_joins", JOINS)
 def _(t):
     return flagship(t).joins
 
 
+@query("star_observed", JOINS)
+def _(t):
+    return flagship(t, observe=True).joins
+
+
+@query("star_observed_rows", STAR)
+def _(t):
+    return flagship(t, observe=True).rows
+
+
+@query(
+    "join_factors",
+    """select 0 as step, (select count(*) from orders where o_orderstatus = 'F') as n
+    union all select 1, (select coalesce(max(n), 0) from (select count(*) as n from lineitem where l_returnflag = 'R' group by l_orderkey))
+    union all select 2, (select coalesce(max(n), 0) from (select count(*) as n from links group by l_partkey))""",
+    "links",
+)
+def _(t):
+    root, items = t.orders.where("o_orderstatus = 'F'"), t.lineitem.where("l_returnflag = 'R'")
+    joined = root.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    return star.join_factors(root, [(root, items, [("o_orderkey", "l_orderkey")]), (joined, t.links, [("l_partkey", "l_partkey")])])
+
+
+SEGMENTS = ("MACHINERY", "BUILDING")
+
+
+@query(
+    "star_sorted",
+    """with s as (select distinct c_mktsegment, n_name, c_acctbal, c_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA')
+    select *, row_number() over (order by case c_mktsegment when 'MACHINERY' then 0 when 'BUILDING' then 1 else 2 end, case when n_name like '%1%' then 0 else 1 end, c_acctbal desc nulls last, c_mktsegment, c_name, n_name) as place from s""",
+)
+def _(t):
+    plan = StarPlan(
+        parents={"customer": None, "nation": "customer", "region": "nation"},
+        joins=(JoinEdge("customer", "nation", ("c_nationkey",), ("n_nationkey",)), JoinEdge("nation", "region", ("n_regionkey",), ("r_regionkey",))),
+        outputs=("c_mktsegment", "c_name", "n_name", "c_acctbal"), rank=(("c_acctbal", True),),
+        sort=(SortKey("c_mktsegment", order=SEGMENTS), SortKey("absent", descending=True), SortKey("n_name", contains_first=("1",))),
+    )
+    rows = star.run({"customer": t.customer, "nation": t.nation, "region": t.region}, plan, {"r_name": ["Asia"]}).rows
+    order = star.ordering(star.rank_columns(plan, rows.columns), rows.columns, plan.sort)
+    return running(rows, order, {"place": F.lit(1)}).withColumn("place", (F.col("place") + 1).cast("long"))
+
+
 @query("star_rewritten", "select distinct r_name, n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'")
 def _(t):
     plan = StarPlan(parents={"nation": None, "region": "nation"}, joins=(JoinEdge("nation", "region", ("n_regionkey",), ("r_regionkey",)),), outputs=("n_name", "r_name"), rewrites={"r_name": {"far east": "Asia"}})

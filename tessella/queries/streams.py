@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessella.operators.lineage import shared_folder
+from tessella.streaming import bank as B
 from tessella.streaming import feedback as S
 
 from .registry import query
@@ -93,3 +97,21 @@ def _(t):
 @query("valid_votes", f"with {VOTES} select session, query, verdict, ts as ts from votes")
 def _(t):
     return naive(S.drained(votes(t), "append").select("session", "query", "verdict", "ts"), "ts")
+
+
+STORED = """select lower(p_brand) as db, p_type as stage, p_name as question, sha256(lower(p_brand) || chr(31) || p_type || chr(31) || p_name) as id, min(p_size) as answer, false as pin from part
+    where (lower(p_brand), p_type) not in (select lower(p_brand), p_type from part where p_size > 45 and p_type = 'SMALL') group by all
+    union all select lower(p_brand), p_type, p_name, sha256(lower(p_brand) || chr(31) || p_type || chr(31) || p_name), min(p_size), true from part where p_size > 45 and p_type = 'SMALL' group by all"""
+
+
+@query("bank_stored", STORED)
+def _(t):
+    """Two streams feed the bank, the second with some larger parts only; both come a second time and change nothing."""
+    folder = f"{shared_folder(t.spark)}/bank-{uuid.uuid4().hex}"
+    parts = S.source(t.spark, f"{t.folder}/part.parquet*", t.part.schema)
+    rows = parts.select(F.col("p_brand").alias("db"), F.col("p_type").alias("stage"), F.col("p_name").alias("question"), F.col("p_size").alias("answer"))
+    first, second = rows.withColumn("pin", F.lit(False)), rows.where("answer > 45 and stage = 'SMALL'").withColumn("pin", F.lit(True))
+    for turn in range(2):  # with new state, so that the same batches are delivered again
+        for name, fresh in (("first", first), ("second", second)):
+            B.feed(B.examples(fresh), folder, name, f"{folder}/state-{turn}-{name}").awaitTermination()
+    return B.read(t.spark, folder, B.examples(second).schema)

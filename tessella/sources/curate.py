@@ -221,7 +221,7 @@ def tag_when(df: DataFrame, needs: set[str], name: str, note: str) -> DataFrame:
 def full_names(df: DataFrame, lookup: DataFrame, symbol: str, full: str, columns: list[str]) -> DataFrame:
     """<column>_full_name for columns that hold known symbols."""
     for c in columns:
-        own = lookup.select(F.col(symbol).alias("__s"), F.col(full).alias(f"{c}_full_name")).dropDuplicates(["__s"])
+        own = lookup.select(F.col(symbol).alias("__s"), F.col(full).alias("__f")).groupBy("__s").agg(F.min("__f").alias(f"{c}_full_name"))
         df = df.join(own, F.col(c) == F.col("__s"), "left").drop("__s")
     return df
 
@@ -237,6 +237,23 @@ def xml_records(df: DataFrame, text: str, schema: str) -> DataFrame:
     return df.select(*df.columns, F.from_xml(F.col(text), schema).alias("r")).select(*df.columns, "r.*")
 
 
+def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The <tag> elements of XML files (UTF-8) as rows of the schema. Files are cut at </tag>, so that tasks share a large one; an
+    element must not stand inside another of its name. Elements without content, and ends of tags in comments, are no records."""
+    parts = spark.read.option("lineSep", f"</{tag}>").text(path)
+    element = F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*[^/>]|\s*)>.*$", 0)
+    return parts.select(element.alias("x")).where("x <> ''").select(F.from_xml(F.concat("x", F.lit(f"</{tag}>")), schema).alias("r")).select("r.*")
+
+
+def alias_lists(rows: DataFrame, names: Column, synonyms: Column) -> DataFrame:
+    """(alias, canonicals): for each name and synonym of a row in lower case the canonical names that it stands for, ascending. A row's
+    canonical name is the first of its names that isn't blank; a row without one is left out."""
+    clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    named = rows.select(F.try_element_at(clean(names), F.lit(1)).alias("canonical"), clean(synonyms).alias("s")).where("canonical is not null")
+    pairs = named.select("canonical", F.explode(F.concat(F.array("canonical"), "s")).alias("a")).select(F.lower("a").alias("alias"), "canonical")
+    return pairs.groupBy("alias").agg(F.array_sort(F.collect_set("canonical")).alias("canonicals"))
+
+
 def synonym_map(rows: DataFrame, name: str, synonyms: str) -> DataFrame:
     """(synonym, canonical) from names with arrays of synonyms: a synonym of several names is left out, as is one that is
     itself a name."""

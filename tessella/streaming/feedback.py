@@ -4,7 +4,6 @@ The same functions serve batch and stream; `drained` runs a stream over what is
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.lineage import shared_folder
 from tessella.operators.retrieval import cosine_top_k
 
 LIMIT, WINDOW, LATE = 20, "1 hour", "2 hours"
@@ -113,8 +113,7 @@ def near_bank(candidates: DataFrame, bank: DataFrame, least: float = 0.92) -> Da
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The stream's result over all that its source has now, as a table of the last state."""
     spark = stream.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")

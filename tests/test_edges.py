@@ -15,6 +15,7 @@ from tessella.operators import retrieval as V
 from tessella.operators import summary as S
 from tessella.plans import spec, star
 from tessella.sources import curate as C
+from tessella.streaming import bank as B
 from tessella.streaming import feedback as L
 
 
@@ -556,3 +557,141 @@ def test_funnel_and_retry(spark):
     got = star.run({"t": df}, plan, {"n": ["z"]}, on_empty=lambda f: {"n": ["B"]})
     assert [tuple(r) for r in got.rows.collect()] == [(2, "b")]
     assert got.funnel.first()["rows_before"] == 3 and got.funnel.first()["rows_after"] == 1
+
+
+def star_of(spark):
+    a = spark.createDataFrame([(i, i % 3 if i else None) for i in range(40)], "id int, k int")
+    b = spark.createDataFrame([(i % 2, i) for i in range(6)] + [(None, 1)], "k2 int, v int")
+    c = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (4, "z")], "v3 int, name string")
+    joins = (spec.JoinEdge("a", "b", ("k",), ("k2",)), spec.JoinEdge("b", "c", ("v",), ("v3",)))
+    return {"a": a, "b": b, "c": c}, spec.StarPlan(parents={"a": None, "b": "a", "c": "b"}, joins=joins, outputs=("id", "name"))
+
+
+@pytest.mark.parametrize("decorations", [(), ("c",), ("b", "c")])
+def test_observed_joins(spark, decorations):
+    """One run counts its joins as their histograms do, the guard's own counts left out; rows are the same."""
+    from dataclasses import replace
+
+    catalog, plan = star_of(spark)
+    plan = replace(plan, decorations=frozenset(decorations), require_all={"name": ["X", "y"]}, tie_breakers=("v",), rank=(("k", True),))
+    plain, seen = (star.run(catalog, plan, {"name": ["x", "Y"]}, observe=o, most_rows=200) for o in (False, True))
+    assert list(map(tuple, seen.joins.collect())) == sorted(map(tuple, plain.joins.collect()))
+    assert seen.rows.collect() == plain.rows.collect() and plain.rows.count() > 0
+
+
+def test_observed_joins_of_empty_sides(spark):
+    """Where Spark leaves joins out since a side is empty, they are counted from the histograms."""
+    catalog, plan = star_of(spark)
+    got = star.run({**catalog, "b": catalog["b"].limit(0)}, plan, {"name": ["x"]}, observe=True)
+    assert sorted(map(tuple, got.joins.collect())) == [(1, "b", 40, 0), (2, "c", 0, 0)] and got.rows.count() == 0
+    lone = star.run({"a": catalog["a"]}, spec.StarPlan({"a": None}, outputs=("id",)), {"k": ["1"]}, observe=True)
+    assert lone.joins is None and lone.rows.count() == 40
+
+
+def test_sort_keys(spark):
+    df = spark.createDataFrame([(1, "odd", "q", 5.0), (2, "Approved", "q", 1.0), (3, "Phase 2", "BINDING a", 2.0), (4, "Phase 2", None, None), (5, "Phase 2", "q", 3.0), (6, None, "binds", 9.0)], "i int, v string, a string, s double")
+    sort = (spec.SortKey("nowhere"), spec.SortKey("v", order=("Approved", "Phase 2")), spec.SortKey("a", contains_first=("bind",)))
+    plan = spec.StarPlan({"t": None}, outputs=("i", "v", "a"), rank=(("s", True),), sort=sort)
+    got = star.run({"t": df}, plan, {"i": "requested", "v": ["odd", "approved", "phase 2"]}).rows
+    assert [r.i for r in got.collect()] == [2, 3, 5, 4, 1]
+    assert [r.i for r in df.orderBy(*star.ordering([], df.columns, (spec.SortKey("s", descending=True),))).collect()] == [6, 1, 5, 3, 2, 4]
+
+
+XML = """<?xml version="1.0" encoding="UTF-8"?>
+<JDBOR><DisorderList count="4">
+<Disorder id="1"><Name lang="en"> </Name><Name lang="en">Alpha é</Name><SynonymList count="2"><Synonym lang="en">A &amp; B</Synonym><Synonym lang="en"> alpha é </Synonym></SynonymList></Disorder>
+<Disorder id="2">
+  <Name lang="en">Beta</Name><SynonymList><Synonym lang="en">a &amp; b</Synonym><Synonym/></SynonymList>
+</Disorder><Disorder id="3"/><Disorder><Name></Name><SynonymList><Synonym>lost</Synonym></SynonymList></Disorder><Disorder><Name>Gamma</Name></Disorder>
+</DisorderList></JDBOR>
+"""
+TEXTS = "array<struct<_VALUE:string,_lang:string>>"
+
+
+def test_xml_files(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(XML)
+    rows = C.xml_rows(spark, str(tmp_path), "Disorder", f"_id int, Name {TEXTS}, SynonymList struct<Synonym:{TEXTS}>")
+    got = {r.alias: r.canonicals for r in C.alias_lists(rows, F.col("Name._VALUE"), F.col("SynonymList.Synonym._VALUE")).collect()}
+    assert got == {"alpha é": ["Alpha é"], "a & b": ["Alpha é", "Beta"], "beta": ["Beta"], "gamma": ["Gamma"]}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "b.xml").write_text("<DisorderList></DisorderList>")
+    assert C.xml_rows(spark, str(tmp_path / "empty"), "Disorder", "_id int").count() == 0
+
+
+def test_tasks_share_a_large_xml_file(spark, tmp_path):
+    """Wherever a file is cut, each element is read once, as by the reader of whole files."""
+    body = "".join(f'<Disorder id="{i}"><Name lang="en">{"n" * (i % 97)} é{i}</Name></Disorder>{" " * (i % 7)}\n' for i in range(2000))
+    (tmp_path / "a.xml").write_text(f"<List>{body}</List>")
+    schema = f"_id int, Name {TEXTS}"
+    whole = sorted(r._id for r in spark.read.format("xml").option("rowTag", "Disorder").schema(schema).load(str(tmp_path)).collect())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001b")
+    try:
+        rows = C.xml_rows(spark, str(tmp_path), "Disorder", schema)
+        assert rows.rdd.getNumPartitions() > 20
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(r._id for r in got) == whole == list(range(2000)) and all(r.Name[0]._VALUE.endswith(f"é{r._id}") for r in got)
+
+
+def test_full_names_are_the_same_again(spark):
+    lookup = spark.createDataFrame([("s", "b"), ("s", "a"), (None, "n")], "s string, f string")
+    df = spark.createDataFrame([("s",), (None,), ("t",)], "c string")
+    assert sorted(map(tuple, C.full_names(df, lookup, "s", "f", ["c"]).collect()), key=str) == [("s", "a"), ("t", None), (None, None)]
+
+
+BANK = "db string, stage string, question string, answer int"
+
+
+def held(spark, folder, schema):
+    return sorted((r.db, r.stage, r.question, r.answer) for r in B.read(spark, folder, schema).collect())
+
+
+def test_examples_of_the_bank(spark):
+    rows = spark.createDataFrame([(" TTD ", "a", " q ", 1), ("ttd", "a", "q", 0), ("ttd", "b", " ", 1), (None, "a", "q", 1), ("ttd", None, "q", 1), ("ttd", "c", "q", None)], BANK)
+    got = B.one_per_id(B.examples(rows, ("a", "b")))
+    assert [(r.db, r.stage, r.question, r.answer) for r in got.collect()] == [("ttd", "a", "q", 0)]
+    assert B.examples(rows).count() == 3
+
+
+def test_deliveries_to_the_bank(spark, tmp_path):
+    """A slice is replaced, others stay, and what comes again changes nothing."""
+    folder = str(tmp_path / "bank")
+    make = lambda *rows: B.examples(spark.createDataFrame(list(rows), BANK))
+    old = make(("d", "a", "q1", 1), ("d", "a", "q2", 2), ("d", "b", "q1", 3), ("1", "2", "q", 4))
+    assert B.deliver(old, folder, "s", 0) and not B.deliver(old, folder, "s", 0)
+    assert B.deliver(make(("d", "a", "q3", 5)), folder, "s", 1) and not B.deliver(old, folder, "s", 0)
+    assert held(spark, folder, old.schema) == [("1", "2", "q", 4), ("d", "a", "q3", 5), ("d", "b", "q1", 3)]
+    assert B.deliver(old.limit(0), folder, "s", 2) and B.deliver(make(("d", "b", "q1", 6)), folder, "other", 0)
+    assert held(spark, folder, old.schema) == [("1", "2", "q", 4), ("d", "a", "q3", 5), ("d", "b", "q1", 6)]
+
+
+@pytest.mark.parametrize("step", ["replace", "note"])
+def test_a_stream_to_the_bank_that_is_cut_off(spark, tmp_path, monkeypatch, step):
+    """Cut off before its slices, or between them and the note, a delivery comes again; the bank is as if nothing had been."""
+    import os
+
+    (tmp_path / "in").mkdir()
+    deliveries = [[("d", "a", f"q{i}", i) for i in range(5)] + [("d", "b", "q", 0)], [("d", "a", "q1", 7)], [("d", "b", "q", 8), ("e", "a", "q", 9)]]
+    for k, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, BANK).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        (f,) = (tmp_path / f"in{k}").glob("*.parquet")
+        os.rename(f, tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = B.examples(spark.readStream.schema(BANK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    folder, state, own, calls = str(tmp_path / "bank"), str(tmp_path / "state"), getattr(B, step), []
+
+    def cut(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return own(*args)
+
+    monkeypatch.setattr(B, step, cut)
+    with pytest.raises(Exception, match="lost"):
+        B.feed(stream, folder, "s", state).awaitTermination()
+    assert B.last_epoch(spark, folder, "s") == 0
+    B.feed(stream, folder, "s", state).awaitTermination()
+    assert held(spark, folder, stream.schema) == [("d", "a", "q1", 7), ("d", "b", "q", 8), ("e", "a", "q", 9)]
+    assert B.last_epoch(spark, folder, "s") == 2 and len(calls) == 4
