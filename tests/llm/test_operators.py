@@ -920,3 +920,32 @@ def test_conversations_with_a_crowded_sketch(spark, monkeypatch):
     views_of = __import__("duckdb").connect()
     views_of.register("conversations", df.toArrow())
     same_rows(conversations.trie(df, 1 << 12), views_of.sql(conversations.OP13_SQL))
+
+
+def around_one_text(families: int, each: int, words: int, shared: int, seed: int) -> list[tuple[int, str]]:
+    """Texts that share a passage with all others, and more with those of their family, most pairs of which are close to 0.8."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(20000)}"
+    common, texts = [word() for _ in range(shared)], []
+    for _ in range(families):
+        own = [word() for _ in range(words - shared)]
+        for _ in range(each):
+            text = common + own
+            for _ in range(r.randint(2, 10)):
+                text[r.randrange(words)] = word()
+            texts.append(" ".join(text))
+    return list(enumerate(texts))
+
+
+def test_near_copies_round_one_passage(spark):
+    """Groups of bands hold far more than SMALL texts here: no link is lost, and nothing below the similarity joins."""
+    texts = around_one_text(12, 20, 300, 200, 11)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    label = list(range(len(texts)))
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert len(links) > 200 and [got[i] for i in range(len(texts))] == label
