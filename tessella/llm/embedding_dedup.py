@@ -5,7 +5,8 @@ first component they are cut into strips, and a task compares two strips; two un
 sqrt(2 - 2t) of each other, so only strips whose ranges come that close meet. In a task either strip is cut into tiles
 by halving it across its widest axis, and tiles whose boxes lie further apart are passed over. In a pair of tiles the leading
 components are multiplied first; what remains is at most the product of the suffix norms, and pairs whose
-bound stays below the threshold stop there. The rest are compared in full, in double precision.
+bound stays below the threshold stop there: all pairs at a time while many are left, then the survivors alone. What reaches the
+threshold is compared in full, in double precision.
 
 A row goes to a task for each strip that its own meets. Strips grow with the root of the number of rows (STRIP_ROWS to
 MOST_VALUES numbers), so that where no axis separates anything copies grow with the root as well, until memory says no more.
@@ -34,6 +35,8 @@ from .common import connected_components, materialise
 THRESHOLD, LEAD, TILE_ROWS = 0.95, 8, 1024
 #: Least rows and most numbers of a strip.
 STRIP_ROWS, MOST_VALUES = 8192, 16 << 20
+#: Pairs of tiles are multiplied block by block as matrices while more than one pair in so many can reach the threshold.
+DENSE = 8
 
 
 def sums(batches):
@@ -101,17 +104,36 @@ def tiles_of(x: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 def compare(left, right, threshold: float, same: bool):
-    """(links by left row, links by right row, spanning pairs) of two strips given as (rotated, unit, weights)."""
+    """(links by left row, links by right row, pairs that span them) of two strips given as (rotated, unit, weights)."""
     (a, ua, wa), (b, ub, wb) = left, right
     na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     parent = np.arange(len(a) + (0 if same else len(b)))
     shift = 0 if same else len(a)
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def root(rows):
+        at = parent[rows]
+        while (parent[at] != at).any():
+            at = parent[at]
+        parent[rows] = at
+        return at
+
+    def unite(i, j):
+        """Hooks the roots of linked rows, the larger under the smaller, until each link has one root. A round looks at links
+        between different roots only, each pair of roots once."""
+        while len(i):
+            p, q = root(i), root(j)
+            pairs = np.unique(np.stack([np.maximum(p, q), np.minimum(p, q)], 1)[p != q], axis=0)
+            i, j = pairs[:, 0], pairs[:, 1]
+            np.minimum.at(parent, i, j)
+            hooked = np.unique(i)
+            forest.append(np.stack([parent[hooked], hooked], 1))
+
+    def link(s, t, i, j):
+        """Counts the links of rows s[i] with t[j] and unites them; rows of a tile have few roots, so most links fall away at once."""
+        np.add.at(na, s, np.bincount(i, wb[t[j]], len(s)).astype(np.int64))
+        np.add.at(nb, t, np.bincount(j, wa[s[i]], len(t)).astype(np.int64))
+        apart = root(s)[i] != root(t + shift)[j]
+        unite(s[i[apart]], t[j[apart]] + shift)
 
     dim = a.shape[1] if len(a) else 0
     cuts = [min(LEAD, dim), *range(min(LEAD, dim) + 16, dim, 16)]
@@ -125,27 +147,26 @@ def compare(left, right, threshold: float, same: bool):
         for n, (t, y, (low2, high2), rest_y) in enumerate(cols_of):
             if same and n < m or (np.maximum(0, np.maximum(low - high2, low2 - high)) ** 2).sum() > reach:
                 continue
-            bound = x[:, : cuts[0]] @ y[:, : cuts[0]].T
-            bound += np.outer(rest_x[0], rest_y[0])
-            i, j = np.nonzero(bound >= threshold - 1e-9)
+            k, product = 0, x[:, : cuts[0]] @ y[:, : cuts[0]].T
+            alive = product + np.outer(rest_x[0], rest_y[0]) >= threshold - 1e-9
+            while DENSE * np.count_nonzero(alive) > alive.size and k + 1 < len(cuts):  # the next block of all pairs
+                k += 1
+                product += x[:, cuts[k - 1] : cuts[k]] @ y[:, cuts[k - 1] : cuts[k]].T
+                alive = product + np.outer(rest_x[k], rest_y[k]) >= threshold - 1e-9
+            i, j = np.nonzero(alive)
             if same and m == n:
                 i, j = i[i < j], j[i < j]
-            for c, rx, ry in zip(cuts[1:], rest_x[1:], rest_y[1:]):  # further blocks of components, on the survivors
+            for c, rx, ry in zip(cuts[k + 1 :], rest_x[k + 1 :], rest_y[k + 1 :]):  # further blocks, on the survivors
                 if not len(i):
                     break
                 stay = np.einsum("ij,ij->i", x[i, :c], y[j, :c]) + rx[i] * ry[j] >= threshold - 1e-9
                 i, j = i[stay], j[stay]
-            i, j = s[i], t[j]
-            stay = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
-            i, j = i[stay], j[stay]
-            np.add.at(na, i, wb[j])
-            np.add.at(nb, j, wa[i])
-            for p, q in zip(i.tolist(), (j + shift).tolist()):
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    forest.append((min(p, q), max(p, q)))
-    return na, nb, forest
+            if DENSE * len(i) > alive.size:
+                stay = (ua[s] @ ub[t].T)[i, j] >= threshold
+            else:
+                stay = np.einsum("ij,ij->i", ua[s[i]], ub[t[j]]) >= threshold
+            link(s, t, i[stay], j[stay])
+    return na, nb, np.concatenate(forest) if forest else np.zeros((0, 2), np.int64)
 
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,7 +219,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         np.add.at(n, b, nb)
         linked = np.flatnonzero(n)
         place = a if first == second else np.concatenate([a, b])  # what the forest's numbers stand for
-        one, two = (ids[place[[e[k] for e in forest]]] if forest else [] for k in (0, 1))
+        one, two = ids[place[forest[:, 0]]], ids[place[forest[:, 1]]]
         return pa.table(
             [pa.array([*ids[linked], *one], pa.int64()), pa.array([*[None] * len(linked), *two], pa.int64()), pa.array([*n[linked], *[0] * len(forest)], pa.int64())], ["a", "b", "n"]
         )

@@ -295,6 +295,29 @@ def test_top_k_with_ties_and_blocks(spark, monkeypatch):
     check_top(topk.top_k(big, F.col("vec_id") % 10 == 0).collect(), {0: [3e6, -1.0], 10: [2e6, 5e5], 11: [3e6, 4e6]}, 10)
 
 
+def test_one_cluster(spark):
+    """8,192 unequal vectors close to one: all pairs link, in seconds; beside it one chain and what stands alone."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=64) + 0.05 * rng.normal(size=(8192, 64))
+    angles = np.arange(12) * 0.3  # neighbours in the chain are at cosine 0.955
+    chain = np.zeros((12, 64))
+    chain[:, 3], chain[:, 4] = np.cos(angles), np.sin(angles)
+    x = np.concatenate([near, chain])
+    side = (x, x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(len(x), np.int64))
+    side = (side[1], *side[1:])
+    began = time.monotonic()
+    na, nb, forest = embedding_dedup.compare(side, side, 0.95, True)
+    assert time.monotonic() - began < 30
+    cosine = side[1] @ side[1].T
+    want = cosine >= 0.95
+    np.fill_diagonal(want, False)
+    assert (na + nb == want.sum(1)).all() and want[:8192, :8192].sum() == 8192 * 8191
+    label = np.arange(len(x))
+    for a, b in sorted(map(tuple, forest.tolist())) * 2:
+        label[label == label[b]] = label[a]
+    assert len(set(label[:8192])) == 1 and len(set(label[8192:])) == 1 and len(set(label)) == 2
+
+
 # 4
 
 LICENSE_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
