@@ -122,19 +122,11 @@ def compare(left, right, threshold: float, same: bool):
         between different roots only, each pair of roots once."""
         while len(i):
             p, q = root(i), root(j)
-            pairs = np.unique(np.stack([np.maximum(p, q), np.minimum(p, q)], 1)[p != q], axis=0)
-            i, j = pairs[:, 0], pairs[:, 1]
+            j, i = np.divmod(np.unique((np.minimum(p, q) * len(parent) + np.maximum(p, q))[p != q]), len(parent))
             np.minimum.at(parent, i, j)
             hooked = np.unique(i)
             forest.append(np.stack([parent[hooked], hooked], 1))
 
-    def link(s, t, i, j):
-        """Counts the links of rows s[i] with t[j] and unites them; rows of a tile have few roots, so most links fall away at once."""
-        np.add.at(na, s, np.bincount(i, wb[t[j]], len(s)).astype(np.int64))
-        np.add.at(nb, t, np.bincount(j, wa[s[i]], len(t)).astype(np.int64))
-        apart = root(s)[i] != root(t + shift)[j]
-        unite(s[i[apart]], t[j[apart]] + shift)
-
     dim = a.shape[1] if len(a) else 0
     cuts = [min(LEAD, dim), *range(min(LEAD, dim) + 16, dim, 16)]
     cuts = cuts + [dim] * (cuts[-1] < dim)  # components that are multiplied by then
@@ -153,19 +145,27 @@ def compare(left, right, threshold: float, same: bool):
                 k += 1
                 product += x[:, cuts[k - 1] : cuts[k]] @ y[:, cuts[k - 1] : cuts[k]].T
                 alive = product + np.outer(rest_x[k], rest_y[k]) >= threshold - 1e-9
-            i, j = np.nonzero(alive)
             if same and m == n:
-                i, j = i[i < j], j[i < j]
+                alive = np.triu(alive, 1)
+            if DENSE * np.count_nonzero(alive) > alive.size:
+                alive &= ua[s] @ ub[t].T >= threshold
+                na[s] += alive @ wb[t]
+                nb[t] += wa[s] @ alive
+                i, j = np.nonzero(alive & (root(s)[:, None] != root(t + shift)))
+                unite(s[i], t[j] + shift)
+                continue
+            i, j = np.nonzero(alive)
             for c, rx, ry in zip(cuts[k + 1 :], rest_x[k + 1 :], rest_y[k + 1 :]):  # further blocks, on the survivors
                 if not len(i):
                     break
                 stay = np.einsum("ij,ij->i", x[i, :c], y[j, :c]) + rx[i] * ry[j] >= threshold - 1e-9
                 i, j = i[stay], j[stay]
-            if DENSE * len(i) > alive.size:
-                stay = (ua[s] @ ub[t].T)[i, j] >= threshold
-            else:
-                stay = np.einsum("ij,ij->i", ua[s[i]], ub[t[j]]) >= threshold
-            link(s, t, i[stay], j[stay])
+            i, j = s[i], t[j]
+            stay = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
+            i, j = i[stay], j[stay]
+            np.add.at(na, i, wb[j])
+            np.add.at(nb, j, wa[i])
+            unite(i, j + shift)
     return na, nb, np.concatenate(forest) if forest else np.zeros((0, 2), np.int64)
 
 
