@@ -84,9 +84,14 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], most: i
     return dealt.select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in a total order of the whole table."""
+    return running(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast("long"))
+
+
 def handles(df: DataFrame, db: str, order: list[Column]) -> DataFrame:
-    rows = running(df, order, {"handle": F.lit(1)})
-    return rows.withColumn("handle", F.concat(F.lit(f"{db}:"), (F.col("handle") + 1).cast("string")))
+    rows = placed(df, order, "handle")
+    return rows.withColumn("handle", F.concat(F.lit(f"{db}:"), F.col("handle").cast("string")))
 
 
 def within_budget(df: DataFrame, order: list[Column], n: int, budget: int) -> DataFrame:

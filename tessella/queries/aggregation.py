@@ -52,9 +52,9 @@ def _(t):
     return S.linked_partners(t.lineitem.withColumn("l_suppkey", F.col("l_suppkey").cast("string")), "l_suppkey", "l_partkey", ["1", "2"])
 
 
-@query("intersection_summary", "select count(distinct p_name) as n, array_to_string(list_sort(list(distinct p_name))[1:50], ', ') as names from part where p_size <= 2")
+@query("intersection_summary", "select count(distinct p_name) as n, array_to_string(list_sort(list(distinct p_name))[1:50], ', ') as names from part")
 def _(t):
-    return S.intersection_summary(t.part.where("p_size <= 2"), "p_name")
+    return S.intersection_summary(t.part, "p_name")
 
 
 @query("text_rollup", "select p_brand, array_to_string(list_sort(list(distinct p_type)), '; ') as p_type, min(p_name) as p_name from part group by 1")
@@ -113,17 +113,18 @@ def _(t):
     return t.orders.where(F.upper("o_orderpriority").contains("URGENT")).agg(F.countDistinct("o_custkey").alias("n"), F.count("*").alias("orders"))
 
 
-@query("rank_sort", "select l_partkey, l_suppkey, n, price from links order by n desc, price desc, l_partkey, l_suppkey limit 100", "links")
+@query("rank_sort", "select l_partkey, l_suppkey, n, price, row_number() over (order by n desc, price desc, l_partkey, l_suppkey) as place from links", "links")
 def _(t):
     ranked = [("n", True), ("price", True)]
     rows = t.links.select("l_partkey", "l_suppkey", "n", "price")
-    return rows.orderBy(*star.ordering(ranked, rows.columns)).limit(100)
+    return O.placed(rows, star.ordering(ranked, rows.columns))
 
 
-@query("category_sort", "select o_orderkey, o_orderpriority from orders order by case o_orderpriority when '2-HIGH' then 0 when '1-URGENT' then 1 else 2 end, case when contains(lower(o_orderstatus), 'f') then 0 else 1 end, o_orderkey limit 500")
+@query("category_sort", "select o_orderkey, o_orderpriority, row_number() over (order by case o_orderpriority when '2-HIGH' then 0 when '1-URGENT' then 1 else 2 end, case when contains(lower(o_orderstatus), 'f') then 0 else 1 end, o_orderkey) as place from orders")
 def _(t):
     place = O.category_place(F.col("o_orderpriority"), ["2-HIGH", "1-URGENT"])
-    return t.orders.orderBy(place, O.any_of_first(F.col("o_orderstatus"), ["F"]), "o_orderkey").limit(500).select("o_orderkey", "o_orderpriority")
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return O.placed(rows, [F.asc(place), F.asc(O.any_of_first(F.col("o_orderstatus"), ["F"])), F.asc("o_orderkey")]).drop("o_orderstatus")
 
 
 @query("stable_order", "select p_partkey, p_size from part order by p_size, p_partkey limit 50")
@@ -149,10 +150,10 @@ def _(t):
     return t.orders.select("o_orderkey", phase_ordinal(phases(t)).alias("stage"))
 
 
-@query("score_phase_sort", f"select o_orderkey, o_totalprice, {PHASE} as phase from orders order by o_totalprice desc, case {PHASE} when 'APPROVAL' then 5 when 'PHASE_2_3' then 3 when 'PRECLINICAL' then 0 when 'Phase 1' then 1 else -1 end desc, o_orderkey limit 60")
+@query("score_phase_sort", f"select o_orderkey, o_totalprice, {PHASE} as phase, row_number() over (order by o_totalprice desc, case {PHASE} when 'APPROVAL' then 5 when 'PHASE_2_3' then 3 when 'PRECLINICAL' then 0 when 'Phase 1' then 1 else -1 end desc, o_orderkey) as place from orders")
 def _(t):
     rows = t.orders.select("o_orderkey", "o_totalprice", phases(t).alias("phase"))
-    return rows.orderBy(F.desc(O.score_value(rows, "o_totalprice")), F.desc(O.score_value(rows, "phase")), "o_orderkey").limit(60)
+    return O.placed(rows, [F.desc(O.score_value(rows, "o_totalprice")), F.desc(O.score_value(rows, "phase")), F.asc("o_orderkey")])
 
 
 @query("topk_ids", "select k, s from (select lower(trim(p_name)) as k, max(p_retailprice) as s from part group by 1) order by s desc, k limit 10")
@@ -165,10 +166,10 @@ def _(t):
     return O.positive_top(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal")
 
 
-@query("rerank", f"select o_orderkey, tier, approval from (select o_orderkey, case when lower(o_orderpriority) = 'f' or lower(o_orderstatus) = 'f' then 0 when contains(lower(o_orderpriority), 'f') then 1 else 2 end as tier, case {PHASE} when 'APPROVAL' then 0 when 'PHASE_2_3' then 2 when 'PRECLINICAL' then 4 when 'Phase 1' then 3 else 10 end as approval from orders) order by tier, approval, o_orderkey limit 200")
+@query("rerank", f"select o_orderkey, tier, approval, row_number() over (order by tier, approval, o_orderkey) as place from (select o_orderkey, case when lower(o_orderpriority) = 'f' or lower(o_orderstatus) = 'f' then 0 when contains(lower(o_orderpriority), 'f') then 1 else 2 end as tier, case {PHASE} when 'APPROVAL' then 0 when 'PHASE_2_3' then 2 when 'PRECLINICAL' then 4 when 'Phase 1' then 3 else 10 end as approval from orders)")
 def _(t):
     rows = t.orders.select("o_orderkey", O.entity_tier(["o_orderpriority", "o_orderstatus"], ["F"]).alias("tier"), O.approval_tier(phases(t)).alias("approval"))
-    return rows.orderBy("tier", "approval", "o_orderkey").limit(200)
+    return O.placed(rows, [F.asc("tier"), F.asc("approval"), F.asc("o_orderkey")])
 
 
 @query("full_distinct", "select distinct p_name, p_brand from part")
@@ -176,9 +177,9 @@ def _(t):
     return t.part.select("p_name", "p_brand").dropDuplicates()
 
 
-@query("row_handles", "select 'part:' || row_number() over (order by p_partkey) as handle, p_partkey from part where p_size = 1")
+@query("row_handles", "select 'part:' || row_number() over (order by p_partkey) as handle, p_partkey from part")
 def _(t):
-    return O.handles(t.part.where("p_size = 1").select("p_partkey"), "part", [F.asc("p_partkey")])
+    return O.handles(t.part.select("p_partkey"), "part", [F.asc("p_partkey")])
 
 
 @query("bounded_preview", "select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '…' else text end as text from documents order by doc_id limit 50")

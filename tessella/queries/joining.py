@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import is_structural
@@ -222,6 +225,22 @@ def _(t):
     return K.union(*sides(t), "drug_name", best=True)
 
 
+@query(
+    "empty_sides",
+    """with a as (select lower(p_name) as k from part), e as (select k from a where k < ''), u as (select count(distinct k) as n from (select k from a union all select k from e))
+    select 'intersect' as op, 'left' as "empty", (select count(*) from e join a using (k)) as n union all select 'intersect', 'right', (select count(*) from a join e using (k)) union all select 'intersect', 'both', (select count(*) from e x join e y using (k))
+    union all select 'difference', 'left', (select count(*) from e where k not in (select k from a)) union all select 'difference', 'right', (select count(*) from a where k not in (select k from e)) union all select 'difference', 'both', (select count(*) from e)
+    union all select 'union', 'left', (select n from u) union all select 'union', 'right', (select n from u) union all select 'union', 'both', (select count(*) from e)""",
+)
+def _(t):
+    """Rows of each set operation where a side, or either, has none."""
+    some = t.part.select(F.col("p_name").alias("drug_name"), F.col("p_retailprice").alias("association_score"))
+    none = some.where("drug_name < ''")
+    cases = {"left": (none, some), "right": (some, none), "both": (none, none)}
+    ops = {"intersect": K.intersect, "difference": K.difference, "union": K.union}
+    return reduce(DataFrame.union, [f(*given, "drug_name").agg(F.lit(op).alias("op"), F.lit(side).alias("empty"), F.count("*").alias("n")) for op, f in ops.items() for side, given in cases.items()])
+
+
 @query("set_cap", f"with {SIDES} select *, true as truncated from a order by association_score desc, drug_name limit 20")
 def _(t):
     a, _ = sides(t)

@@ -39,3 +39,23 @@ assert "star_join" in e.queries() and "pipeline" not in e.queries()
 assert not any(n.startswith("op1_") for n in e.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("missing, works", [("xxhash", True), ("tessella.llm.simhash", False)])
+def test_entry_without_a_package(missing, works):
+    """A package that the corpus operators need may be absent, a module of their own may not."""
+    code = f"""
+import importlib.util, sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r}:
+            raise ModuleNotFoundError(name, name=name)
+there = importlib.util.find_spec("tessella.llm") is not None
+sys.meta_path.insert(0, Absent())
+try:
+    import __spark_entry__ as e
+    assert "star_join" in e.queries() and ({works} or not there)
+except ModuleNotFoundError:
+    assert there and not {works}
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
