@@ -83,14 +83,15 @@ def observed_joins(spark: SparkSession, tables: list[str], marks: list[Observati
     return spark.createDataFrame([(i + 1, t, n[i], n[i + 1]) for i, t in enumerate(tables)], "step int, table string, rows_before long, rows_after long")
 
 
-#: The most rows that a join may give, and the most for each row of its left side.
+#: The most rows that a join may give, unless its sides have more together, and the most for each row of its left side.
 MOST_ROWS, MOST_FACTOR = 10_000_000, 100_000
 
 
 def guard_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], most_factor: float = MOST_FACTOR, most_rows: int = MOST_ROWS) -> int:
-    """The rows of the join, from the histograms of its keys; an error beyond the limits."""
+    """The rows of the join, from the histograms of its keys; an error beyond the limits. A join that gives no more rows than it reads
+    is no explosion, however large its tables are."""
     n = estimated_rows(left, right, keys).first()
-    if n["join_rows"] > most_rows or n["join_rows"] > most_factor * max(1, n["left_rows"]):
+    if n["join_rows"] > max(most_rows, n["left_rows"] + n["right_rows"]) or n["join_rows"] > most_factor * max(1, n["left_rows"]):
         raise ExplosionError(f"{n['left_rows']} rows would become {n['join_rows']}")
     return n["join_rows"]
 
@@ -103,12 +104,14 @@ def join_factors(root: DataFrame, steps: list[tuple[DataFrame, DataFrame, list[t
 
 
 def guard_joins(root: DataFrame, steps: list[tuple[DataFrame, DataFrame, list[tuple[str, str]]]], most_factor: float = MOST_FACTOR, most_rows: int = MOST_ROWS) -> None:
-    """guard_join for each step (left, right, keys) of a plan, by the bounds of join_factors. Only a join that its bound doesn't clear is
-    counted exactly."""
+    """guard_join for each step (left, right, keys) of a plan, by the bounds of join_factors. A join whose keys are unique on its right
+    side gives no more rows than its left side has; of the others only one that its bound doesn't clear is counted exactly."""
     first, *times = [r["n"] for r in sorted(join_factors(root, steps).collect(), key=lambda r: r["step"])]  # a row a table
     bound = first
     for (left, right, keys), n in zip(steps, times):
-        before, bound = bound, bound * max(1, n)
+        if n <= 1:
+            continue
+        before, bound = bound, bound * n
         if bound > most_rows or bound > most_factor * max(1, before):
             bound = max(guard_join(left, right, keys, most_factor, most_rows), 1)
 
@@ -144,7 +147,7 @@ def linked_to_all(df: DataFrame, field: str, values: list[str], keys: list[str])
 def run(catalog: Catalog, plan: StarPlan, filters: Filters, *, kinds=None, any_of=(), operators=None, before: Callable | None = None, after: Callable | None = None, on_empty: Callable | None = None, guard: bool = True, most_rows: int = MOST_ROWS, observe: bool = False) -> QueryResult:
     """Hooks: before(filters) may change the filters, after(rows) the result; on_empty(filters) gives the filters
     of a second attempt if the first finds nothing (which then has to be run to be known). guard: an error before anything is
-    joined if a join would give more than most_rows. observe: the joined rows are run at once and stored in the shared folder, and
+    joined if a join would give more than most_rows and more than its sides have together. observe: the joined rows are run at once and stored in the shared folder, and
     `joins` is what that run counted, at no further pass. A stage that is run again after an executor was lost may be counted twice in it;
     without observe, and where nothing is left, `joins` counts each join from the histograms of its keys, exactly."""
     filters = before(filters) if before else filters

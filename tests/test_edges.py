@@ -142,6 +142,19 @@ def test_guard_is_on(spark):
     assert star.run({**catalog, "b": b.limit(0)}, plan, {"name": ["x"]}).rows.count() == 0
 
 
+def test_guard_lets_large_tables_join(spark):
+    """Joins that give no more rows than they read pass at any size; one that multiplies them is still refused."""
+    fact = spark.range(60).select("id", (F.col("id") % 7).cast("int").alias("k"))
+    one, two = spark.range(7).select(F.col("id").cast("int").alias("k2"), F.lit("x").alias("name")), spark.range(60).select((F.col("id") % 50 + 30).alias("f"), F.lit(1).alias("v"))
+    joins = (spec.JoinEdge("fact", "one", ("k",), ("k2",)), spec.JoinEdge("fact", "two", ("id",), ("f",)))
+    plan = spec.StarPlan(parents={"fact": None, "one": "fact", "two": "fact"}, joins=joins, outputs=("id", "v"))
+    catalog = {"fact": fact, "one": one, "two": two}
+    got = star.run(catalog, plan, {"name": ["x"]}, most_rows=5)
+    assert got.rows.count() == 30 and [r.rows_after for r in got.joins.orderBy("step").collect()] == [60, 40]
+    with pytest.raises(spec.ExplosionError):  # 60 rows at 4 for each key, with 120 read
+        star.run({**catalog, "one": one.union(one).union(one).union(one)}, plan, {"name": ["x"]}, most_rows=5)
+
+
 def test_packed_and_keys(spark):
     assert one(spark, ["1|2|3", "", None], X.packed_length) == [3, 0, 0]
     df = spark.createDataFrame([("TP53", None), ("A", "b")], "x string, y string")
