@@ -512,6 +512,18 @@ def test_votes_beyond_the_limit_are_rejected(spark, tmp_path):
     assert got == {(s, f"q{i}") for s in (1, 2) for i in (0, 1, 2, 4)}
 
 
+def test_many_sessions_share_few_states(spark, tmp_path):
+    """As many rows as by the batch form, in calls of Python that sessions share."""
+    ids = F.when(F.col("id") % 1001 < 1000, F.col("id") % 1001)  # one of the sessions has no name
+    rows = spark.range(4004).select(ids.alias("session"), F.lit("db").alias("db"), F.col("id").cast("string").alias("query"), F.lit("up").alias("verdict"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 3600).alias("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "votes"))
+    stream = L.admitted(L.source(spark, str(tmp_path / "votes"), rows.schema), 3)
+    got = L.drained(stream, "append")
+    assert sorted(got.collect(), key=str) == sorted(L.admitted(rows, 3).collect(), key=str) and got.count() == 3003
+    states = [q for q in spark.streams.active if q.isActive]
+    assert not states and "__bucket" in stream._jdf.queryExecution().logical().toString()
+
+
 def test_lives(spark):
     day = lambda n: F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(F.lit(n))
     rows = lambda *days: spark.range(1).select(F.explode(F.array(*[day(n) for n in days])).alias("ts"))
