@@ -29,3 +29,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as a shuffle has, where each row makes much work and its files are few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import acronym, camel_words, is_structural, match_key, safe_normalise, without_salt
-from tessella.operators.lineage import checkpointed
+from tessella.operators.lineage import checkpointed, spread, stored
 from tessella.sources.curate import first_per_key
 
 
@@ -96,22 +96,29 @@ OPENING, CLOSING = "([{\"'", ".,;:!?)]}\"'"
 def rewrite_ngrams(texts: DataFrame, dictionary: DataFrame, longest: int = 5) -> DataFrame:
     """texts (id, text) with `rewritten`: phrases of the dictionary (phrase, target) replaced, longest first, left to right, never
     overlapping; punctuation round a phrase stays. A phrase under several targets takes the smallest, one that is its target is
-    left. Runs of up to `longest` words meet the dictionary in a join, of whatever size it is. Of a text's matches those that overlap
+    left. Runs of up to `longest` words, and no longer ones than the dictionary has, meet it in a join, of whatever size it is. Of a text's matches those that overlap
     in a chain are chosen from together, in their order; the text is then put together from what stands between."""
     table = dictionary.select(F.lower("phrase").alias("core"), "target").where(F.col("core") != F.lower("target")).groupBy("core").agg(F.min("target").alias("target"))
+    table = stored(table, "phrases")
+    # A run of n words has n - 1 spaces, and so has what is left of it without punctuation.
+    spaces = F.length("core") - F.length(F.replace("core", F.lit(" "), F.lit("")))
+    most = min(longest, (table.agg(F.max(spaces)).first()[0] or 0) + 1)
     clean = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    rows = checkpointed(texts.select(F.monotonically_increasing_id().alias("row"), "id", "text", F.when(clean != "", F.split(clean, " ")).alias("words")))
+    rows = spread(texts.select("id", "text")).select(F.monotonically_increasing_id().alias("row"), "id", "text", F.when(clean != "", F.split(clean, " ")).alias("words"))
+    rows = stored(rows, "texts")
+    quoted = lambda chars: "[" + re.escape(chars) + "]*"
+    # Neither goes beyond a word.
+    heads = F.transform("words", lambda w: F.regexp_extract(w, "^" + quoted(OPENING), 0))
+    tails = F.transform("words", lambda w: F.regexp_extract(w, quoted(CLOSING) + "$", 0))
 
     def phrases(i: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i))
-        return F.transform(sizes, lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("phrase")))
+        sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size("words") - i))
+        return F.transform(sizes, lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("phrase"), F.get("heads", i).alias("head"), F.get("tails", i + n - 1).alias("tail")))
 
-    runs = rows.where("words is not null").select("row", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), phrases))).alias("x")).select("row", "x.*")
-    quoted = lambda chars: "[" + re.escape(chars) + "]*"
-    head, tail = F.regexp_extract("phrase", "^" + quoted(OPENING), 0), F.regexp_extract("phrase", quoted(CLOSING) + "$", 0)
-    runs = runs.withColumns({"head": head, "tail": tail})
+    runs = rows.where("words is not null").select("row", "words", heads.alias("heads"), tails.alias("tails"))
+    runs = runs.select("row", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), phrases))).alias("x")).select("row", "x.*")
     inner = F.length("phrase") - F.length("head") - F.length("tail")
-    runs = runs.where(inner > 0).withColumn("core", F.lower(F.substring("phrase", F.length("head") + 1, inner)))
+    runs = runs.where(inner > 0).withColumn("core", F.lower(F.substring("phrase", F.length("head") + 1, inner))).drop("phrase")
     hits = runs.join(table, "core").groupBy("row", "i").agg(F.max_by(F.struct("n", F.concat("head", "target", "tail").alias("new")), "n").alias("x"))
     hits = hits.select("row", "i", (F.col("i") + F.col("x.n")).alias("end"), "x.new")
     # A match that begins behind all ends before it is always taken; the others depend on those of their chain.

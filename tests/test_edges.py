@@ -376,6 +376,15 @@ def test_ngram_rewrite(spark):
     assert got == [(i, None if t is None else rewritten(t, known)) for i, t in enumerate(texts)]
 
 
+def test_ngram_rewrite_of_one_file_is_shared_by_tasks(spark):
+    """Texts of one partition are dealt to several tasks, and runs are no longer than the dictionary's phrases."""
+    texts = spark.range(400).select("id", F.concat(F.lit("(a  b) c, a x"), "id").alias("text")).coalesce(1)
+    out = R.rewrite_ngrams(texts, spark.createDataFrame([("a b", "X"), ("c", "C c")], "phrase string, target string"))
+    assert len([f for f in out.inputFiles() if "/texts-" in f]) > 1
+    assert sorted(out.collect()) == sorted((i, f"(a  b) c, a x{i}", f"(X) C c, a x{i}") for i in range(400))
+    assert R.rewrite_ngrams(texts.limit(1), spark.createDataFrame([], "phrase string, target string")).first()["rewritten"] == "(a b) c, a x0"
+
+
 def test_tokens_where_no_filter_is_set(spark):
     rows = [(1, "Is XBP1 (not xbp1s!) in SLE or sle?", {}), (2, "xbp1", {"brand": ["B"]}), (3, None, None), (4, "", {"name": [None, " "]}), (5, "notch of gobp, notch", None), (6, "α1 ab", {}), (5, "notch of gobp, notch", None)]
     q = spark.createDataFrame(rows, "id int, text string, filters map<string, array<string>>")
