@@ -12,10 +12,10 @@ similar to that one it meets the others by its bands.
 Groups of up to SMALL texts compare each with each. A larger one is never expanded into pairs: in each of ROUNDS
 rounds its members are compared with a centre, the one that meets most others over all bands, and those found
 similar leave with it; what is left of SMALL or fewer compares each with each. Where a large group is not of one
-component then, its members meet anew by pairs of their bands: two texts at similarity 0.8 share a pair but for one in
-10,000, two at 0.5 one of 256. Those groups are compared in the same way. So a link is missed only between texts
-that share groups alone that are large even so, and of which one at most is similar to a centre there. (All
-pairs of large groups of half-similar texts would be quadratic in their number.)
+component then, its members meet anew by pairs of their bands, of which half-similar texts share few; those groups are
+compared in the same way. What still isn't of one component in a large group then is compared exactly: by an inverted index
+of rare shingles, with the length, prefix and positional filters of set similarity joins, which lose no pair. Pairs that
+share a rare shingle can be quadratic in number where many texts are just below LEAST; they are shuffled, never gathered.
 
 Edge cases: texts without words are equal, and texts of fewer than WORDS words are one shingle; a row without
 doc_id takes the smallest id of its component, null if there is none; repeated ids are one node; an empty table
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, connected_components, materialise, slices, split_words, text_bytes
 
@@ -195,6 +196,41 @@ def finer(members: DataFrame) -> DataFrame:
     return materialise(two.join(sizes, "key"), "members")
 
 
+def shingles_of(sets: DataFrame) -> DataFrame:
+    """(same, h): a row for each shingle."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                same, own = b.column("same")[at : at + 64], [np.frombuffer(v.as_py(), np.int64) for v in b.column("hashes")[at : at + 64]]
+                yield pa.RecordBatch.from_arrays([same.take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))), pa.array(np.concatenate(own))], ["same", "h"])
+
+    return sets.select("same", "hashes").mapInArrow(run, "same long, h long")
+
+
+def by_rare_shingles(texts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of texts (same, c, size) of unlike c: all that may be similar by `least`. With the rarest shingles first, two such texts
+    share one among the first size - least * size + 1 of both, and behind the first they share no more than either has left."""
+    rows = materialise(shingles_of(sets.join(texts.select("same"), "same", "left_semi")), "shingles")
+    counts = rows.groupBy("h").agg(F.count("*").alias("n"))
+    placed = rows.join(counts, "h").withColumn("at", F.row_number().over(Window.partitionBy("same").orderBy("n", "h")) - 1)
+    first = placed.join(texts, "same").where(F.col("at") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9))
+    first = materialise(first.where("n > 1").select("h", "same", "c", "size", (F.col("size") - F.col("at")).alias("left")), "prefixes")
+    x, y = (first.select("h", *[F.col(c).alias(f"{c}_{i}") for c in ("same", "c", "size", "left")]) for i in "xy")
+    may = (F.col("same_x") < F.col("same_y")) & (F.col("c_x") != F.col("c_y")) & alike("size_x", "size_y", least)
+    met = x.join(y, "h").where(may & (F.least("left_x", "left_y") >= least / (1 + least) * (F.col("size_x") + F.col("size_y")) - 1e-9))
+    return met.select(F.col("same_x").alias("a"), F.col("same_y").alias("b")).distinct()
+
+
+def apart(members: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """The members (key, same, c, size, degree) of groups that aren't of one component by the pairs found, c being that."""
+    parts = materialise(connected_components(reduce(DataFrame.union, [e.select("a", "b") for e in found])), "parts")
+    named = members.join(parts.toDF("id", "component"), F.col("same") == F.col("id"), "left")
+    named = materialise(named.select("key", "same", F.coalesce("component", "c").alias("c"), "size", "degree"), "named")
+    several = named.groupBy("key").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("key")
+    return named.join(several, "key", "left_semi")
+
+
 def near_copies(docs: DataFrame, close, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(doc_id, same, component_id) for each row of docs. close: gives the pairs (a, b) of near fingerprints
     from (fp, rep)."""
@@ -228,11 +264,11 @@ def near_copies(docs: DataFrame, close, words: int = WORDS, least: float = LEAST
     near, some = compared(members, sets, least)
     found += near
     if some:
-        parts = materialise(connected_components(reduce(DataFrame.union, [e.select("a", "b") for e in found])), "parts")
-        named = members.where(F.col("n") > SMALL).join(parts.toDF("id", "component"), F.col("same") == F.col("id"), "left")
-        named = materialise(named.select("key", "same", F.coalesce("component", "c").alias("c"), "size", "degree"), "named")
-        apart = named.groupBy("key").agg((F.min("c") != F.max("c")).alias("apart")).where("apart").select("key")
-        found += compared(finer(named.join(apart, "key", "left_semi")), sets, least)[0]
+        large = members.where(F.col("n") > SMALL)
+        found += compared(finer(apart(large, found)), sets, least)[0]
+        rest = materialise(apart(large, found).select("same", "c", "size").distinct(), "rest")
+        if not rest.isEmpty():
+            found.append(materialise(verified(materialise(by_rare_shingles(rest, sets, least), "pairs"), sets, least), "near"))
     parts = materialise(connected_components(reduce(DataFrame.union, [e.select("a", "b") for e in found])), "parts")
     named = nodes.join(parts, F.col("same") == F.col("id"), "left").select("same", "rep", F.coalesce("component", "same").alias("c"))
     least_id = named.groupBy("c").agg(F.min("rep").alias("component_id"))

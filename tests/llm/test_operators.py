@@ -1017,3 +1017,35 @@ def test_near_copies_round_one_passage(spark):
     rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
     assert len(links) > 200 and [got[i] for i in range(len(texts))] == label
+
+
+def test_large_groups_lose_no_links(spark, monkeypatch):
+    """What centres and pairs of bands leave of a large group is compared too: as by brute force."""
+    import random
+
+    import pyarrow as pa
+
+    from tessella.llm import shingles, simhash
+
+    monkeypatch.setattr(shingles, "SMALL", 1)
+    monkeypatch.setattr(shingles, "ROUNDS", 1)
+    rng = random.Random(7)
+    texts = []
+    for k in range(12):  # families that share most of their words, and in each some texts that are near copies
+        words = [f"p{i}" for i in range(60)] + [f"f{k}x{i}" for i in range(14)]
+        texts += [" ".join(words[:74] + [f"t{k}y{v}z{i}" for i in range(rng.randint(2, 9))]) for v in range(6)]
+    sets = [set(s.tolist()) for s in shingles.shingle_sets(pa.array(texts))]
+    first = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                    first[i] = first[j] = min(first[i], first[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(first)) and 1 < len(set(first)) < len(texts)
+    # The index by itself finds every pair.
+    rows = shingles.sets_of(docs)
+    members = rows.select("same", F.col("same").alias("c"), (F.length("hashes") / 8).cast("long").alias("size"))
+    pairs = shingles.verified(shingles.by_rare_shingles(members, rows, 0.8), rows)
+    assert pairs.count() == sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for i in range(len(texts)) for j in range(i))
