@@ -14,8 +14,8 @@ from tessella.functions.text import cosine
 from tessella.sources.curate import first_per_key
 
 
-#: Vectors that a task multiplies with its queries at a time, and queries of such a block.
-BLOCK_ROWS, QUERY_ROWS = 16384, 4096
+#: Vectors that a task multiplies with its queries at a time, queries of such a block, and queries of a matrix of scores.
+BLOCK_ROWS, QUERY_ROWS, CHUNK_ROWS = 8192, 4096, 64
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, payload: str | None = None, least: float = -1.0) -> DataFrame:
@@ -26,22 +26,24 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, payload: str
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     group = F.col(payload) if payload else F.lit(0)
-    left = queries.select("qid", F.col("q").cast("array<double>").alias("q"), group.alias("g"), number("qid", sizes[0]).alias("a"), each(sizes[1]).alias("b"))
-    right = vectors.select("id", F.col("v").cast("array<double>").alias("v"), group.alias("g"), number("id", sizes[1]).alias("b"), each(sizes[0]).alias("a"))
+    left = queries.select("qid", "q", group.alias("g"), number("qid", sizes[0]).alias("a"), each(sizes[1]).alias("b"))
+    right = vectors.select("id", "v", group.alias("g"), number("id", sizes[1]).alias("b"), each(sizes[0]).alias("a"))
     out = f"qid {dict(queries.dtypes)['qid']}, id {dict(vectors.dtypes)['id']}, score double"
 
     def unit(column: pd.Series) -> np.ndarray:
         x = np.array(column.to_list(), float)
-        length = np.sqrt((x * x).sum(1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(length[:, None] > 0, x / length[:, None], np.nan)
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        length[~(length > 0)] = np.nan
+        x /= length[:, None]
+        return x
 
     def best(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if own.empty or near.empty:
             return pd.DataFrame({"qid": own["qid"][:0], "id": near["id"][:0], "score": np.zeros(0)})
         q, v, ids, found = unit(own["q"]), unit(near["v"]), near["id"].to_numpy(), []
-        for n in range(0, len(q), 256):
-            scores = np.nan_to_num(q[n : n + 256] @ v.T, nan=-np.inf)
+        for n in range(0, len(q), CHUNK_ROWS):
+            scores = q[n : n + CHUNK_ROWS] @ v.T
+            np.nan_to_num(scores, copy=False, nan=-np.inf)
             low = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
             i, j = np.nonzero((scores >= low[:, None] - 2e-6) & np.isfinite(scores))  # ties once rounded are left to the order by id
             found.append(pd.DataFrame({"qid": own["qid"].to_numpy()[n + i], "id": ids[j], "score": scores[i, j]}))

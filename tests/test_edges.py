@@ -521,6 +521,18 @@ def test_votes_beyond_the_limit_are_rejected(spark, tmp_path):
     assert got == {(s, f"q{i}") for s in (1, 2) for i in (0, 1, 2, 4)}
 
 
+def test_scores_are_made_in_small_matrices(spark, monkeypatch):
+    """A matrix of scores takes 8 MB at most, and the parts of a block give what the whole gives."""
+    assert V.CHUNK_ROWS * V.BLOCK_ROWS * 8 <= 8 << 20
+    parts = [F.cos(F.col("id") * i).cast("float") for i in (1, 2, 5)]
+    v = spark.range(90).select("id", F.when(F.col("id") % 30 == 7, F.array(*[F.lit(0).cast("float")] * 3)).otherwise(F.array(*parts)).alias("v"))
+    q = v.where("id % 2 = 1").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    whole = sorted(V.cosine_top_k(q, v, 4).collect())
+    monkeypatch.setattr(V, "CHUNK_ROWS", 7)
+    assert sorted(V.cosine_top_k(q, v, 4).collect()) == whole and len(whole) == 42 * 4
+    assert sorted(V.cosine_top_k(q.withColumn("q", F.col("q").cast("array<double>")), v, 4).collect()) == whole
+
+
 def test_many_sessions_share_few_states(spark, tmp_path):
     """As many rows as by the batch form, in calls of Python that sessions share."""
     ids = F.when(F.col("id") % 1001 < 1000, F.col("id") % 1001)  # one of the sessions has no name
