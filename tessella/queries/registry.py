@@ -9,6 +9,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Rows of lineitem for each task that counts pairs of parts.
+TASK_ROWS = 500_000
+
+
 class Tables:
     """The tables of a folder as attributes, read when asked for."""
 
@@ -29,8 +33,11 @@ class Tables:
     @property
     def pairs(self) -> DataFrame:
         """Parts ordered together, a < b, with the number of orders."""
+        # Nearly every pair is new, so partial sums save nothing and take a task's memory: pairs go to as many tasks as rows need.
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.lineitem.count() // TASK_ROWS))
         o = self.lineitem.select("l_orderkey", "l_partkey").distinct()
-        return o.toDF("o", "a").join(o.toDF("o", "b"), "o").where("a < b").groupBy("a", "b").agg(F.count("*").alias("score"))
+        both = o.toDF("o", "a").join(o.toDF("o", "b"), "o").where("a < b").select("a", "b")
+        return both.repartition(n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("score"))
 
     @property
     def hier(self) -> DataFrame:

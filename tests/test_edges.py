@@ -533,6 +533,14 @@ def test_scores_are_made_in_small_matrices(spark, monkeypatch):
     assert sorted(V.cosine_top_k(q.withColumn("q", F.col("q").cast("array<double>")), v, 4).collect()) == whole
 
 
+def test_pairs_go_to_as_many_tasks_as_rows_need(spark, sf_dir, monkeypatch):
+    from tessella.queries import registry
+
+    monkeypatch.setattr(registry, "TASK_ROWS", 100)
+    t = registry.Tables(spark, sf_dir)
+    assert t.pairs.rdd.getNumPartitions() == -(-t.lineitem.count() // 100)
+
+
 def test_many_sessions_share_few_states(spark, tmp_path):
     """As many rows as by the batch form, in calls of Python that sessions share."""
     ids = F.when(F.col("id") % 1001 < 1000, F.col("id") % 1001)  # one of the sessions has no name
