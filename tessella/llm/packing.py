@@ -41,6 +41,8 @@ BUCKET_ROWS = 100
 CHUNK_ROWS = 8192
 #: Chunks whose ids a Python worker remembers; it starts anew beyond that.
 REMEMBERED = 600_000
+#: Bytes of text that a task works on at a time.
+PART_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Kinds of bytes for cutting: ASCII lower-case letters, ASCII punctuation without the apostrophe, and
@@ -113,7 +115,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 texts = part.column("text")
                 special = pc.fill_null(pc.match_substring(texts, "<|"), False)
                 ids, ends = encoder.encode(pc.if_else(special, "", texts))

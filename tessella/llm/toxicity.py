@@ -35,6 +35,8 @@ FOLDS, HELD = 5, 0
 TRAIN_ROWS, LEXICON, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 20_000, 200, 3, 0.02, 3.0
 #: Parts that the sample is dealt to, as its rows cost far more to read than their bytes tell.
 SAMPLE_PARTS = 48
+#: Bytes of text that a task works on at a time, and stems that it counts before it passes the counts on.
+PART_BYTES, HELD_STEMS = 1 << 20, 100_000
 STEMS, FUZZY_LENGTH, WINDOW, SPAN = range(4, 9), 5, 5, 40
 
 # Words that the lexicon always has, words of reporting, words of address.
@@ -79,19 +81,26 @@ def stems_of(words) -> set[str]:
 
 
 def count_stems(only: frozenset[str] | None):
-    """(stem, n): documents that hold it, of all stems or of some. The stem "" counts all documents."""
+    """(stem, n): documents that hold it, of all stems or of some, in parts to be summed. The stem "" counts all documents."""
+
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["stem", "n"])
 
     def run(batches):
         seen: Counter = Counter()
         for b in batches:
-            _, _, words, counts = document_words(b.column("text"))
-            words, at = words.to_pylist(), 0
-            for n in counts.tolist():
-                stems = stems_of(set(words[at : at + n]))
-                at += n
-                seen.update(stems if only is None else only.intersection(stems))
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["stem", "n"])
+            for part in slices(b, "text", PART_BYTES):
+                _, _, words, counts = document_words(part.column("text"))
+                words, at = words.to_pylist(), 0
+                for n in counts.tolist():
+                    stems = stems_of(set(words[at : at + n]))
+                    at += n
+                    seen.update(stems if only is None else only.intersection(stems))
+                    seen[""] += 1
+                if len(seen) > HELD_STEMS:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
 
     return run
 
@@ -246,7 +255,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "toxicity") -> DataFr
     def describe(batches):
         trie = Trie(odds)
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", PART_BYTES):
                 x = features(part.column("text"), trie, odds)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("toxic")], ["x", "toxic"])
 
@@ -257,7 +266,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "toxicity") -> DataFr
     def run(batches):
         trie = Trie(odds)
         for b in batches:
-            for part in slices(b, text):
+            for part in slices(b, text, PART_BYTES):
                 z = features(part.column(text), trie, odds) @ weights
                 yield pa.RecordBatch.from_arrays([*(c for n, c in zip(part.schema.names, part.columns) if n != text), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*(n for n in part.schema.names if n != text), name])
 

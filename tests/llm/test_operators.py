@@ -11,10 +11,12 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import same_rows, views
@@ -729,6 +731,23 @@ def test_levenshtein_trie():
             assert re.search(trie.ends, word) and re.search(trie.forms, word)
 
 
+def test_toxicity_stems_in_parts(monkeypatch):
+    texts = [" ".join(f"w{(i * 31 + j * j) % 5003}x" for j in range(500)) for i in range(2500)]  # a batch of 8 MB
+    expected = collections.Counter(s for t in texts for s in {"", *toxicity.stems_of({w.encode() for w in t.split()})})
+    monkeypatch.setattr(toxicity, "HELD_STEMS", 1000, raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        parts = list(toxicity.count_stems(None)([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 50e6  # a batch's words aren't held at once
+    finally:
+        tracemalloc.stop()
+    found = collections.Counter()
+    for part in parts:
+        found.update(dict(zip(*(c.to_pylist() for c in part.columns))))
+    assert found == expected and len(parts) > 1
+
+
 def test_toxicity_repeated_ids(spark):
     """Ids that repeat bring no more rows to learn from than the bound."""
     docs = spark.range(4000).selectExpr("id % 10 + 1 as doc_id", "concat('text ', id) as text", "'k' as h", "'k' as toxicity", "'k' as _toxicity", "'k' as _text")
