@@ -56,7 +56,9 @@ class Tables:
     @property
     def nested(self) -> DataFrame:
         """One JSON text per order: parts with their suppliers and scores; every seventh order's list is empty."""
-        item = self.lineitem.groupBy("l_orderkey", "l_partkey").agg(
+        # An order's rows meet once: both groupings go by what one shuffle by the order has dealt out.
+        rows = self.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").repartition("l_orderkey")
+        item = rows.groupBy("l_orderkey", "l_partkey").agg(
             F.array_sort(F.collect_set(F.struct(F.col("l_suppkey").cast("string").alias("id"), F.col("l_returnflag").alias("status")))).alias("targets"),
             F.max("l_quantity").alias("score"),
         )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.lineage import stored
+
 
 def parsed(df: DataFrame, text: str, schema: str, name: str = "r") -> DataFrame:
     return df.withColumn(name, F.from_json(text, schema))
@@ -51,9 +53,11 @@ def score_columns(df: DataFrame, scores: str, names: list[str], prefix: str = "s
 
 
 def expression_rows(df: DataFrame, items: str) -> DataFrame:
-    """Structured before free-text names, strongest first."""
+    """Structured before free-text names, strongest first, in place of the list. The rows are stored before they are sorted, as a
+    sort looks at its input twice: for the bounds of its ranges, and for the rows."""
     one = df.withColumn("x", F.explode(items))
-    return one.withColumn("name", first_name(F.col("x.label"), F.col("x.text"))).withColumn("value", F.col("x.score").cast("double")).drop("x").orderBy(F.desc_nulls_last("value"), "name")
+    rows = one.withColumn("name", first_name(F.col("x.label"), F.col("x.text"))).withColumn("value", F.col("x.score").cast("double")).drop("x", items)
+    return stored(rows, "expression").orderBy(F.desc_nulls_last("value"), "name")
 
 
 def literature(items: Column, most: int = 5) -> tuple[Column, Column]:

@@ -749,3 +749,11 @@ def test_a_stream_to_the_bank_that_is_cut_off(spark, tmp_path, monkeypatch, step
     B.feed(stream, folder, "s", state).awaitTermination()
     assert held(spark, folder, stream.schema) == [("d", "a", "q1", 7), ("d", "b", "q", 8), ("e", "a", "q", 9)]
     assert B.last_epoch(spark, folder, "s") == 2 and len(calls) == 4
+
+
+def test_expression_rows_are_made_once(spark, sf_dir):
+    from tessella.queries import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "jsontostructs" not in plan("json_expression") and "from_json" not in plan("json_expression")  # the sort reads stored rows
+    assert plan("json_flatten_fallback").count("Exchange hashpartitioning") == 1  # an order's rows are shuffled once
