@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,19 @@ def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs meanwhile passes rows to Python about `most` bytes at a time (one row at least). By default it is 10,000 rows,
+    of which the JVM holds two copies and the worker two batches: over 30 MB each for texts of 3 KB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc32_sql(digits: str) -> str:
     """DuckDB for the crc32 of a text of ASCII characters."""
     bits = "list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, xor(crc, b))"

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, ragged, slices, split_words, text_bytes
+from .common import arrow_batches, materialise, ragged, slices, split_words, text_bytes
 
 CAPACITY, END, GROUPS, PIVOTS = 4096, 1, 64, 250
 #: A length is large above such a part of the capacity; each is tried, the shorter plan is kept.
@@ -39,9 +39,9 @@ LARGE = (3, 2)
 BUCKET_ROWS = 100
 #: Ranks of one length that meet their slots together.
 CHUNK_ROWS = 8192
-#: Chunks whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 600_000
-#: Bytes of text that a task works on at a time.
+#: Chunks whose ids a Python worker remembers; beyond that it keeps those that it has met in several parts.
+REMEMBERED = 300_000
+#: Bytes of text that a task gets, and works on, at a time.
 PART_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -62,6 +62,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # those of known that were met again
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -93,9 +94,11 @@ class Encoder:
         chunks, counts = split_words(np.where(upper, data + 32, data).astype(np.uint8), off, KINDS)
         coded = chunks.dictionary_encode()
         words = coded.dictionary.cast(pa.large_string())
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         names = words.to_pylist()
+        if len(self.known) > REMEMBERED:
+            kept = self.again if len(self.again) <= REMEMBERED // 2 else ()
+            self.known, self.again = {w: self.known[w] for w in kept}, set()
+        self.again.update(filter(self.known.__contains__, names))
         fresh = [w for w in names if w not in self.known]
         if fresh:
             self.learn(pa.array(fresh, pa.large_string()))
@@ -109,11 +112,21 @@ class Encoder:
         return ids, np.append(0, np.cumsum(n))[np.cumsum(counts)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def shared(path: str) -> Encoder:
+    """The encoder of this Python worker: one for each task would leave its memory behind."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece of each document, see PIECES."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = shared(path)
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
                 texts = part.column("text")
@@ -250,7 +263,8 @@ def plan_with(histogram: dict[int, int], capacity: int, small: int, groups: int)
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of docs with sequence_id and offset."""
     spark = docs.sparkSession
-    rows = materialise(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")  # numbers that stay
+    with arrow_batches(spark, PART_BYTES):
+        rows = materialise(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")  # numbers that stay
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, ranks, base = [], defaultdict(int), 0
     for n, lengths in plan(histogram, capacity):

@@ -589,6 +589,38 @@ def test_packing(spark, folder, sf_dir):
         assert len(place) <= 1.03 * total / 4096 + 1
 
 
+def test_packing_memory(spark, monkeypatch):
+    path, pieces = str(packing.tokenizer_path()), packing.pieces
+
+    def watched(docs, *rest):
+        def small(batches):
+            for b in batches:
+                assert b.nbytes < 2 * packing.PART_BYTES
+                yield b
+
+        return pieces(docs.mapInArrow(small, docs.schema), *rest)
+
+    monkeypatch.setattr(packing, "pieces", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, docs = spark.conf.get(key), spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 500) as text")  # 16 MB
+    assert packing.pack(docs, path).select("doc_id").distinct().count() == 2000
+    assert spark.conf.get(key) == before
+    assert packing.shared(path) is packing.shared(path)
+
+
+def test_packing_remembers(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    encoder = packing.Encoder(str(packing.tokenizer_path()))
+    learned, learn = collections.Counter(), encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda chunks: (learned.update(chunks.to_pylist()), learn(chunks)))
+    for k in range(20):
+        text = "often " + " ".join(f"x{k}y{i}" for i in range(40))
+        ids, ends = encoder.encode(pa.array([text]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and ends.tolist() == [len(ids)]
+        assert len(encoder.known) < 300
+    assert learned["often"] == 1  # what comes again isn't forgotten
+
+
 def test_packing_plan():
     rng = np.random.default_rng(2)
     for lengths in (rng.integers(1, 4097, 5000), rng.lognormal(6, 1, 20_000).astype(int).clip(1, 4096), np.full(1000, 1500), np.array([4096, 1]), np.array([2049] * 7)):
