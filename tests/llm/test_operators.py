@@ -602,7 +602,7 @@ def test_packing_memory(spark, monkeypatch):
 
     monkeypatch.setattr(packing, "pieces", watched)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before, docs = spark.conf.get(key), spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 500) as text")  # 16 MB
+    before, docs = spark.conf.get(key), spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 500) as text")  # 8 MB
     assert packing.pack(docs, path).select("doc_id").distinct().count() == 2000
     assert spark.conf.get(key) == before
     assert packing.shared(path) is packing.shared(path)
